@@ -71,3 +71,23 @@ def single_thread_env() -> None:
     """Python workers share cores with others of the same executor."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     os.environ["OMP_NUM_THREADS"] = "1"
+
+
+def map_rows(df: DataFrame, schema: str, work) -> DataFrame:
+    """``work(batches)`` over Arrow batches as lists: it gets an iterator of {column: list} and yields {column: list}.
+
+    Batches stay within Spark's Arrow limits; nothing of one task is held beyond its batch unless ``work`` holds it."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    arrow = to_arrow_schema(StructType.fromDDL(schema))
+
+    def run(batches):
+        import pyarrow as pa
+
+        single_thread_env()
+        lists = ({n: b.column(i).to_pylist() for i, n in enumerate(b.schema.names)} for b in batches)
+        for out in work(lists):
+            yield pa.RecordBatch.from_arrays([pa.array(out[f.name], type=f.type) for f in arrow], schema=arrow)
+
+    return df.mapInArrow(run, schema)

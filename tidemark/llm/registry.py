@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
-from tidemark.llm import exact_dedup
+from tidemark.llm import byte_bpe, exact_dedup, packing, quality_rules, token_counts, warc
 
 QUERIES = {
+    "op1_packing": packing.op1_packing,
+    "op2_warc": warc.op2_warc,
+    "op3_quality_rules": quality_rules.op3_quality_rules,
+    "op4_byte_bpe": byte_bpe.op4_byte_bpe,
+    "op6_token_counts": token_counts.op6_token_counts,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
 }
 
 ORACLE_SQL = {
+    "op2_warc": warc.SQL,
     "op8_exact_dedup": exact_dedup.SQL,
 }
