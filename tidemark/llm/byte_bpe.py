@@ -17,11 +17,12 @@ from __future__ import annotations
 import heapq
 import re
 from array import array
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import map_rows, table, text_or_empty
+from tidemark.llm.common import Memory, map_rows, table, text_or_empty
 
 #: White space of the pattern's \s, which is Unicode's property; Python's own has four separators more.
 SPACE = "\t-\r \x85\xa0  -     　"
@@ -122,7 +123,7 @@ class TextEncoder:
         self.split = regex.compile(exact).findall
         self.memory = memory
         self.pieces: dict[str, bytes] = {}
-        self.spaced: dict[str, bytes] = {}
+        self.spaced = Memory(memory)
 
     def part(self, text: str) -> bytes:
         out = []
@@ -142,10 +143,9 @@ class TextEncoder:
             return b"".join(map(self.part, self.PARTS.findall(text)))
         # Single spaces only: what follows each is one part, with its space.
         first, *rest = text.split(" ")
-        known = self.spaced
-        if len(known) > self.memory:
-            known.clear()
-        for word in set(rest) - known.keys():
+        missing = self.spaced.missing(set(rest))
+        known = self.spaced.new
+        for word in missing:
             known[word] = self.part(" " + word)
         return self.part(first) + b"".join(map(known.__getitem__, rest))
 
@@ -157,6 +157,12 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
+@lru_cache(maxsize=1)
+def encoder_of(ranks_path: str, pattern: str) -> TextEncoder:
+    """A worker's encoder, with what it remembers, serves all of its tasks."""
+    return TextEncoder(load_ranks(ranks_path), pattern)
+
+
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
@@ -168,7 +174,7 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, keep_ids: b
         import hashlib
         import sys
 
-        encoder = TextEncoder(load_ranks(ranks_path), pattern)
+        encoder = encoder_of(ranks_path, pattern)
         for batch in batches:
             out = {x.split()[0]: [] for x in schema.split(", ")}
             for doc_id, text in zip(batch["doc_id"], batch["text"]):

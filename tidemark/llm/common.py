@@ -91,3 +91,24 @@ def map_rows(df: DataFrame, schema: str, work) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(out[f.name], type=f.type) for f in arrow], schema=arrow)
 
     return df.mapInArrow(run, schema)
+
+
+class Memory:
+    """A bounded memory of computed values in two generations: when the younger one is full it becomes the older, and
+    values that are asked for again move back, so common ones stay."""
+
+    def __init__(self, most: int):
+        self.most, self.new, self.old = most, {}, {}
+
+    def missing(self, keys: set) -> list:
+        """Those of ``keys`` that must be computed; all others are in ``new`` now, and stay there until the next call."""
+        if len(self.new) > self.most:
+            self.old, self.new = self.new, {}
+        new, old, out = self.new, self.old, []
+        for k in keys - new.keys():
+            v = old.get(k)
+            if v is None:
+                out.append(k)
+            else:
+                new[k] = v
+        return out

@@ -14,14 +14,16 @@ an empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import map_rows, table, text_or_empty
+from tidemark.llm.common import Memory, map_rows, table, text_or_empty
 
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
-MEMORY = 1_000_000
+MEMORY = 700_000
 
 
 class PieceCounter:
@@ -36,8 +38,7 @@ class PieceCounter:
         self.singles = {p for p, _ in vocabulary if len(p) == 1}
         self.unknown = min(s for _, s in vocabulary) - UNKNOWN_PENALTY
         self.byte_pieces = byte_pieces
-        self.memory = memory
-        self.known: dict[str, int] = {}
+        self.known = Memory(memory)
 
     def word(self, text: str) -> int:
         n = len(text)
@@ -67,10 +68,9 @@ class PieceCounter:
         words = text.split(" ")
         if not words[0]:
             words = words[1:]  # the text begins with a mark of its own
-        known = self.known
-        if len(known) > self.memory:
-            known.clear()
-        for w in set(words) - known.keys():
+        missing = self.known.missing(set(words))
+        known = self.known.new
+        for w in missing:
             known[w] = self.word(MARK + w)
         return sum(map(known.__getitem__, words))
 
@@ -84,11 +84,17 @@ def load_pieces(path: str) -> list[tuple[str, float]]:
     return [(model.id_to_piece(i), model.get_score(i)) for i in ids if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i))]
 
 
+@lru_cache(maxsize=1)
+def counter_of(model_path: str, byte_pieces: bool) -> PieceCounter:
+    """A worker's counter, with what it remembers, serves all of its tasks."""
+    return PieceCounter(load_pieces(model_path), byte_pieces)
+
+
 def count_tokens(docs: DataFrame, model_path: str, byte_pieces: bool = True) -> DataFrame:
     """(doc_id, n_chars, n_tokens) of every document."""
 
     def work(batches):
-        counter = PieceCounter(load_pieces(model_path), byte_pieces)
+        counter = counter_of(model_path, byte_pieces)
         for batch in batches:
             texts = batch["text"]
             yield {"doc_id": batch["doc_id"], "n_chars": [len(t) for t in texts], "n_tokens": [counter.text(t) for t in texts]}
