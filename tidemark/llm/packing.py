@@ -13,17 +13,19 @@ columns are ignored.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import map_rows, save, shared_dir, table, text_or_empty  # noqa: F401
+from tidemark.llm.common import Memory, map_rows, save, table, text_or_empty
 
 CAPACITY = 2_048
 END_ID = 1
 #: Remainders in a group: 200,000 rows of a few numbers, 20 MB.
 GROUP_ROWS = 200_000
 #: Words with their ids that a worker remembers (about 200 bytes each).
-CACHE_WORDS = 600_000
+CACHE_WORDS = 700_000
 
 PIECES = "row long, doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 PACKED = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -36,6 +38,7 @@ class WordIds:
     its words one after another. Texts with separators that Python, but not the tokenizer, counts as white space go
     through the tokenizer whole."""
 
+    MARKS = ".,;:!?"
     ODD = ("\x1c", "\x1d", "\x1e", "\x1f")
 
     def __init__(self, path: str, most: int = CACHE_WORDS):
@@ -43,8 +46,7 @@ class WordIds:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, bytes] = {}
-        self.most = most
+        self.known = Memory(most)
 
     @staticmethod
     def pack(ids: list[int]) -> bytes:
@@ -56,16 +58,31 @@ class WordIds:
             out.byteswap()
         return out.tobytes()
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        known, out = self.known, []
-        if len(known) > self.most:
-            known.clear()
-        split = [None if any(c in t for c in self.ODD) else t.split() for t in texts]
-        new = list(set().union(*(x for x in split if x)) - known.keys())
-        for i in range(0, len(new), 10_000):
-            part = new[i : i + 10_000]
+    def learn(self, words: set[str]) -> None:
+        """Bring the ids of all ``words`` into the memory. Marks behind a letter or digit are a token run of their own,
+        so a word and the same word before a comma are encoded once."""
+        missing = self.known.missing(words)
+        known = self.known.new
+        cut = {}
+        for word in missing:
+            stem = word.rstrip(self.MARKS)
+            if len(stem) < len(word) and stem and stem[-1].isalnum() and len(stem[-1].lower()) == 1:
+                cut[word] = (stem, word[len(stem) :])
+        plain = {w for w in missing if w not in cut}
+        plain |= {part for parts in cut.values() for part in parts if part not in known}
+        plain = list(plain)
+        for i in range(0, len(plain), 10_000):
+            part = plain[i : i + 10_000]
             for word, x in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
                 known[word] = self.pack(x.ids)
+        for word, (stem, marks) in cut.items():
+            known[word] = known[stem] + known[marks]
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        out = []
+        split = [None if any(c in t for c in self.ODD) else t.split() for t in texts]
+        self.learn(set().union(*(x for x in split if x)))
+        known = self.known.new
         for text, words in zip(texts, split):
             if words is None:
                 out.append(self.pack(self.tokenizer.encode(text, add_special_tokens=False).ids))
@@ -74,13 +91,19 @@ class WordIds:
         return out
 
 
+@lru_cache(maxsize=1)
+def ids_of(path: str) -> WordIds:
+    """A worker's ids, with what it remembers, serve all of its tasks."""
+    return WordIds(path)
+
+
 def cut(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
     """Pieces of every document: full windows first, then the remainder."""
 
     def work(batches):
         import zlib
 
-        ids, names = WordIds(path), [x.split()[0] for x in PIECES.split(", ")]
+        ids, names = ids_of(path), [x.split()[0] for x in PIECES.split(", ")]
         end = WordIds.pack([END_ID])
         for batch in batches:
             for at in range(0, len(batch["text"]), 500):
