@@ -105,7 +105,9 @@ class Memory:
         if len(self.new) > self.most:
             self.old, self.new = self.new, {}
         new, old, out = self.new, self.old, []
-        for k in keys - new.keys():
+        for k in keys:  # not a difference with new.keys(), which would walk through all of ``new``
+            if k in new:
+                continue
             v = old.get(k)
             if v is None:
                 out.append(k)
