@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.llm import byte_bpe, exact_dedup, jaccard_join, lm_scoring, packing, quality_rules, token_counts, toxicity, warc
+from tidemark.llm import byte_bpe, exact_dedup, jaccard_join, lm_scoring, packing, quality_rules, quotations, token_counts, toxicity, warc
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_token_counts": token_counts.op6_token_counts,
     "op7_toxicity": toxicity.op7_toxicity,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
+    "op9_quotation_linking": quotations.op9_quotation_linking,
     "op10_ngram_jaccard_join": jaccard_join.op10_ngram_jaccard_join,
 }
 
