@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import checked, map_rows, save, table, text_or_empty
+from tidemark.llm.common import BROADCAST_ROWS, checked, map_rows, save, table, text_or_empty
 from tidemark.llm.components import components
 
 #: Shingles of a block of documents, and of a hash range; documents of a block.
@@ -292,14 +292,16 @@ def roots_of(frame, percent: int):
 
 
 def link(sets: DataFrame, candidates: DataFrame, percent: int) -> DataFrame:
-    """(id, component) of all documents that link with another one. ``candidates``: (doc_id, comp)."""
+    """(id, component) of all documents that link with another one. ``candidates``: (doc_id, comp).
+
+    Only ids and labels are written between the steps; the sets are read again where they are needed."""
     import pandas as pd
 
-    sizes = save(candidates.groupBy("comp").agg(F.count(F.lit(1)).alias("m")), "join-sizes")
-    placed = candidates.join(checked(sizes), "comp").select("doc_id", "comp", F.ceil(F.col("m") / SEARCH_DOCS).cast("long").alias("blocks"))
-    placed = placed.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")))
-    rows = save(sets.join(checked(save(placed, "join-placed")), "doc_id"), "join-rows")
-    groups = max(64, rows.count() // 64)
+    sizes = checked(save(candidates.groupBy("comp").agg(F.count(F.lit(1)).alias("m")), "join-sizes"))
+    placed = candidates.join(sizes, "comp").select("doc_id", "comp", F.ceil(F.col("m") / SEARCH_DOCS).cast("long").alias("blocks"))
+    placed = save(placed.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks"))), "join-placed")
+    groups = max(64, placed.count() // 64)
+    rows = sets.join(checked(placed), "doc_id")
 
     def solve(key, frame):
         found = []
@@ -319,31 +321,43 @@ def link(sets: DataFrame, candidates: DataFrame, percent: int) -> DataFrame:
     copies = chosen.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     copies = copies.select(F.xxhash64("comp", "block").alias("task"), block.alias("group"), "doc_id", "shingles")
     edges = save(whole.unionByName(parts).unionByName(copies).groupBy("task").applyInPandas(solve, "a long, b long"), "join-edges")
-    if large.isEmpty():
+    big = placed.where("blocks > 1").select("doc_id", "comp")
+    if big.isEmpty():
         return components(edges)
 
-    # What the pivots did not unite: documents with enough shingles in documents of another label, in large components.
-    labels = save(components(edges), "join-labels")
-    left = large.join(checked(labels.withColumnRenamed("id", "doc_id")), "doc_id", "left").select("doc_id", "comp", "n", "shingles", F.coalesce("component", "doc_id").alias("label"))
-    left = save(left, "join-left")
-    while True:
-        postings = left.select("doc_id", "comp", "n", "label", F.explode("shingles").alias("shingle"))
-        mixed = postings.groupBy("comp", "shingle").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi")
-        mixed = checked(save(mixed.select("comp", "shingle"), "join-mixed"))
-        enough = postings.join(mixed, ["comp", "shingle"], "left_semi").groupBy("doc_id", "n").agg(F.count(F.lit(1)).alias("c"))
-        enough = checked(save(enough.where(F.col("c") * 100 >= F.col("n") * percent).select("doc_id"), "join-enough"))
-        fewer = save(left.join(enough, "doc_id", "left_semi"), "join-left")
-        before, now = left.count(), fewer.count()
-        left = fewer
-        if now == before or not now:
+    # What the pivots did not unite. A link between two labels has an end outside the component's main label.
+    labels = checked(save(components(edges).withColumnRenamed("id", "doc_id"), "join-labels"))
+    marked = save(big.join(labels, "doc_id", "left").select("doc_id", "comp", F.coalesce("component", "doc_id").alias("label")), "join-marked")
+    main = marked.groupBy("comp", "label").agg(F.count(F.lit(1)).alias("c")).groupBy("comp").agg(F.max_by("label", F.struct("c", "label")).alias("main"), F.count(F.lit(1)).alias("labels"))
+    marked = save(marked.join(checked(save(main.where("labels > 1").drop("labels"), "join-main")), "comp"), "join-marked")
+    apart = checked(save(marked.where("label <> main").select("doc_id", "comp", "label"), "join-apart"))
+    # Filters by hash of (component, shingle): a clash lets a document through, never loses one.
+    key = F.xxhash64("comp", "shingle").alias("key")
+
+    def with_enough(docs: DataFrame, keys: DataFrame) -> DataFrame:
+        """Rows of ``docs`` that have the least overlap or more among ``keys``."""
+        postings = sets.join(docs, "doc_id").select("doc_id", "n", "comp", F.explode("shingles").alias("shingle"))
+        hits = postings.select("doc_id", "n", key).join(checked(save(keys, "join-filter"), 3 * BROADCAST_ROWS), "key", "left_semi")
+        enough = hits.groupBy("doc_id", "n").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") * 100 >= F.col("n") * percent)
+        return docs.join(checked(save(enough.select("doc_id"), "join-enough")), "doc_id", "left_semi")
+
+    theirs = sets.join(apart, "doc_id").select("comp", F.explode("shingles").alias("shingle")).select(key).distinct()
+    others = with_enough(marked.where("label = main").select("doc_id", "comp", "label"), theirs)
+    left = save(apart.unionByName(others), "join-left")
+    for _ in range(3):  # each round only spares searches
+        postings = sets.join(checked(left), "doc_id").select("label", "comp", F.explode("shingles").alias("shingle"))
+        mixed = postings.groupBy(key).agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
+        before, left = left.count(), save(with_enough(left, mixed), "join-left")
+        now = left.count()
+        if not now:
+            return components(edges)
+        if now > 0.8 * before:
             break
-    if not now:
-        return components(edges)
-    sizes = left.groupBy("comp").agg(F.count(F.lit(1)).alias("m"))
-    dealt = left.join(checked(save(sizes, "join-sizes")), "comp").withColumn("blocks", F.ceil(F.col("m") / SEARCH_DOCS).cast("long"))
-    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("doc_id", F.lit(3)), F.col("blocks")))
+    sizes = checked(save(left.groupBy("comp").agg(F.count(F.lit(1)).alias("m")), "join-sizes"))
+    dealt = left.join(sizes, "comp").withColumn("blocks", F.ceil(F.col("m") / SEARCH_DOCS).cast("long"))
+    dealt = checked(save(dealt.withColumn("block", F.pmod(F.xxhash64("doc_id", F.lit(3)), F.col("blocks"))), "join-dealt"))
     # Block against block: every pair of blocks of a component is one task's group.
-    pairs = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    pairs = sets.join(dealt, "doc_id").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     name = F.concat_ws("-", "comp", F.least("block", "other"), F.greatest("block", "other"))
     pairs = pairs.select(F.xxhash64(name).alias("task"), name.alias("group"), "doc_id", "shingles")
     rest = save(pairs.groupBy("task").applyInPandas(solve, "a long, b long"), "join-rest")
