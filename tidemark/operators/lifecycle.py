@@ -100,5 +100,5 @@ def safe_lsn(flushed: DataFrame, pending: DataFrame) -> DataFrame:
     partition counts); ``pending``: lsn of drops that are recorded and not complete."""
     latest = flushed.groupBy("part_start").agg(F.max_by("lsn", "seq").alias("lsn")).agg(F.min("lsn").alias("a"))
     drops = pending.agg(F.min("lsn").alias("b"))
-    low = F.least(F.col("a"), F.greatest(F.col("b") - 1, F.lit(0)))
+    low = F.least(F.col("a"), F.when(F.col("b").isNotNull(), F.greatest(F.col("b") - 1, F.lit(0))))
     return latest.crossJoin(drops).select(F.when(F.col("a").isNotNull(), low).alias("safe_lsn"))  # one row each
