@@ -9,7 +9,7 @@ Only DataFrame functions run on executors. Copies are pre-aggregated before each
 of all rows costs one row a task.
 
 Defined cases: a null text is an empty one; all empty texts are one group; repeated rows of one doc_id count singly and
-share the verdict; an empty table gives an empty result; other columns are ignored.
+share the verdict; a row without a doc_id is left out; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -94,6 +94,7 @@ def exact_groups(docs: DataFrame, digest_hex: int = 64, files_per_trigger: int |
     """One row for each row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256, locator of the row that stays.
 
     ``digest_hex`` shortens the digest that keys the state (tests force collisions by it)."""
+    docs = docs.where("doc_id is not null")
     prints = save(fingerprints(docs, digest_hex), "dedup-prints")
     hits = save(keyed_state(prints, files_per_trigger).where("n > 1"), "dedup-hits")
 
@@ -143,7 +144,7 @@ def exact_groups(docs: DataFrame, digest_hex: int = 64, files_per_trigger: int |
 def keep_first(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
     dropped = save(exact_groups(docs).where("not kept").select("doc_id").distinct(), "dedup-dropped")
-    return docs.join(checked(dropped), "doc_id", "left_anti").select(*docs.columns)
+    return docs.where("doc_id is not null").join(checked(dropped), "doc_id", "left_anti").select(*docs.columns)
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

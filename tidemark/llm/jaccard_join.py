@@ -14,7 +14,8 @@
 Links inside a component are united where they are found: a group of thousands of near copies costs a row each.
 
 Defined cases: a null or empty text, or one without words, has no shingles and links with nothing; a text of fewer words
-than a shingle is one shingle; texts of any length are read whole; repeated rows share the result of their text; an empty
+than a shingle is one shingle; texts of any length are read whole; repeated rows share the result of their text; a row without a doc_id is left out; an
+empty
 table gives an empty result; other columns are ignored. Shingles are 64-bit hashes.
 """
 
@@ -369,6 +370,7 @@ def join_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     import numpy as np
 
     spark = docs.sparkSession
+    docs = docs.where("doc_id is not null")
     keys = save(class_keys(docs), "join-keys")
     total = keys.agg(F.sum("n_words")).first()[0] or 0
     classes = save(keys.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("rows")), "join-classes")
@@ -404,7 +406,7 @@ def join_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs`` whose id is the smallest of its component, with all their columns."""
     dropped = save(join_components(docs, k, percent).where("component_id <> doc_id").select("doc_id").distinct(), "join-dropped")
-    return docs.join(checked(dropped), "doc_id", "left_anti").select(*docs.columns)
+    return docs.where("doc_id is not null").join(checked(dropped), "doc_id", "left_anti").select(*docs.columns)
 
 
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

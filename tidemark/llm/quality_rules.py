@@ -4,7 +4,8 @@ A text is compressed as a whole and in fixed chunks; ratios outside the limits f
 high) or incompressible (too low). A few plain counts go first and reject texts that are short or say the same words again.
 
 Defined cases: a null or empty text has no words, fails the base rules and is not kept; a text of any length is read
-whole; repeated rows are measured each; an empty table gives an empty result; other columns are ignored.
+whole; repeated rows are measured each (``keep_good`` leaves out rows without a doc_id); an empty table gives an empty result;
+other columns are ignored.
 """
 
 from __future__ import annotations
@@ -126,7 +127,7 @@ def measure(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
 def keep_good(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """The rows of ``docs`` that pass, with all their columns."""
     dropped = save(measure(docs, limits).where("not kept").select("doc_id").distinct(), "quality-dropped")
-    return docs.join(checked(dropped), "doc_id", "left_anti").select(*docs.columns)
+    return docs.where("doc_id is not null").join(checked(dropped), "doc_id", "left_anti").select(*docs.columns)
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

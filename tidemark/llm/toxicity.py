@@ -11,7 +11,7 @@ The classifier is fitted on at most ``SAMPLE`` labelled rows, drawn by a hash of
 
 Defined cases: a null or empty text, and one without a vocabulary term, has no neighbours and gets the curve's value for
 such examples; texts of any length are read whole; equal cosines go to the example drawn first; repeated rows are scored
-each; where labels of one document differ, it is toxic; without labels every score is 0; an empty table gives an empty
+each; where labels of one document differ, it is toxic; a row without a doc_id is left out; without labels every score is 0; an empty table gives an empty
 result; other columns are ignored.
 """
 
@@ -130,32 +130,34 @@ class BlockMaxIndex:
         w = (1 + np.log(np.asarray(times, float))) * self.idf[terms]
         return w / np.sqrt((w * w).sum())
 
-    def nearest(self, terms, times, k: int, without: int = -1):
-        """(example numbers, cosines), the nearest first; only examples that share a term."""
+    def nearest(self, terms, times, k: int):
+        """(example numbers, cosines) of the ``k`` nearest, the nearest first; only examples that share a term."""
         import numpy as np
 
         if not len(terms) or not self.size:
             return np.zeros(0, np.int64), np.zeros(0)
         terms, weights = np.asarray(terms), self.weigh(terms, times)
         bound = weights @ self.most[terms]
-        ids, cosines, worst = np.zeros(0, np.int64), np.zeros(0), -1.0
+        ids, cosines, worst, last = np.zeros(0, np.int64), np.zeros(0), -1.0, -1
         for b in np.argsort(-bound, kind="stable"):
-            # Rounding may put a sum a little above its bound; a block with an equal bound may hold an earlier example.
+            # Cosines are rounded to nine digits, so sums of other order are equal. A block that can only equal the worst
+            # one found matters if it holds earlier examples than those with that cosine.
             if bound[b] <= 0 or bound[b] < worst - 1e-9:
                 break
+            if bound[b] < worst + 4e-10 and b * self.block > last:
+                continue
             dots = np.zeros(self.block)
             for t, w in zip(terms, weights):
                 part = slice(self.bounds[t, b], self.bounds[t, b + 1])
                 dots[self.ids[part] - b * self.block] += w * self.weights[part]
             hit = np.flatnonzero(dots > 0)
-            own = hit + b * self.block
-            keep = own != without
-            ids, cosines = np.r_[ids, own[keep]], np.round(np.r_[cosines, dots[hit][keep]], 9)
+            ids, cosines = np.r_[ids, hit + b * self.block], np.round(np.r_[cosines, dots[hit]], 9)
             if len(ids) > k:
                 top = np.lexsort((ids, -cosines))[:k]
                 ids, cosines = ids[top], cosines[top]
             if len(ids) == k:
                 worst = cosines.min()
+                last = ids[cosines == worst].max()
         top = np.lexsort((ids, -cosines))
         return ids[top], cosines[top]
 
@@ -197,7 +199,7 @@ def score(docs: DataFrame, labels: DataFrame, learn: Column, held_out: Column, s
 
     spark = docs.sparkSession
     drawn = draw_sample(labels, learn, sample)  # ``sample`` rows at most
-    docs = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
+    docs = docs.where("doc_id is not null").withColumn("doc_id", F.col("doc_id").cast("long"))
     texts = docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(drawn), "doc_id")
     texts = save(texts.dropDuplicates(["doc_id"]), "tox-examples")
     vocabulary = choose_terms(texts)
@@ -225,15 +227,16 @@ def score(docs: DataFrame, labels: DataFrame, learn: Column, held_out: Column, s
             out = {"row": batch["row"], "doc_id": batch["doc_id"], "vote": [], "neighbours": [], "cosines": []}
             for doc_id, terms, times in zip(batch["doc_id"], batch["terms"], batch["times"]):
                 key = (tuple(terms), tuple(times))
-                found = None if leave_out else remembered.get(key)
-                if found is None:
-                    ids, cosines = index.nearest(terms, times, NEIGHBOURS, place.get(doc_id, -1))
-                    found = (vote(ids, cosines, toxic, prior) if len(ids) else -1.0, [names[i] for i in ids[:EVIDENCE]], cosines[:EVIDENCE].tolist())
+                if key not in remembered:
                     if len(remembered) > 100_000:
                         remembered.clear()
-                    remembered[key] = found
-                for k, v in zip(("vote", "neighbours", "cosines"), found):
-                    out[k].append(v)
+                    remembered[key] = index.nearest(terms, times, NEIGHBOURS + 1)
+                ids, cosines = remembered[key]
+                keep = np.flatnonzero(ids != place.get(doc_id, -1))[:NEIGHBOURS]
+                ids, cosines = ids[keep], cosines[keep]
+                out["vote"].append(vote(ids, cosines, toxic, prior) if len(ids) else -1.0)
+                out["neighbours"].append([names[i] for i in ids[:EVIDENCE]])
+                out["cosines"].append(cosines[:EVIDENCE].tolist())
             yield out
 
     schema = "row long, doc_id long, vote double, neighbours array<long>, cosines array<double>"
@@ -263,7 +266,7 @@ def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are not predicted toxic, with all their columns."""
     held_out = fold(F.col("doc_id")) == 0
     bad = save(score(docs, labels, ~held_out, held_out).where("predicted = 1").select("doc_id").distinct(), "tox-dropped")
-    return docs.join(checked(bad), "doc_id", "left_anti").select(*docs.columns)
+    return docs.where("doc_id is not null").join(checked(bad), "doc_id", "left_anti").select(*docs.columns)
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

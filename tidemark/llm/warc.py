@@ -10,7 +10,7 @@ task that is lost, or run twice, leaves at most an unused file.
 
 Defined cases: null html is an empty payload; payloads below 100 bytes are always responses; of equal larger payloads the
 smallest page_id is the response and the others revisit it (repeated rows of that page_id are all responses); a null url
-is named after the page; an empty table gives no archives and an empty result; other columns are ignored.
+is named after the page; a row without a page_id is left out; an empty table gives no archives and an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -71,6 +71,7 @@ def revisits(pages: DataFrame) -> DataFrame:
 
 def write_archives(pages: DataFrame, folder: str, roll_bytes: int = ROLL_BYTES) -> DataFrame:
     """Write all pages into archives of one gzip stream each; returns the saved manifest (path, records)."""
+    pages = pages.where("page_id is not null")
 
     def work(batches):
         import hashlib
