@@ -20,6 +20,8 @@ same; an empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,8 +30,8 @@ from tidemark.llm.common import map_rows, save, table, text_or_empty
 ORDER = 5  # a gram takes six bytes, which leaves two of a 64-bit number for the text
 START, END = 0xFE, 0xFF  # bytes that no text in UTF-8 has
 SYMBOLS = 255  # 256 bytes less the start mark; the end mark is one of them
-SHARD_GRAMS = 6_000_000
-COMMON_WORDS = 400_000
+SHARD_GRAMS = 3_000_000
+COMMON_WORDS = 250_000
 #: Bytes that are turned into numbers at once, and entries that a counting task holds before it passes them on.
 BLOCK = 2 << 20
 HELD = 3_000_000
@@ -204,6 +206,18 @@ def common_from(counts: DataFrame, most: int) -> int:
     return 1 << least
 
 
+_known: dict = {}
+
+
+def known_words(name: str, blob: bytes, n, ends: int) -> dict[bytes, int]:
+    """The common words' counts, made into a dict once in a worker. The end token is always among them."""
+    if name not in _known:
+        _known.clear()
+        _known[name] = dict(zip(blob.split(b" "), n.tolist())) if blob else {}
+        _known[name][END_WORD] = ends
+    return _known[name]
+
+
 def score(
     docs: DataFrame, held_out: Column, order: int = ORDER, shard_grams: int = SHARD_GRAMS, common_words: int = COMMON_WORDS
 ) -> DataFrame:
@@ -218,22 +232,27 @@ def score(
     train = rows.where("not held_out")
 
     grams = save(count_grams(train, order), "ppm-grams")
+    # The driver holds arrays, never a row object for each entry.
     low = grams.groupBy(F.col("gram").bitwiseAND(0xFFFF).alias("gram")).agg(F.sum("n").alias("n")).toPandas()  # 65,536 rows at most
     pair = F.shiftrightunsigned("gram", 8).bitwiseAND(0xFFFF)
-    sizes = [(r["pair"], r["grams"]) for r in grams.groupBy(pair.alias("pair")).agg(F.count(F.lit(1)).alias("grams")).collect()]  # 65,536 at most
-    shards = ranges(sizes, shard_grams)
+    sizes = grams.groupBy(pair.alias("pair")).agg(F.count(F.lit(1)).alias("grams")).toPandas()  # 65,536 rows at most
+    shards = ranges(list(zip(sizes["pair"].tolist(), sizes["grams"].tolist())), shard_grams)
 
     counts = save(count_words(train), "lm-words")
     stats = counts.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).first()
     tokens, distinct = int(stats["n"] or 0), int(stats["v"])
     least = common_from(counts, common_words)
-    common = {bytes(r["word"]): r["n"] for r in counts.where(F.col("n") >= least).toLocalIterator()}
-    words = spark.sparkContext.broadcast(common)
+    common = counts.where((F.col("n") >= least) & (F.octet_length("word") > 0)).toPandas()  # ``common_words`` rows at most
+    ends = counts.where(F.octet_length("word") == 0).first()
+    words = spark.sparkContext.broadcast((uuid.uuid4().hex, b" ".join(map(bytes, common["word"])), common["n"].to_numpy(), int(ends["n"]) if ends else 0))
+    del common
     floor = tokens + distinct + 1
 
     def score_shard(number: int, low_pair: int, high_pair: int) -> DataFrame:
         part = grams.where((pair >= low_pair) & (pair < high_pair)).toPandas()  # shard_grams rows at most, or one pair of bytes
-        trie = spark.sparkContext.broadcast(Trie(part["gram"].to_numpy(), part["n"].to_numpy(), low["gram"].to_numpy(), low["n"].to_numpy(), order))
+        part = part["gram"].to_numpy(), part["n"].to_numpy()
+        trie = spark.sparkContext.broadcast(Trie(*part, low["gram"].to_numpy(), low["n"].to_numpy(), order))
+        del part
 
         def work(batches):
             import math
@@ -241,7 +260,7 @@ def score(
 
             import numpy as np
 
-            model, known = trie.value, words.value
+            model, known = trie.value, known_words(*words.value)
             logs: dict[int, float] = {}
             for batch in batches:
                 data = [x.lower() for x in batch["data"]]
@@ -277,7 +296,7 @@ def score(
                         if value is None:
                             value = logs[c] = math.log10((c + 1) / floor)
                         base += times * value
-                        n_known += times
+                        n_known += times if c else 0
                     out["n_tokens"].append(sum(found.values()))
                     out["n_known"].append(n_known)
                     out["base"].append(base)
@@ -300,7 +319,7 @@ def score(
     # Words that are not common: at most ``least`` of each in training, so no key of this join is hot.
     rare = first.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("word"), F.col("x.times").alias("times"))
     c = F.coalesce(F.col("n"), F.lit(0))
-    rare = rare.join(counts.where(F.col("n") < least), "word", "left").groupBy("row").agg(
+    rare = rare.join(counts.where((F.col("n") < least) & (F.octet_length("word") > 0)), "word", "left").groupBy("row").agg(
         F.sum(F.col("times") * F.log10((c + 1) / F.lit(float(floor)))).alias("rare_base"), F.sum(F.when(c > 0, F.col("times")).otherwise(0)).alias("rare_known")
     )
     return total.join(rare, "row", "left").select(
