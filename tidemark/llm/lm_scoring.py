@@ -197,7 +197,7 @@ def common_from(counts: DataFrame, most: int) -> int:
     """The least count from which on there are at most ``most`` words; a power of two."""
     power = F.floor(F.log2("n")).cast("int")
     by_power = sorted(((r["power"], r["words"]) for r in counts.groupBy(power.alias("power")).agg(F.count(F.lit(1)).alias("words")).collect()), reverse=True)
-    held, least = 0, 63
+    held, least = 0, 62
     for p, words in by_power:
         held += words
         if held > most:
