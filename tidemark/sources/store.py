@@ -68,7 +68,7 @@ class Store:
             raise PartitionNotWritable("points for a partition that is flushing, dropping or dropped")
         rows = rows.withColumn("level", F.lit(0)).withColumn("generation", F.lit(self.next_generation()))
         # One sort groups a partition's rows, so a task keeps one file open, and row groups hold narrow series and times.
-        rows.repartitionByRange("part_start", "series_key", "timestamp").sortWithinPartitions("part_start", "series_key", "timestamp").write.mode("append").partitionBy("part_start").parquet(self.root)
+        rows.repartitionByRange("part_start", "series_key", "timestamp").sortWithinPartitions("part_start", "series_key", "timestamp").write.mode("append").partitionBy("part_start").option("parquet.bloom.filter.enabled#series_key", "true").parquet(self.root)
 
     def next_generation(self) -> int:
         return int(self._table().agg(F.coalesce(F.max("generation"), F.lit(0))).first()[0]) + 1
