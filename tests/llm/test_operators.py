@@ -370,3 +370,20 @@ def test_repeated_and_nameless_rows(spark, texts):
     assert jaccard_join.join_components(docs).count() == 8
     assert packing.pack_documents(docs).count() >= 9
     assert quality_rules.measure(docs).count() == 9
+
+
+def test_components(spark, monkeypatch):
+    from tidemark.llm import components
+
+    random.seed(12)
+    edges = [(i, i + 1) for i in range(60)] + [(random.randint(100, 400), random.randint(100, 400)) for _ in range(150)] + [(7, 7), (500, 499)]
+    root = {x: x for e in edges for x in e if e[0] != e[1]}
+    for _ in range(70):
+        for a, b in edges:
+            if a != b:
+                root[a] = root[b] = min(root[a], root[b])
+    table = spark.createDataFrame(edges, "a long, b long")
+    for most in (10**6, 20):
+        monkeypatch.setattr(components, "TASK_EDGES", most)
+        assert {r.id: r.component for r in components.components(table).collect()} == root
+    assert components.components(table.limit(0)).count() == 0
