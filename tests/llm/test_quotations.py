@@ -1,4 +1,6 @@
-from tidemark.llm.quotations import format_conversations
+import duckdb
+
+from tidemark.llm.quotations import SQL, format_conversations
 
 SCHEMA = "conv_id long, turn long, role string, text string, level int"
 
@@ -20,7 +22,12 @@ def test_links_levels_and_order(spark):
         (2, 1, "user", None, 0),
         (2, 2, "user", "", 0),
     ]
-    by, _ = run(spark, rows)
+    by, found = run(spark, rows)
+    duck = duckdb.connect()
+    duck.sql("CREATE TABLE conversations (conv_id BIGINT, turn BIGINT, role VARCHAR, text VARCHAR)")
+    duck.executemany("INSERT INTO conversations VALUES (?, ?, ?, ?)", [r[:4] for r in rows])
+    want = duck.sql(SQL)
+    assert sorted((tuple(r[c] for c in want.columns) for r in found), key=repr) == sorted(want.fetchall(), key=repr)
     assert by[1, 2].text == "Behind the hill." and by[1, 2].reply_to == 0 and by[1, 2].root_turn == 0
     r = by[1, 3]
     assert r.text == "Thank you." and r.reply_to == 2 and r.root_turn == 0 and r.max_level == 2 and r.n_quotes == 2 and r.n_linked == 2

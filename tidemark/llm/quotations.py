@@ -128,3 +128,42 @@ def format_conversations(conversations: DataFrame) -> DataFrame:
 
 def op9_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return format_conversations(table(spark, sf_dir, "conversations"))
+
+
+SQL = r"""
+WITH RECURSIVE m AS (SELECT conv_id, turn, role, coalesce(text, '') AS t FROM conversations
+), o AS (
+  SELECT *, CASE WHEN regexp_matches(t, '(?m)^[ \t]*>') THEN trim(regexp_replace(array_to_string(list_filter(string_split(t, chr(10)),
+      lambda x: NOT regexp_matches(x, '^[ \t]*>') AND NOT regexp_matches(x, '^On .{1,200} wrote:\s*$')), chr(10)), '\n{3,}', chr(10) || chr(10), 'g')) ELSE t END AS own FROM m
+), x AS (
+  SELECT conv_id, turn, unnest(string_split(t, chr(10))) AS line, generate_subscripts(string_split(t, chr(10)), 1) AS place FROM m WHERE regexp_matches(t, '(?m)^[ \t]*>')
+), l AS (
+  SELECT *, length(regexp_replace(regexp_extract(line, '^(?:[ \t]*>)+'), '[^>]', '', 'g')) AS lvl,
+         trim(regexp_replace(lower(regexp_replace(line, '^(?:[ \t]*>)+', '')), '\s+', ' ', 'g')) AS words FROM x
+), s AS (
+  SELECT *, lvl <> lag(lvl, 1, 0) OVER w OR words = '' OR lag(words, 1, '') OVER w = '' AS starts FROM l WINDOW w AS (PARTITION BY conv_id, turn ORDER BY place)
+), p AS (
+  SELECT *, sum(CASE WHEN starts THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id, turn ORDER BY place) AS passage FROM s
+), q AS (
+  SELECT conv_id, turn, passage, lvl, string_agg(words, ' ' ORDER BY place) AS words, true AS run FROM p WHERE lvl > 0 AND words <> '' GROUP BY conv_id, turn, passage, lvl
+  UNION ALL SELECT conv_id, turn, passage, lvl, words, false FROM p WHERE lvl > 0 AND words <> ''
+), wr AS (
+  SELECT conv_id, turn, unnest(list_concat([own], string_split_regex(own, '\n[ \t]*\n'), string_split(own, chr(10)))) AS part FROM o
+), wn AS (
+  SELECT conv_id, trim(regexp_replace(lower(part), '\s+', ' ', 'g')) AS words, min(turn) AS first_turn FROM wr GROUP BY ALL
+), h AS (
+  SELECT q.*, len(string_split(q.words, ' ')) AS n_words, CASE WHEN first_turn < turn THEN first_turn END AS first_turn
+  FROM q LEFT JOIN wn ON wn.conv_id = q.conv_id AND wn.words = q.words AND wn.words <> '' WHERE len(string_split(q.words, ' ')) >= 2
+), g AS (
+  SELECT conv_id, turn, passage, lvl, max(CASE WHEN first_turn IS NOT NULL THEN {'a': run, 'b': n_words, 'c': -first_turn} END) AS best FROM h GROUP BY ALL
+), k AS (
+  SELECT conv_id, turn, max(CASE WHEN best IS NOT NULL THEN {'a': -lvl, 'b': best.b, 'c': -best.c} END).c AS reply_to,
+         count(*) AS n_quotes, count(best) AS n_linked, max(lvl) AS max_level FROM g GROUP BY ALL
+), r AS (
+  SELECT conv_id, turn, reply_to AS at_turn FROM k WHERE reply_to IS NOT NULL
+  UNION SELECT r.conv_id, r.turn, k.reply_to FROM r JOIN k ON k.conv_id = r.conv_id AND k.turn = r.at_turn WHERE k.reply_to IS NOT NULL
+), t AS (SELECT conv_id, turn, min(at_turn) AS root_turn FROM r GROUP BY ALL)
+SELECT o.conv_id, o.turn, role, own AS text, reply_to, coalesce(root_turn, o.turn) AS root_turn, CAST(coalesce(n_quotes, 0) AS BIGINT) AS n_quotes,
+       CAST(coalesce(n_linked, 0) AS BIGINT) AS n_linked, CAST(coalesce(max_level, 0) AS BIGINT) AS max_level
+FROM o LEFT JOIN k ON k.conv_id = o.conv_id AND k.turn = o.turn LEFT JOIN t ON t.conv_id = o.conv_id AND t.turn = o.turn
+"""

@@ -20,4 +20,6 @@ QUERIES = {
 ORACLE_SQL = {
     "op2_warc": warc.SQL,
     "op8_exact_dedup": exact_dedup.SQL,
+    "op9_quotation_linking": quotations.SQL,
+    "op10_ngram_jaccard_join": jaccard_join.SQL,
 }
