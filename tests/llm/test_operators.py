@@ -324,7 +324,8 @@ def near_copies():
 def test_jaccard_join(spark, texts, monkeypatch):
     docs = dict(enumerate(near_copies() + texts))
     want = brute_components(docs, 4, 85)
-    for size, pivots, frequent in ((200, 16, 32), (12, 1, 5)):
+    for size, pivots, frequent, pair in ((200, 16, 32, 500), (12, 1, 5, 7)):
+        monkeypatch.setattr(jaccard_join, "PAIR_DOCS", pair)
         monkeypatch.setattr(jaccard_join, "SEARCH_DOCS", size)
         monkeypatch.setattr(jaccard_join, "PIVOTS", pivots)
         monkeypatch.setattr(jaccard_join, "FREQUENT", frequent)
@@ -339,7 +340,10 @@ def test_search_finds_all_links():
         for _ in range(60):
             sets = [np.array(sorted(random.sample(range(25), random.randint(1, 14))), np.int64) for _ in range(25)]
             root = list(range(25))
-            for a, b in jaccard_join.search(list(range(25)), sets, 60):
+            found = list(jaccard_join.search(sets, 60))
+            if long_list == 2:  # halves by themselves, and against each other
+                found = list(jaccard_join.search(sets[:12], 60)) + [(a + 12, b + 12) for a, b in jaccard_join.search(sets[12:], 60)] + list(jaccard_join.search(sets[:12], 60, sets[12:]))
+            for a, b in found:
                 root = [min(root[a], root[b]) if x in (root[a], root[b]) else x for x in root]
             want = list(range(25))
             for a in range(25):

@@ -37,7 +37,9 @@ MOST_FREQUENT = 1_000_000
 #: Documents that one search holds, and pivots that each block of a large component also gets.
 SEARCH_DOCS = 200
 PIVOTS = 16
-#: Lists longer than this are probed, as far as the search allows.
+#: Documents of a block that is searched against another one.
+PAIR_DOCS = 500
+#: Lists longer than this are set apart, as far as the search allows.
 LONG_LIST = 24
 
 
@@ -213,26 +215,24 @@ def prefixes(sets: DataFrame, frequent, percent: int) -> DataFrame:
     return map_rows(sets.select("doc_id", "shingles"), "doc_id long, shingle long", work)
 
 
-def search(ids, sets, percent: int, first_only: int | None = None):
-    """Links among documents: yields (a, b) positions, for pairs that are not yet united. With ``first_only``, only pairs
-    of one document before that position and one from it on.
+def search(sets, percent: int, others=None):
+    """Links among sets (sorted arrays): yields positions (a, b) of linked sets that are not yet united. With ``others``,
+    links between one of ``sets`` and one of ``others`` only, whose positions go on behind those of ``sets``.
 
-    A T-occurrence search for every document over those behind it."""
+    A T-occurrence search for every set: its short inverted lists are merged; the long ones, one fewer than the overlap
+    needs at most, are probed by binary search for the sets that are left, or merged too where that touches less."""
     import numpy as np
 
-    n = len(ids)
-    sizes = np.array([len(s) for s in sets])
-    tokens, docs = np.concatenate(sets), np.repeat(np.arange(n), sizes)
-    at = np.argsort(tokens, kind="stable")  # postings of a list stay in order of the documents
+    held = sets if others is None else others
+    shift, n = (0, len(sets)) if others is None else (len(sets), len(others))
+    sizes = np.array([len(s) for s in held])
+    tokens, docs = np.concatenate(held), np.repeat(np.arange(n), sizes)
+    at = np.argsort(tokens, kind="stable")  # postings of a list stay in order of the sets
     tokens, docs = tokens[at], docs[at]
     start = np.flatnonzero(np.r_[True, tokens[1:] != tokens[:-1]])
-    length = np.diff(np.r_[start, len(tokens)])
-    lists = np.repeat(np.arange(len(start)), length)
-    # place[i]: where posting i of the unsorted order lies, so a document's own postings are found at once.
-    place = np.empty(len(at), np.int64)
-    place[at] = np.arange(len(at))
-    ends = np.cumsum(sizes)
-    root = list(range(n))
+    names, stops = tokens[start], np.r_[start[1:], len(tokens)]
+    keys = np.repeat(np.arange(len(start)), stops - start) * n + docs  # ascending: a list and a set in it, as one number
+    root = list(range(shift + n))
 
     def find(x):
         while root[x] != x:
@@ -240,56 +240,62 @@ def search(ids, sets, percent: int, first_only: int | None = None):
             x = root[x]
         return x
 
-    for q in range(n):
-        if first_only is not None and q >= first_only:
-            break
-        own = place[ends[q] - sizes[q] : ends[q]]
-        stop = start[lists[own]] + length[lists[own]]
-        begin = own + 1  # documents behind the query
-        rest = stop - begin
-        begin, stop, rest = begin[rest > 0], stop[rest > 0], rest[rest > 0]
-        least = need(percent, int(sizes[q]))
-        if len(rest) < least:
+    def merge(lists, begin, stop):
+        """Overlap of every set with these lists."""
+        length = stop[lists] - begin[lists]
+        gap = np.repeat(begin[lists] - np.r_[0, np.cumsum(length)[:-1]], length)
+        return np.bincount(docs[np.arange(int(length.sum())) + gap], minlength=n)
+
+    for q, s in enumerate(sets):
+        own = np.minimum(np.searchsorted(names, s), len(names) - 1)
+        own = own[names[own] == s]
+        begin, stop = start[own], stops[own]
+        if others is None:  # only sets behind the query
+            begin = np.searchsorted(keys, own * n + q, side="right")
+        some = stop > begin
+        own, begin, stop = own[some], begin[some], stop[some]
+        least = need(percent, len(s))
+        if len(own) < least:
             continue
-        order = np.argsort(rest, kind="stable")
-        # DivideSkip: set the longest lists apart, one fewer than the overlap needs at most.
-        apart = min(int((rest > LONG_LIST).sum()), least - 1)
+        order = np.argsort(stop - begin, kind="stable")
+        apart = min(int((stop - begin > LONG_LIST).sum()), least - 1)
         short, long = order[: len(order) - apart], order[len(order) - apart :]
-        gap = np.repeat(begin[short] - np.r_[0, np.cumsum(rest[short])[:-1]], rest[short])
-        merged = docs[np.arange(int(rest[short].sum())) + gap]
-        overlap = np.bincount(merged, minlength=n)
+        overlap = merge(short, begin, stop)
         hits = np.flatnonzero(overlap >= max(1, least - apart))
-        if first_only is not None:
-            hits = hits[hits >= first_only]
+        mine = find(q)
+        hits = hits[[find(int(x) + shift) != mine for x in hits]] if len(hits) else hits
         if not len(hits):
             continue
-        mine = find(q)
-        hits = hits[[find(int(x)) != mine for x in hits]]
-        required = -(-percent * (sizes[q] + sizes[hits]) // (100 + percent))
+        required = -(-percent * (len(s) + sizes[hits]) // (100 + percent))
+        keep = overlap[hits] + apart >= required
+        hits, required = hits[keep], required[keep]
         count = overlap[hits]
-        for left, i in zip(range(len(long), 0, -1), long[::-1]):
-            keep = count + left >= required
-            if not keep.all():
-                hits, required, count = hits[keep], required[keep], count[keep]
-                if not len(hits):
-                    break
-            run = docs[begin[i] : stop[i]]
-            spot = np.minimum(np.searchsorted(run, hits), len(run) - 1)
-            count = count + (run[spot] == hits)
+        if len(hits) and apart:
+            if 8 * len(hits) * apart < int((stop[long] - begin[long]).sum()):
+                wanted = (own[long][:, None] * n + hits[None, :]).ravel()
+                spot = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+                count = count + (keys[spot] == wanted).reshape(apart, len(hits)).sum(axis=0)
+            else:
+                count = count + merge(long, begin, stop)[hits]
         for x in hits[count >= required]:
-            a, b = find(q), find(int(x))
+            a, b = find(q), find(int(x) + shift)
             if a != b:
                 root[max(a, b)] = min(a, b)
-                yield q, int(x)
+                yield q, int(x) + shift
 
 
-def roots_of(frame, percent: int):
-    """(a, b) ids that link, for one frame of documents of one component."""
+def links_of(frame, percent: int) -> list[tuple[int, int]]:
+    """(a, b) ids that link, of documents that one search holds; ``side`` tells blocks that are searched crosswise."""
     import numpy as np
 
-    ids = frame["doc_id"].to_numpy()
-    sets = [np.asarray(s, np.int64) for s in frame["shingles"]]
-    return [(int(ids[a]), int(ids[b])) for a, b in search(ids, sets, percent)]
+    frame = frame.drop_duplicates(["doc_id", "side"])
+    sides = [g for _, g in frame.groupby("side")]
+    frames = [([int(x) for x in g["doc_id"]], [np.asarray(x, np.int64) for x in g["shingles"]]) for g in sides]
+    if len(frames) == 1:
+        ids, sets = frames[0]
+        return [(ids[a], ids[b]) for a, b in search(sets, percent)]
+    ids = frames[0][0] + frames[1][0]
+    return [(ids[a], ids[b]) for a, b in search(frames[0][1], percent, frames[1][1])]
 
 
 def link(sets: DataFrame, candidates: DataFrame, percent: int) -> DataFrame:
@@ -307,20 +313,20 @@ def link(sets: DataFrame, candidates: DataFrame, percent: int) -> DataFrame:
     def solve(key, frame):
         found = []
         for _, part in frame.groupby("group", sort=False):
-            part = part.drop_duplicates("doc_id")
             if len(part) > 1:
-                found += roots_of(part, percent)
+                found += links_of(part, percent)
         return pd.DataFrame(found, columns=["a", "b"]).astype("int64")
 
+    one = F.lit(0).alias("side")
     # Small components: many in a task. Large ones: a block a task, with the pivots of the component.
-    whole = rows.where("blocks = 1").select(F.pmod(F.xxhash64("comp"), F.lit(groups)).alias("task"), F.col("comp").cast("string").alias("group"), "doc_id", "shingles")
+    whole = rows.where("blocks = 1").select(F.pmod(F.xxhash64("comp"), F.lit(groups)).alias("task"), F.col("comp").cast("string").alias("group"), "doc_id", one, "shingles")
     large = rows.where("blocks > 1")
     block = F.concat_ws("-", F.lit("b"), "comp", "block")
-    parts = large.select(F.xxhash64("comp", "block").alias("task"), block.alias("group"), "doc_id", "shingles")
+    parts = large.select(F.xxhash64("comp", "block").alias("task"), block.alias("group"), "doc_id", one, "shingles")
     # Pivots: the documents of lowest hash; about PIVOTS of each component, by a threshold that its size sets.
     chosen = large.where(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.col("blocks") * SEARCH_DOCS) < PIVOTS)
     copies = chosen.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    copies = copies.select(F.xxhash64("comp", "block").alias("task"), block.alias("group"), "doc_id", "shingles")
+    copies = copies.select(F.xxhash64("comp", "block").alias("task"), block.alias("group"), "doc_id", one, "shingles")
     edges = save(whole.unionByName(parts).unionByName(copies).groupBy("task").applyInPandas(solve, "a long, b long"), "join-edges")
     big = placed.where("blocks > 1").select("doc_id", "comp")
     if big.isEmpty():
@@ -336,31 +342,41 @@ def link(sets: DataFrame, candidates: DataFrame, percent: int) -> DataFrame:
     key = F.xxhash64("comp", "shingle").alias("key")
 
     def with_enough(docs: DataFrame, keys: DataFrame) -> DataFrame:
-        """Rows of ``docs`` that have the least overlap or more among ``keys``."""
-        postings = sets.join(docs, "doc_id").select("doc_id", "n", "comp", F.explode("shingles").alias("shingle"))
-        hits = postings.select("doc_id", "n", key).join(checked(save(keys, "join-filter"), 3 * BROADCAST_ROWS), "key", "left_semi")
-        enough = hits.groupBy("doc_id", "n").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") * 100 >= F.col("n") * percent)
-        return docs.join(checked(save(enough.select("doc_id"), "join-enough")), "doc_id", "left_semi")
+        """Rows of ``docs`` that have the least overlap or more among ``keys``: with their ``n`` and that number, ``c``."""
+        postings = sets.join(checked(docs), "doc_id").select("doc_id", "n", "comp", "label", F.explode("shingles").alias("shingle"))
+        hits = postings.select("doc_id", "n", "comp", "label", key).join(checked(save(keys, "join-filter"), 3 * BROADCAST_ROWS), "key", "left_semi")
+        counts = hits.groupBy("doc_id", "n", "comp", "label").agg(F.count(F.lit(1)).alias("c"))
+        return save(counts.where(F.col("c") * 100 >= F.col("n") * percent), "join-enough")
+
+    def with_partner(docs: DataFrame) -> DataFrame:
+        """Of ``docs`` (from ``with_enough``) those whose size and ``c`` let them link with some other one's."""
+        kinds = docs.groupBy("comp", F.col("n").alias("m"), F.col("c").alias("d")).agg(F.count(F.lit(1)).alias("k"))
+        # For each size the largest number; twice, in case it is the document's own.
+        kinds = kinds.groupBy("comp", "m").agg(F.max("d").alias("d"), F.sum("k").alias("k"))
+        most = F.least("c", "d")
+        fits = (F.col("docs.comp") == F.col("kinds.comp")) & (most * (100 + percent) >= F.lit(percent) * (F.col("n") + F.col("m"))) & ((F.col("k") > 1) | (F.col("n") != F.col("m")))
+        return docs.alias("docs").join(checked(save(kinds, "join-kinds")).alias("kinds"), fits, "left_semi")
 
     theirs = sets.join(apart, "doc_id").select("comp", F.explode("shingles").alias("shingle")).select(key).distinct()
     others = with_enough(marked.where("label = main").select("doc_id", "comp", "label"), theirs)
-    left = save(apart.unionByName(others), "join-left")
-    for _ in range(3):  # each round only spares searches
+    left = save(apart.unionByName(others.select("doc_id", "comp", "label")), "join-left")
+    for _ in range(4):  # each round only spares searches
         postings = sets.join(checked(left), "doc_id").select("label", "comp", F.explode("shingles").alias("shingle"))
         mixed = postings.groupBy(key).agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
-        before, left = left.count(), save(with_enough(left, mixed), "join-left")
+        before, left = left.count(), save(with_partner(with_enough(left, mixed)).select("doc_id", "comp", "label"), "join-left")
         now = left.count()
         if not now:
             return components(edges)
         if now > 0.8 * before:
             break
     sizes = checked(save(left.groupBy("comp").agg(F.count(F.lit(1)).alias("m")), "join-sizes"))
-    dealt = left.join(sizes, "comp").withColumn("blocks", F.ceil(F.col("m") / SEARCH_DOCS).cast("long"))
+    dealt = left.join(sizes, "comp").withColumn("blocks", F.ceil(F.col("m") / PAIR_DOCS).cast("long"))
     dealt = checked(save(dealt.withColumn("block", F.pmod(F.xxhash64("doc_id", F.lit(3)), F.col("blocks"))), "join-dealt"))
     # Block against block: every pair of blocks of a component is one task's group.
     pairs = sets.join(dealt, "doc_id").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     name = F.concat_ws("-", "comp", F.least("block", "other"), F.greatest("block", "other"))
-    pairs = pairs.select(F.xxhash64(name).alias("task"), name.alias("group"), "doc_id", "shingles")
+    side = (F.col("block") > F.col("other")).cast("int").alias("side")
+    pairs = pairs.select(F.xxhash64(name).alias("task"), name.alias("group"), "doc_id", side, "shingles")
     rest = save(pairs.groupBy("task").applyInPandas(solve, "a long, b long"), "join-rest")
     return components(edges.unionByName(rest))
 
