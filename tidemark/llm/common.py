@@ -76,6 +76,19 @@ def filesystem(uri: str):
     return (fs.LocalFileSystem(), path) if path else fs.FileSystem.from_uri(uri)
 
 
+def read_columns(files: list[str], *names: str) -> list:
+    """Columns of a saved table, as numpy arrays (lists where they hold bytes), read by a worker from the shared folder."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    tables = []
+    for file in files:
+        fs, path = filesystem(file)
+        tables.append(pq.read_table(path, filesystem=fs, columns=list(names), partitioning=None))
+    whole = pa.concat_tables(tables)
+    return [x.to_pylist() if pa.types.is_binary(x.type) else x.to_numpy() for x in (whole.column(n) for n in names)]
+
+
 def single_thread_env() -> None:
     """Python workers share cores with others of the same executor."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"

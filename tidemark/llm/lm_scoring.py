@@ -20,12 +20,10 @@ same; an empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import map_rows, save, table, text_or_empty
+from tidemark.llm.common import map_rows, read_columns, save, table, text_or_empty
 
 ORDER = 5  # a gram takes six bytes, which leaves two of a 64-bit number for the text
 START, END = 0xFE, 0xFF  # bytes that no text in UTF-8 has
@@ -207,17 +205,32 @@ def common_from(counts: DataFrame, most: int) -> int:
 
 
 _known: dict = {}
+_tries: dict = {}
 
 
-def known_words(name: str, blob: bytes, n, ends: int) -> dict[bytes, int]:
-    """The common words' counts, made into a dict once in a worker. The end token is always among them."""
+def known_words(files: list[str], ends: int) -> dict[bytes, int]:
+    """The common words' counts, read once in a worker. The end token is always among them."""
+    name = (*files, ends)
     if name not in _known:
         _known.clear()
-        _known[name] = dict(zip(blob.split(b" "), n.tolist())) if blob else {}
+        word, n = read_columns(files, "word", "n") if files else ([], [])
+        _known[name] = {w: int(c) for w, c in zip(word, n)}
         _known[name][END_WORD] = ends
     return _known[name]
 
 
+def trie_of(files: list[str], low, order: int) -> Trie:
+    """A shard's trie, made once in a worker."""
+    import numpy as np
+
+    name = (*files, order)
+    if name not in _tries:
+        _tries.clear()
+        grams, n = read_columns(files, "gram", "n") if files else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        _tries[name] = Trie(grams, n, *low, order)
+    return _tries[name]
+
+
 def score(
     docs: DataFrame, held_out: Column, order: int = ORDER, shard_grams: int = SHARD_GRAMS, common_words: int = COMMON_WORDS
 ) -> DataFrame:
@@ -232,7 +245,7 @@ def score(
     train = rows.where("not held_out")
 
     grams = save(count_grams(train, order), "ppm-grams")
-    # The driver holds arrays, never a row object for each entry.
+    # The driver sees counts and 65,536 pairs of bytes at most; workers read their shard from the shared folder.
     low = grams.groupBy(F.col("gram").bitwiseAND(0xFFFF).alias("gram")).agg(F.sum("n").alias("n")).toPandas()  # 65,536 rows at most
     pair = F.shiftrightunsigned("gram", 8).bitwiseAND(0xFFFF)
     sizes = grams.groupBy(pair.alias("pair")).agg(F.count(F.lit(1)).alias("grams")).toPandas()  # 65,536 rows at most
@@ -242,17 +255,15 @@ def score(
     stats = counts.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).first()
     tokens, distinct = int(stats["n"] or 0), int(stats["v"])
     least = common_from(counts, common_words)
-    common = counts.where((F.col("n") >= least) & (F.octet_length("word") > 0)).toPandas()  # ``common_words`` rows at most
+    common = save(counts.where((F.col("n") >= least) & (F.octet_length("word") > 0)).coalesce(1), "lm-common").inputFiles()  # ``common_words`` rows at most
     ends = counts.where(F.octet_length("word") == 0).first()
-    words = spark.sparkContext.broadcast((uuid.uuid4().hex, b" ".join(map(bytes, common["word"])), common["n"].to_numpy(), int(ends["n"]) if ends else 0))
-    del common
+    ends = int(ends["n"]) if ends else 0
+    low = low["gram"].to_numpy(), low["n"].to_numpy()
     floor = tokens + distinct + 1
 
     def score_shard(number: int, low_pair: int, high_pair: int) -> DataFrame:
-        part = grams.where((pair >= low_pair) & (pair < high_pair)).toPandas()  # shard_grams rows at most, or one pair of bytes
-        part = part["gram"].to_numpy(), part["n"].to_numpy()
-        trie = spark.sparkContext.broadcast(Trie(*part, low["gram"].to_numpy(), low["n"].to_numpy(), order))
-        del part
+        part = grams if len(shards) == 1 else save(grams.where((pair >= low_pair) & (pair < high_pair)), "ppm-shard")
+        files = part.inputFiles()  # shard_grams rows at most, or one pair of bytes
 
         def work(batches):
             import math
@@ -260,7 +271,7 @@ def score(
 
             import numpy as np
 
-            model, known = trie.value, known_words(*words.value)
+            model, known = trie_of(files, low, order), known_words(common, ends)
             logs: dict[int, float] = {}
             for batch in batches:
                 data = [x.lower() for x in batch["data"]]
