@@ -28,7 +28,7 @@ from tidemark.llm.common import BROADCAST_ROWS, checked, map_rows, save, table,
 from tidemark.llm.components import components
 
 #: Shingles of a block of documents, and of a hash range; documents of a block.
-BLOCK_SHINGLES = 3_000_000
+BLOCK_SHINGLES = 1_500_000
 RANGE_SHINGLES = 2_000_000
 BLOCK_DOCS = 60_000
 #: A shingle is frequent from so many survivors on, or from this share of all their shingles on: at most a million are.
@@ -47,7 +47,7 @@ class WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
         import xxhash
 
-        if len(self) > 1_000_000:
+        if len(self) > 300_000:
             self.clear()
         value = self[word] = xxhash.xxh3_64_intdigest(word)
         return value
