@@ -40,6 +40,17 @@ def importable(spark: SparkSession) -> None:
         spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(x for x in (paths, root) if x)
 
 
+#: Rows that Spark hands to a Python worker at once; documents are long rows, and a worker holds some copies of a batch.
+BATCH_ROWS = 2_000
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def short_batches(spark: SparkSession) -> None:
+    """Lower the session's batch size, unless it is set lower already."""
+    if not 0 < int(spark.conf.get(ARROW_ROWS, "10000")) <= BATCH_ROWS:
+        spark.conf.set(ARROW_ROWS, str(BATCH_ROWS))
+
+
 def save(df: DataFrame, label: str) -> DataFrame:
     """Cut the lineage: write ``df`` as Parquet into the shared folder and read it again.
 
@@ -103,6 +114,7 @@ def map_rows(df: DataFrame, schema: str, work) -> DataFrame:
     from pyspark.sql.types import StructType
 
     importable(df.sparkSession)
+    short_batches(df.sparkSession)
     arrow = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches):

@@ -31,8 +31,8 @@ SYMBOLS = 255  # 256 bytes less the start mark; the end mark is one of them
 SHARD_GRAMS = 3_000_000
 COMMON_WORDS = 250_000
 #: Bytes that are turned into numbers at once, and entries that a counting task holds before it passes them on.
-BLOCK = 2 << 20
-HELD = 3_000_000
+BLOCK = 1 << 19
+HELD = 1_600_000
 END_WORD = b""  # the end token; no word is empty
 
 
@@ -183,7 +183,7 @@ def count_words(train: DataFrame) -> DataFrame:
             for data in batch["data"]:
                 held.update(data.lower().split())
                 held[END_WORD] += 1
-                if len(held) > HELD // 4:
+                if len(held) > HELD // 3:
                     yield {"word": list(held.keys()), "n": list(held.values())}
                     held.clear()
         yield {"word": list(held.keys()), "n": list(held.values())}
