@@ -391,3 +391,35 @@ def test_components(spark, monkeypatch):
         monkeypatch.setattr(components, "TASK_EDGES", most)
         assert {r.id: r.component for r in components.components(table).collect()} == root
     assert components.components(table.limit(0)).count() == 0
+
+
+def test_toxicity_learns_from_few_labels(spark):
+    random.seed(12)
+    words = [f"w{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(400)]
+    docs = {i: " ".join([random.choice(words) for _ in range(30)] + ["vile", "nasty"] * (i % 5 == 0)) for i in range(90)}
+    table = spark.createDataFrame([(i, int(i % 5 == 0)) for i in range(40)], "doc_id long, toxic int")
+    held = toxicity.fold(F.col("doc_id")) == 0
+    got = collect(toxicity.score(frame(spark, docs), table, ~held, held))
+    assert all(got[i].predicted == 1 for i in docs if i % 5 == 0)
+    assert sum(got[i].predicted for i in docs if i % 5) <= 3
+    # Terms that do not go with the label make neighbours as well.
+    assert all(r.neighbours for r in got.values())
+
+
+def test_block_max_is_exact_over_many_terms():
+    random.seed(10)
+    idf = np.array([random.uniform(1, 3) * (20 if i % 50 == 0 else 1) for i in range(3000)])
+    vector = lambda: (sorted({min(2999, int(random.expovariate(0.01))) for _ in range(random.randint(0, 80))}), 1)
+    examples = [(t, [random.randint(1, 3) for _ in t]) for t, _ in (vector() for _ in range(2000))]
+    index = toxicity.BlockMaxIndex(examples, idf)
+    dense = np.zeros((2000, 3000))
+    for i, (t, n) in enumerate(examples):
+        if t:
+            dense[i, t] = index.weigh(t, n)
+    before, toxicity.FIRST_POSTINGS = toxicity.FIRST_POSTINGS, 64
+    for t, n in examples[:150]:
+        ids, cosines = index.nearest(t, n, 10)
+        all_ = dense[:, t] @ index.weigh(t, n) if t else np.zeros(2000)
+        want = sorted(((-round(c, 9), i) for i, c in enumerate(all_) if c > 0))[:10]
+        assert ids.tolist() == [i for _, i in want] and cosines.tolist() == pytest.approx([-c for c, _ in want])
+    toxicity.FIRST_POSTINGS = before

@@ -1,15 +1,17 @@
 """Toxicity by the nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
-Terms are runs of letters in lower case. Those whose presence goes with the label (a chi-square over the labelled sample)
-make the vocabulary; document frequencies for the weights are counted over all documents. The labelled examples lie in an
-inverted index of fixed blocks, with the largest weight of every term in every block: a query visits blocks in order of
-their upper bound, and stops when no block can hold a nearer example than those found, so its neighbours are exact. The
-neighbours vote, weighted by their distance; an isotonic curve over the sample's own votes (each example left out of its
-own neighbours) turns votes into probabilities.
+Terms are runs of letters in lower case, and all terms of the labelled examples make the vocabulary: a term that no example
+has adds to no dot product and scales all cosines of its text alike. A weight is TF-IDF times one plus the chi-square (with
+Yates's correction) of the term's presence against the label, so terms that go with the label count for more and none is
+left out, however small the sample; document frequencies are counted over all documents. The labelled examples lie in an
+inverted index with the largest weight of every term, for frequent terms in every block of examples: a query adds up terms
+by weight for each posting until the others' upper bounds leave few examples that can be among the nearest, and finishes
+those alone, so its neighbours are exact. The neighbours vote, weighted by their distance; an isotonic curve over the
+sample's own votes (each example left out of its own neighbours) turns votes into probabilities.
 
 The classifier is fitted on at most ``SAMPLE`` labelled rows, drawn by a hash of the id; all else covers all rows.
 
-Defined cases: a null or empty text, and one without a vocabulary term, has no neighbours and gets the curve's value for
+Defined cases: a null or empty text, and one without a term of the examples, has no neighbours and gets the curve's value for
 such examples; texts of any length are read whole; equal cosines go to the example drawn first; repeated rows are scored
 each; where labels of one document differ, it is toxic; a row without a doc_id is left out; without labels every score is 0; an empty table gives an empty
 result; other columns are ignored.
@@ -17,16 +19,17 @@ result; other columns are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import checked, map_rows, save, table, text_or_empty
+from tidemark.llm.common import checked, map_rows, read_columns, save, table, text_or_empty
 
 SAMPLE = 20_000
-TERMS = 2_048
-LEAST_CHI2 = 40.0
 NEIGHBOURS = 48
 BLOCK = 128
+#: Postings that a query reads before it first looks which examples can still be among the nearest.
+FIRST_POSTINGS = 8_192
+REMEMBERED = 20_000
 #: Added to a distance before its inverse weighs the vote.
 NEAR = 0.1
 EVIDENCE = 5
@@ -50,8 +53,10 @@ def words_of():
     return re.compile(r"[^\W\d_]+").findall
 
 
-def choose_terms(examples: DataFrame, terms: int = TERMS, least: float = LEAST_CHI2) -> dict[str, int]:
-    """The vocabulary: terms by chi-square of presence against the label, from (toxic, text) rows of the sample."""
+def choose_terms(examples: DataFrame):
+    """(vocabulary, chi2): every term of the (toxic, text) rows of the sample with its number, and the chi-square of its
+    presence against the label by number."""
+    import numpy as np
 
     def work(batches):
         from collections import Counter
@@ -70,23 +75,23 @@ def choose_terms(examples: DataFrame, terms: int = TERMS, least: float = LEAST_C
 
     found = map_rows(examples.select("toxic", "text"), "term string, t long, c long", work)
     found = found.groupBy("term").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
+    found = found.orderBy("term").toArrow()  # the terms of ``SAMPLE`` texts at most
     n = examples.agg(F.sum("toxic").alias("t"), F.count(F.lit(1)).alias("n")).first()
     toxic, clean = float(n["t"] or 0), float(n["n"] - (n["t"] or 0))
-    if not toxic or not clean:
-        return {}
-    a, b = F.col("t").cast("double"), F.col("c").cast("double")
-    chi2 = (toxic + clean) * F.pow(a * (clean - b) - b * (toxic - a), 2) / ((a + b) * (toxic + clean - a - b) * toxic * clean)
-    best = found.where((a + b >= 3) & (a + b < toxic + clean)).withColumn("chi2", chi2).where(F.col("chi2") >= least)
-    return {r["term"]: i for i, r in enumerate(best.orderBy(F.desc("chi2"), "term").limit(terms).collect())}
+    a, b = (found.column(x).to_numpy().astype(float) for x in ("t", "c"))
+    apart = np.maximum(np.abs(a * (clean - b) - b * (toxic - a)) - (toxic + clean) / 2, 0)
+    under = (a + b) * (toxic + clean - a - b) * toxic * clean
+    chi2 = np.where(under > 0, (toxic + clean) * apart**2 / np.where(under > 0, under, 1), 0)
+    return {w: i for i, w in enumerate(found.column("term").to_pylist())}, chi2
 
 
-def vectors(docs: DataFrame, vocabulary: dict[str, int]) -> DataFrame:
-    """(row, doc_id, terms, times): the vocabulary terms of every whole text, in ascending order."""
+def vectors(docs: DataFrame, shared) -> DataFrame:
+    """(row, doc_id, terms, times): the terms of the (broadcast) vocabulary in every whole text, in ascending order."""
 
     def work(batches):
         from collections import Counter
 
-        find = words_of()
+        find, vocabulary = words_of(), shared.value
         for batch in batches:
             terms, times = [], []
             for text in batch.pop("text"):
@@ -99,30 +104,43 @@ def vectors(docs: DataFrame, vocabulary: dict[str, int]) -> DataFrame:
     return map_rows(rows, "row long, doc_id long, terms array<int>, times array<int>", work)
 
 
+def spans(starts, sizes):
+    """The numbers starts[i] to starts[i] + sizes[i], one range after the other."""
+    import numpy as np
+
+    ends = np.cumsum(sizes)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - ends + sizes, sizes)
+
+
 class BlockMaxIndex:
-    """Labelled examples by term, in blocks of ``block`` examples; weights are of unit length for each example."""
+    """Labelled examples by term; weights are of unit length for each example. Terms in more than twice as many examples as
+    there are blocks of ``block`` examples have their largest weight in each block, the others one for all blocks."""
 
     def __init__(self, examples: list[tuple[list[int], list[int]]], idf, block: int = BLOCK):
         import numpy as np
 
         self.idf, self.block, self.size = idf, block, len(examples)
         self.blocks = -(-len(examples) // block)
-        terms, ids, weights = [], [], []
-        for i, (t, n) in enumerate(examples):
-            if t:
-                w = self.weigh(t, n)
-                terms.append(np.asarray(t))
-                ids.append(np.full(len(t), i))
-                weights.append(w)
         one = lambda x, kind: np.concatenate(x).astype(kind) if x else np.zeros(0, kind)
-        terms, ids, weights = one(terms, np.int64), one(ids, np.int64), one(weights, float)
-        at = np.lexsort((ids, terms))
-        terms, self.ids, self.weights = terms[at], ids[at], weights[at]
-        # Postings of term t in block b: bounds[t, b] to bounds[t, b + 1].
-        keys = terms * (self.blocks + 1) + self.ids // block
-        self.bounds = np.searchsorted(keys, np.arange(len(idf))[:, None] * (self.blocks + 1) + np.arange(self.blocks + 1)[None, :])
-        self.most = np.zeros((len(idf), max(1, self.blocks)))
-        np.maximum.at(self.most, (terms, self.ids // block), self.weights)
+        self.lengths = np.array([len(t) for t, _ in examples], np.int64)
+        self.offsets = np.cumsum(self.lengths) - self.lengths
+        self.terms = one([np.asarray(t) for t, _ in examples], np.int32)
+        self.own = one([self.weigh(np.asarray(t), n) for t, n in examples if len(t)], float)
+        ids = np.repeat(np.arange(self.size, dtype=np.int32), self.lengths)
+        at = np.argsort(self.terms, kind="stable")
+        self.ids, self.weights = ids[at], self.own[at]
+        ends = np.cumsum(np.bincount(self.terms, minlength=len(idf)))
+        self.starts = np.r_[0, ends].astype(np.int64)
+        # Postings of term t: starts[t] to starts[t + 1].
+        self.top = np.zeros(len(idf))
+        np.maximum.at(self.top, self.terms, self.own)
+        frequent = np.flatnonzero(np.diff(self.starts) > 2 * self.blocks)
+        self.place = np.full(len(idf), -1, np.int32)
+        self.place[frequent] = np.arange(len(frequent))
+        self.most = np.zeros((len(frequent), max(1, self.blocks)))
+        held = self.place[self.terms] >= 0
+        np.maximum.at(self.most, (self.place[self.terms[held]], ids[held] // block), self.own[held])
+        self.query = np.zeros(len(idf))
 
     def weigh(self, terms, times):
         import numpy as np
@@ -136,30 +154,58 @@ class BlockMaxIndex:
 
         if not len(terms) or not self.size:
             return np.zeros(0, np.int64), np.zeros(0)
-        terms, weights = np.asarray(terms), self.weigh(terms, times)
-        bound = weights @ self.most[terms]
-        ids, cosines, worst, last = np.zeros(0, np.int64), np.zeros(0), -1.0, -1
-        for b in np.argsort(-bound, kind="stable"):
-            # Cosines are rounded to nine digits, so sums of other order are equal. A block that can only equal the worst
-            # one found matters if it holds earlier examples than those with that cosine.
-            if bound[b] <= 0 or bound[b] < worst - 1e-9:
+        terms = np.asarray(terms)
+        weights = self.weigh(terms, times)
+        upper, sizes = weights * self.top[terms], self.starts[terms + 1] - self.starts[terms]
+        order = np.argsort(-upper / np.maximum(sizes, 1), kind="stable")
+        terms, weights, upper, sizes = terms[order], weights[order], upper[order], sizes[order]
+        read = np.cumsum(sizes)
+        dots, done, most = np.zeros(self.size), 0, FIRST_POSTINGS
+        while True:
+            to = max(done + 1, int(np.searchsorted(read, most, "right")))
+            part = spans(self.starts[terms[done:to]], sizes[done:to])
+            dots += np.bincount(self.ids[part], weights=np.repeat(weights[done:to], sizes[done:to]) * self.weights[part], minlength=self.size)
+            done, most = to, most * 3
+            if done >= len(terms):
+                found = np.flatnonzero(dots > 0)
+                cosines = dots[found]
+                break
+            left, left_weights = terms[done:], weights[done:]
+            # The kth best so far is a lower bound of the kth best; the terms left add at most their bound in each block.
+            worst = np.partition(dots, self.size - k)[self.size - k] if self.size > k else 0.0
+            place = self.place[left]
+            bound = upper[done:][place < 0].sum() + left_weights[place >= 0] @ self.most[place[place >= 0]]
+            # Cosines are rounded to nine digits, so those that can come out equal stay in.
+            found = np.flatnonzero(dots + np.repeat(bound, self.block)[: self.size] >= worst - 2e-9)
+            if self.lengths[found].sum() <= read[-1] - read[done - 1]:
+                part = spans(self.offsets[found], self.lengths[found])
+                self.query[left] = left_weights
+                each = self.query[self.terms[part]] * self.own[part]
+                self.query[left] = 0
+                cosines = dots[found] + np.bincount(np.repeat(np.arange(len(found)), self.lengths[found]), weights=each, minlength=len(found))
+                found, cosines = found[cosines > 0], cosines[cosines > 0]
                 break
-            if bound[b] < worst + 4e-10 and b * self.block > last:
-                continue
-            dots = np.zeros(self.block)
-            for t, w in zip(terms, weights):
-                part = slice(self.bounds[t, b], self.bounds[t, b + 1])
-                dots[self.ids[part] - b * self.block] += w * self.weights[part]
-            hit = np.flatnonzero(dots > 0)
-            ids, cosines = np.r_[ids, hit + b * self.block], np.round(np.r_[cosines, dots[hit]], 9)
-            if len(ids) > k:
-                top = np.lexsort((ids, -cosines))[:k]
-                ids, cosines = ids[top], cosines[top]
-            if len(ids) == k:
-                worst = cosines.min()
-                last = ids[cosines == worst].max()
-        top = np.lexsort((ids, -cosines))
-        return ids[top], cosines[top]
+        cosines = np.round(cosines, 9)
+        top = np.lexsort((found, -cosines))[:k]
+        return found[top], cosines[top]
+
+
+_indexes: dict = {}
+
+
+def index_of(files: list[str], idf):
+    """(index, toxic, doc_ids, prior) of the saved examples, made once in a worker."""
+    import numpy as np
+
+    name = tuple(files)
+    if name not in _indexes:
+        _indexes.clear()
+        number, doc_id, toxic, terms, times = read_columns(files, "number", "doc_id", "toxic", "terms", "times")
+        order = np.argsort(number)
+        toxic = (toxic[order] > 0).astype(float)
+        index = BlockMaxIndex([(terms[i], times[i]) for i in order], idf)
+        _indexes[name] = index, toxic, doc_id[order].tolist(), float(toxic.mean()) if len(toxic) else 0.0
+    return _indexes[name]
 
 
 def vote(ids, cosines, toxic, prior: float) -> float:
@@ -202,33 +248,33 @@ def score(docs: DataFrame, labels: DataFrame, learn: Column, held_out: Column, s
     docs = docs.where("doc_id is not null").withColumn("doc_id", F.col("doc_id").cast("long"))
     texts = docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(drawn), "doc_id")
     texts = save(texts.dropDuplicates(["doc_id"]), "tox-examples")
-    vocabulary = choose_terms(texts)
-    rows = save(vectors(docs, vocabulary), "tox-vectors")
+    vocabulary, chi2 = choose_terms(texts)
+    words = spark.sparkContext.broadcast(vocabulary)
+    rows = save(vectors(docs, words), "tox-vectors")
     n_docs = rows.count()
     df = np.zeros(max(1, len(vocabulary)))
-    for r in rows.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n")).collect():  # a row for each vocabulary term
-        df[r["term"]] = r["n"]
+    seen = rows.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n")).toArrow()  # a row for each vocabulary term
+    df[seen.column("term").to_numpy()] = seen.column("n").to_numpy()
     idf = np.log((1 + n_docs) / (1 + df)) + 1
+    idf[: len(chi2)] *= 1 + chi2
 
-    examples = (
-        vectors(texts, vocabulary).join(F.broadcast(drawn), "doc_id")
-        .orderBy(F.xxhash64("doc_id"), "doc_id").select("doc_id", "toxic", "terms", "times").collect()
-    )  # fmt: skip  # ``sample`` short rows at most
-    toxic = np.array([r["toxic"] > 0 for r in examples], float)
-    names = [r["doc_id"] for r in examples]
-    prior = float(toxic.mean()) if len(toxic) else 0.0
-    shared = spark.sparkContext.broadcast((BlockMaxIndex([(r["terms"], r["times"]) for r in examples], idf), toxic, names, prior))
+    number = F.row_number().over(Window.orderBy(F.xxhash64("doc_id"), "doc_id"))  # of ``sample`` rows at most
+    examples = save(vectors(texts, words).join(F.broadcast(drawn.withColumn("number", number)), "doc_id"), "tox-index").inputFiles()
+    prior = drawn.join(texts.select("doc_id"), "doc_id", "left_semi").agg(F.avg(F.col("toxic").cast("double"))).first()[0] or 0.0
+    weights = spark.sparkContext.broadcast(idf)
 
     def search(batches, leave_out: bool):
-        index, toxic, names, prior = shared.value
+        from hashlib import blake2b
+
+        index, toxic, names, prior = index_of(examples, weights.value)
         remembered: dict = {}
         place = {x: i for i, x in enumerate(names)} if leave_out else {}
         for batch in batches:
             out = {"row": batch["row"], "doc_id": batch["doc_id"], "vote": [], "neighbours": [], "cosines": []}
             for doc_id, terms, times in zip(batch["doc_id"], batch["terms"], batch["times"]):
-                key = (tuple(terms), tuple(times))
+                key = blake2b(np.array([terms, times], np.int32).tobytes(), digest_size=16).digest()
                 if key not in remembered:
-                    if len(remembered) > 100_000:
+                    if len(remembered) > REMEMBERED:
                         remembered.clear()
                     remembered[key] = index.nearest(terms, times, NEIGHBOURS + 1)
                 ids, cosines = remembered[key]
