@@ -423,3 +423,25 @@ def test_block_max_is_exact_over_many_terms():
         want = sorted(((-round(c, 9), i) for i, c in enumerate(all_) if c > 0))[:10]
         assert ids.tolist() == [i for _, i in want] and cosines.tolist() == pytest.approx([-c for c, _ in want])
     toxicity.FIRST_POSTINGS = before
+
+
+def test_lm_scoring_when_splits_change_between_passes(spark, tmp_path, monkeypatch):
+    path, size = f"file://{tmp_path}/docs", "spark.sql.files.maxPartitionBytes"
+    docs = {i: f"text {i} " + "abc" * (i % 5) + " and more" * (i % 3) for i in range(40)}
+    frame(spark, docs, 8).write.parquet(path)
+    held = lm_scoring.fold(F.col("doc_id"), 7) == 2
+    want = {i: r.score for i, r in collect(lm_scoring.score(spark.read.parquet(path), held, order=3)).items()}
+    before, save = spark.conf.get(size), lm_scoring.save
+
+    def saves(df, label):
+        out = save(df, label)
+        if label == "lm-scored":
+            spark.conf.set(size, "1000")
+        return out
+
+    monkeypatch.setattr(lm_scoring, "save", saves)
+    try:
+        got = lm_scoring.score(spark.read.parquet(path), held, order=3, shard_grams=40).collect()
+    finally:
+        spark.conf.set(size, before)
+    assert sorted(r.doc_id for r in got) == sorted(docs) and all(r.score == pytest.approx(want[r.doc_id]) for r in got)

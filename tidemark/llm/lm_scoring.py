@@ -7,7 +7,8 @@ and bytes of the longer context are excluded from the shorter one's counts. Sinc
 of its suffix, all that exclusion needs is two numbers for each context, so whole batches are scored by table look-ups.
 
 The trie is dealt into shards by the last two bytes of the context, each below ``SHARD_GRAMS`` entries; a pass over the
-texts scores the positions of its shard, and a text's score is the sum over shards. So no worker ever holds more than one
+texts, which are saved with their row numbers before the first one, scores the positions of its shard, and a text's score
+is the sum over shards. So no worker ever holds more than one
 bounded shard, however large the trie becomes.
 
 The base line's common words are looked up in a bounded broadcast table; the others, which by then are rare, are joined
@@ -250,6 +251,9 @@ def score(
     pair = F.shiftrightunsigned("gram", 8).bitwiseAND(0xFFFF)
     sizes = grams.groupBy(pair.alias("pair")).agg(F.count(F.lit(1)).alias("grams")).toPandas()  # 65,536 rows at most
     shards = ranges(list(zip(sizes["pair"].tolist(), sizes["grams"].tolist())), shard_grams)
+    if len(shards) > 1:
+        # Row numbers follow from the splits of a scan, which may differ from one pass to the next: all passes read one table.
+        rows = save(rows, "lm-rows")
 
     counts = save(count_words(train), "lm-words")
     stats = counts.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).first()
