@@ -445,3 +445,23 @@ def test_lm_scoring_when_splits_change_between_passes(spark, tmp_path, monkeypat
     finally:
         spark.conf.set(size, before)
     assert sorted(r.doc_id for r in got) == sorted(docs) and all(r.score == pytest.approx(want[r.doc_id]) for r in got)
+
+
+def test_incompressible_passages_in_ascii():
+    import base64
+
+    import zstandard
+
+    random.seed(13)
+    words = ["".join(random.choice("etaoinshrdlu") for _ in range(random.randint(2, 8))) for _ in range(300)]
+    prose = " ".join(random.choice(words) for _ in range(5000)).encode()
+    noise = base64.encodebytes(random.randbytes(20_000))
+    compress = zstandard.ZstdCompressor(level=3).compress
+    verdict = lambda data: quality_rules.verdict(data, compress, quality_rules.Limits())
+    assert verdict(prose[:20_000])[1:] == (0.0, True)
+    for share in (0.5, 0.6):
+        n = int(20_000 * share)
+        whole, bad, kept = verdict(prose[: 20_000 - n] + noise[:n])
+        assert bad > 1 / 3 and not kept, (share, whole, bad)
+    letters = "".join(random.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz") + " " * (random.random() < 0.15) for _ in range(4000)).encode()
+    assert not verdict(letters)[2]
