@@ -17,12 +17,11 @@ from __future__ import annotations
 import heapq
 import re
 from array import array
-from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Memory, map_rows, table, text_or_empty
+from tidemark.llm.common import map_rows, Memory, resident, table, text_or_empty
 
 #: White space of the pattern's \s, which is Unicode's property; Python's own has four separators more.
 SPACE = "\t-\r \x85\xa0  -     　"
@@ -157,10 +156,9 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
-@lru_cache(maxsize=1)
 def encoder_of(ranks_path: str, pattern: str) -> TextEncoder:
-    """A worker's encoder, with what it remembers, serves all of its tasks."""
-    return TextEncoder(load_ranks(ranks_path), pattern)
+    """A worker's encoder, with what it remembers, serves its next tasks."""
+    return resident(("byte-bpe", ranks_path, pattern), lambda: TextEncoder(load_ranks(ranks_path), pattern))
 
 
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
@@ -188,7 +186,7 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, keep_ids: b
                     values.append(v)
             yield out
 
-    return map_rows(docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text")), schema, work)
+    return map_rows(docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text")), schema, work, keeps=True)
 
 
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

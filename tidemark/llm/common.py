@@ -6,13 +6,13 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Java pattern of the white space that separates words.
 WS = r"[\x20\x09-\x0D]"
-#: Narrow rows (an id and a few numbers) that one broadcast may hold: about 40 MB.
-BROADCAST_ROWS = 500_000
+#: Bytes that one broadcast may hold, as ``checked`` estimates them.
+BROADCAST_BYTES = 48 << 20
 
 _own: dict[str, str] = {}
 
@@ -24,9 +24,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession, label: str) -> str:
     """A fresh folder below spark.checkpoint.dir, which driver and executors share.
 
-    Only where the session has no such setting (tests on one machine) a temporary folder stands in."""
+    Only where all runs on one machine may the setting be missing: a temporary folder stands in then."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         app = spark.sparkContext.applicationId
         base = _own.setdefault(app, _own.get(app) or "file://" + tempfile.mkdtemp(prefix="shared-"))
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex[:12]}"
@@ -40,17 +42,6 @@ def importable(spark: SparkSession) -> None:
         spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(x for x in (paths, root) if x)
 
 
-#: Rows that Spark hands to a Python worker at once; documents are long rows, and a worker holds some copies of a batch.
-BATCH_ROWS = 2_000
-ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
-
-
-def short_batches(spark: SparkSession) -> None:
-    """Lower the session's batch size, unless it is set lower already."""
-    if not 0 < int(spark.conf.get(ARROW_ROWS, "10000")) <= BATCH_ROWS:
-        spark.conf.set(ARROW_ROWS, str(BATCH_ROWS))
-
-
 def save(df: DataFrame, label: str) -> DataFrame:
     """Cut the lineage: write ``df`` as Parquet into the shared folder and read it again.
 
@@ -59,13 +50,32 @@ def save(df: DataFrame, label: str) -> DataFrame:
     importable(spark)
     path = shared_dir(spark, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    saved = spark.read.schema(df.schema).parquet(path)
+    saved.saved_at = path
+    return saved
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of ``save`` that nothing will read again, neither a plan nor a repeated task."""
+    for one in tables:
+        path = one.sparkSession._jvm.org.apache.hadoop.fs.Path(one.saved_at)
+        path.getFileSystem(one.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
 
+def fits(small: DataFrame, most: int | None = None) -> bool:
+    """Whether the rows of a saved table take at most ``most`` bytes: numbers, and the lengths of what is not one."""
+    most = BROADCAST_BYTES if most is None else most
+    width = F.lit(16 + 8 * len(small.columns))
+    for name, kind in small.dtypes:
+        if kind in ("string", "binary"):
+            width = width + F.coalesce(F.octet_length(name), F.lit(0))
+    return (small.agg(F.sum(width.cast("long"))).first()[0] or 0) <= most
 
-def checked(small: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """``small`` (a saved table) marked for broadcast if its row count is within ``limit``; else as it is, for a
-    shuffled join, whose hot keys the adaptive planner splits."""
-    return F.broadcast(small) if small.count() <= limit else small
+
+def checked(small: DataFrame, most: int | None = None) -> DataFrame:
+    """``small`` (a saved table) marked for broadcast if it ``fits``; else as it is, for a shuffled join, whose hot keys the
+    adaptive planner splits."""
+    return F.broadcast(small) if fits(small, most) else small
 
 
 def text_or_empty(col: str = "text"):
@@ -106,28 +116,100 @@ def single_thread_env() -> None:
     os.environ["OMP_NUM_THREADS"] = "1"
 
 
-def map_rows(df: DataFrame, schema: str, work) -> DataFrame:
+#: Rows of an Arrow batch that are turned into Python values at once: documents are long, and values take several times
+#: the room of the batch.
+SLICE_ROWS = 1_000
+
+#: What a worker keeps from one task to the next: the newest thing alone, by name.
+_resident: dict = {}
+
+
+def resident(name, make):
+    """``make()``, kept by this worker for its next tasks until another thing (or a task without one) takes its place."""
+    if name not in _resident:
+        release()
+        _resident[name] = make()
+    return _resident[name]
+
+
+def release() -> None:
+    """Drop what earlier tasks left in this worker, and give its memory back to the system."""
+    import ctypes
+    import gc
+
+    _resident.clear()
+    gc.collect()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not every C library has it
+        pass
+
+
+def worker_setup(keeps: bool = False) -> None:
+    """At the start of every task: ``keeps`` says that the task has a resident thing of its own."""
+    single_thread_env()
+    if not keeps:
+        release()
+
+
+def map_rows(df: DataFrame, schema: str, work, keeps: bool = False) -> DataFrame:
     """``work(batches)`` over Arrow batches as lists: it gets an iterator of {column: list} and yields {column: list}.
 
-    Batches stay within Spark's Arrow limits; nothing of one task is held beyond its batch unless ``work`` holds it."""
+    Lists have at most ``SLICE_ROWS`` rows; nothing of one task is held beyond them unless ``work`` holds it. ``keeps``:
+    ``work`` uses ``resident``."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
     importable(df.sparkSession)
-    short_batches(df.sparkSession)
     arrow = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches):
         import pyarrow as pa
 
-        single_thread_env()
-        lists = ({n: b.column(i).to_pylist() for i, n in enumerate(b.schema.names)} for b in batches)
+        worker_setup(keeps)
+        slices = (b.slice(i, SLICE_ROWS) for b in batches for i in range(0, b.num_rows, SLICE_ROWS))
+        lists = ({n: b.column(i).to_pylist() for i, n in enumerate(b.schema.names)} for b in slices)
         for out in work(lists):
             yield pa.RecordBatch.from_arrays([pa.array(out[f.name], type=f.type) for f in arrow], schema=arrow)
 
     return df.mapInArrow(run, schema)
 
 
+def filter_rows(df: DataFrame, column: str, work, keeps: bool = False) -> DataFrame:
+    """The rows of ``df`` that ``work(values)`` says True for, with all their columns: ``values`` are up to ``SLICE_ROWS``
+    values of ``column``. Each row stands for itself, so nulls, repeated rows and shared ids need no key."""
+    importable(df.sparkSession)
+
+    def run(batches):
+        import pyarrow as pa
+
+        worker_setup(keeps)
+        for b in batches:
+            at = b.schema.get_field_index(column)
+            mask: list[bool] = []
+            for i in range(0, b.num_rows, SLICE_ROWS):
+                mask.extend(work(b.column(at).slice(i, SLICE_ROWS).to_pylist()))
+            yield b.filter(pa.array(mask, pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
+
+
+def stay(docs: DataFrame, key: Column, verdicts: DataFrame, twins: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that stay where copies go, with all their columns.
+
+    ``verdicts`` (key, keep, doc_id, n_chars): of the rows with this key none stays (``keep`` false), or only those of this
+    doc_id and number of code points; keys without a verdict stay. ``twins`` (key): more than one row would stay; one does."""
+    own = docs.withColumns({"__key": key, "__chars": F.length(text_or_empty()).cast("long")})
+    v = checked(verdicts.select(F.col("key").alias("__key"), F.col("keep").alias("__keep"), F.col("doc_id").alias("__id"), F.col("n_chars").alias("__n")))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & F.coalesce(F.col("__chars") == F.col("__n"), F.lit(True))
+    kept = own.join(v, "__key", "left").where(F.col("__keep").isNull() | (F.col("__keep") & same))
+    if twins.isEmpty():
+        return kept.select(*docs.columns)
+    few = checked(twins.select(F.col("key").alias("__key")))
+    one = kept.join(few, "__key", "left_semi").dropDuplicates(["__key"])
+    return kept.join(few, "__key", "left_anti").select(*docs.columns).unionByName(one.select(*docs.columns))
+
+
 class Memory:
     """A bounded memory of computed values in two generations: when the younger one is full it becomes the older, and
     values that are asked for again move back, so common ones stay."""

@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import map_rows, read_columns, save, table, text_or_empty
+from tidemark.llm.common import map_rows, read_columns, resident, save, table, text_or_empty
 
 ORDER = 5  # a gram takes six bytes, which leaves two of a 64-bit number for the text
 START, END = 0xFE, 0xFF  # bytes that no text in UTF-8 has
@@ -205,31 +205,18 @@ def common_from(counts: DataFrame, most: int) -> int:
     return 1 << least
 
 
-_known: dict = {}
-_tries: dict = {}
-
-
 def known_words(files: list[str], ends: int) -> dict[bytes, int]:
-    """The common words' counts, read once in a worker. The end token is always among them."""
-    name = (*files, ends)
-    if name not in _known:
-        _known.clear()
-        word, n = read_columns(files, "word", "n") if files else ([], [])
-        _known[name] = {w: int(c) for w, c in zip(word, n)}
-        _known[name][END_WORD] = ends
-    return _known[name]
+    """The common words' counts. The end token is always among them."""
+    word, n = read_columns(files, "word", "n") if files else ([], [])
+    return {w: int(c) for w, c in zip(word, n)} | {END_WORD: ends}
 
 
 def trie_of(files: list[str], low, order: int) -> Trie:
-    """A shard's trie, made once in a worker."""
+    """A shard's trie."""
     import numpy as np
 
-    name = (*files, order)
-    if name not in _tries:
-        _tries.clear()
-        grams, n = read_columns(files, "gram", "n") if files else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-        _tries[name] = Trie(grams, n, *low, order)
-    return _tries[name]
+    grams, n = read_columns(files, "gram", "n") if files else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+    return Trie(grams, n, *low, order)
 
 
 def score(
@@ -275,7 +262,7 @@ def score(
 
             import numpy as np
 
-            model, known = trie_of(files, low, order), known_words(common, ends)
+            model, known = resident(("trie", *files, *common), lambda: (trie_of(files, low, order), known_words(common, ends)))
             logs: dict[int, float] = {}
             for batch in batches:
                 data = [x.lower() for x in batch["data"]]
@@ -320,7 +307,7 @@ def score(
                 yield out
 
         schema = "row long, doc_id long, held_out boolean, score double, n_tokens long, n_known long, base double, rare array<binary>, times array<long>"
-        return map_rows(rows, schema, work)
+        return map_rows(rows, schema, work, keeps=True)
 
     first = save(score_shard(0, *shards[0]), "lm-scored")
     total = first.select("row", "doc_id", "held_out", "n_tokens", "n_known", "base", "score")

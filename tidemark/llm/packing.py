@@ -13,19 +13,17 @@ columns are ignored.
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Memory, map_rows, save, table, text_or_empty
+from tidemark.llm.common import map_rows, Memory, resident, save, table, text_or_empty
 
 CAPACITY = 2_048
 END_ID = 1
 #: Remainders in a group: 200,000 rows of a few numbers, 20 MB.
 GROUP_ROWS = 200_000
-#: Words with their ids that a worker remembers (about 200 bytes each).
-CACHE_WORDS = 700_000
+#: Words with their ids in each of the two generations that a worker remembers (about 200 bytes each).
+CACHE_WORDS = 250_000
 
 PIECES = "row long, doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 PACKED = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -91,10 +89,9 @@ class WordIds:
         return out
 
 
-@lru_cache(maxsize=1)
 def ids_of(path: str) -> WordIds:
-    """A worker's ids, with what it remembers, serve all of its tasks."""
-    return WordIds(path)
+    """A worker's ids, with what it remembers, serve its next tasks."""
+    return resident(("word-ids", path), lambda: WordIds(path))
 
 
 def cut(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
@@ -121,7 +118,7 @@ def cut(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
     rows = docs.select(
         F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"), text_or_empty().alias("text")
     )
-    return map_rows(rows, PIECES, work)
+    return map_rows(rows, PIECES, work, keeps=True)
 
 
 def fill(counts: dict[int, int], capacity: int) -> tuple[int, list[tuple[int, int]]]:

@@ -14,12 +14,10 @@ an empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Memory, map_rows, table, text_or_empty
+from tidemark.llm.common import map_rows, Memory, resident, table, text_or_empty
 
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
@@ -84,10 +82,9 @@ def load_pieces(path: str) -> list[tuple[str, float]]:
     return [(model.id_to_piece(i), model.get_score(i)) for i in ids if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i))]
 
 
-@lru_cache(maxsize=1)
 def counter_of(model_path: str, byte_pieces: bool) -> PieceCounter:
-    """A worker's counter, with what it remembers, serves all of its tasks."""
-    return PieceCounter(load_pieces(model_path), byte_pieces)
+    """A worker's counter, with what it remembers, serves its next tasks."""
+    return resident(("pieces", model_path, byte_pieces), lambda: PieceCounter(load_pieces(model_path), byte_pieces))
 
 
 def count_tokens(docs: DataFrame, model_path: str, byte_pieces: bool = True) -> DataFrame:
@@ -100,7 +97,7 @@ def count_tokens(docs: DataFrame, model_path: str, byte_pieces: bool = True) ->
             yield {"doc_id": batch["doc_id"], "n_chars": [len(t) for t in texts], "n_tokens": [counter.text(t) for t in texts]}
 
     rows = docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text"))
-    return map_rows(rows, "doc_id long, n_chars long, n_tokens long", work)
+    return map_rows(rows, "doc_id long, n_chars long, n_tokens long", work, keeps=True)
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
