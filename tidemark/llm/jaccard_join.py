@@ -1,53 +1,53 @@
 """Similarity join of documents on word shingles: exact Jaccard components by T-occurrence search.
 
-1. Documents with the same words collapse into a class; only its smallest id goes on.
+1. Rows of the same text are one class, named by the digest of the text; one row of it goes on.
 2. A document can only link if enough of its shingles occur elsewhere. Shingles are gathered by hash range, as packed
    arrays pre-aggregated for a block of documents; each document gets back how many of its own another one has, and
    those below the least possible overlap are done.
-3. The survivors' whole sets are compared. Documents that share a shingle of their prefix (the rarest shingles, so many
-   that two linked documents must share one; frequent ones last) may link: these candidates form components.
-4. In each component a T-occurrence search finds the links: for a query's inverted lists, short ones are merged, long
-   ones are only probed by binary search for what the short ones left, with the overlap that the two sizes need.
-   Large components are dealt into blocks that also hold some of the component's documents as pivots. What is then still
-   apart, and has enough shingles in common with documents of another label, is searched block against block.
+3. Survivors of equal shingle sets become one node. The same exchange among the nodes tells each shingle's number of
+   nodes; that sorts a set's shingles, the rarest first, and sets aside those that nobody else has (only their number
+   counts from here on). Two linked nodes share a shingle of their prefixes, the rarest so many that the overlap cannot
+   do without all of them. Nodes that share one are candidates, and candidates form components.
+4. In a component a T-occurrence search finds the links (DivideSkip): a query's short inverted lists are merged by a heap,
+   the long ones are only probed by binary search for the nodes that the short ones left, with the overlap that the two
+   sizes need. A component beyond one task is dealt into blocks that also hold some of its nodes as pivots; what is then
+   still apart from its main group is searched against every block that its size can link with.
 
 Links inside a component are united where they are found: a group of thousands of near copies costs a row each.
 
 Defined cases: a null or empty text, or one without words, has no shingles and links with nothing; a text of fewer words
-than a shingle is one shingle; texts of any length are read whole; repeated rows share the result of their text; a row without a doc_id is left out; an
-empty
-table gives an empty result; other columns are ignored. Shingles are 64-bit hashes.
+than a shingle is one shingle; texts of any length are read whole; repeated rows share the result of their text; a row
+without a doc_id takes part like any other, but names a component only by the ids of others (component_id is null where
+nothing in it has an id); rows of one doc_id with different texts are different documents; an empty table gives an empty
+result; other columns are ignored. Shingles are 64-bit hashes.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import BROADCAST_ROWS, checked, map_rows, save, table, text_or_empty
+from tidemark.llm.common import checked, fits, importable, map_rows, save, stay, table, text_or_empty, worker_setup
 from tidemark.llm.components import components
 
 #: Shingles of a block of documents, and of a hash range; documents of a block.
-BLOCK_SHINGLES = 1_500_000
-RANGE_SHINGLES = 2_000_000
+BLOCK_SHINGLES = 800_000
+RANGE_SHINGLES = 1_000_000
 BLOCK_DOCS = 60_000
-#: A shingle is frequent from so many survivors on, or from this share of all their shingles on: at most a million are.
-FREQUENT = 32
-MOST_FREQUENT = 1_000_000
-#: Documents that one search holds, and pivots that each block of a large component also gets.
-SEARCH_DOCS = 200
+#: Shingles that one search holds, and nodes that each block of a larger component also gets as pivots.
+SEARCH_SHINGLES = 1_000_000
 PIVOTS = 16
-#: Documents of a block that is searched against another one.
-PAIR_DOCS = 500
-#: Lists longer than this are set apart, as far as the search allows.
-LONG_LIST = 24
+#: Weight of the longest list in the number of long ones that DivideSkip sets apart.
+MU = 0.01
+#: What a row is to a search: one of the nodes to link with each other, or a side of a crosswise search.
+WITHIN, BLOCK, APART = 0, 1, 2
 
 
 class WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
         import xxhash
 
-        if len(self) > 300_000:
+        if len(self) > 200_000:
             self.clear()
         value = self[word] = xxhash.xxh3_64_intdigest(word)
         return value
@@ -75,40 +75,52 @@ def need(percent: int, n):
     return -(-percent * n // 100)
 
 
-def class_keys(docs: DataFrame) -> DataFrame:
-    """(doc_id, key, n_words): the key is a digest of the words, null without words."""
+def digest_of() -> Column:
+    return F.unhex(F.sha2(text_or_empty().cast("binary"), 256))
 
-    def work(batches):
-        import hashlib
 
-        for batch in batches:
-            words = [x.lower().split() for x in batch.pop("data")]
-            yield batch | {"n_words": [len(w) for w in words], "key": [hashlib.sha256(b" ".join(w)).hexdigest() if w else None for w in words]}
+def in_ranges(h, ranges: int):
+    """Bounds of the hash ranges in the sorted hashes ``h``."""
+    import numpy as np
+
+    step = (1 << 64) // ranges + 1
+    return np.r_[np.searchsorted(h, np.array([min(i * step, (1 << 64) - 1) for i in range(ranges)], np.uint64)), len(h)]
+
+
+def block_name(made: int) -> int:
+    """The same number for the same block when a task runs again."""
+    from pyspark import TaskContext
+
+    return (TaskContext.get().partitionId() << 24) + made
+
+
+def grouped(df: DataFrame, by: str, work, schema: str) -> DataFrame:
+    """``work(frame)`` for each value of ``by``, in workers that keep nothing from one task to the next."""
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().cast("binary").alias("data"))
-    return map_rows(rows, "doc_id long, n_words long, key string", work)
+    def run(frame):
+        worker_setup()
+        return work(frame)
 
+    importable(df.sparkSession)
+    return df.groupBy(by).applyInPandas(run, schema)
 
-def support(docs: DataFrame, k: int, total: int) -> DataFrame:
-    """(doc_id, n, shared): a document's number of shingles, and of those that another document has too (never too few)."""
+
+def support(docs: DataFrame, k: int, ranges: int) -> DataFrame:
+    """(digest, n, shared): a document's number of shingles, and of those that another document has too (never too few)."""
     import numpy as np
 
-    ranges = max(64, -(-total // RANGE_SHINGLES))
-    step = (1 << 64) // ranges + 1
-    sent = "part long, block string, shingle binary, doc binary, ids binary"
+    sent = "part long, block long, shingle binary, doc binary, keys binary"
 
     def gather(batches):
-        import uuid
-
-        hashes, name, made = WordHashes(), uuid.uuid4().hex, 0
-        ids, sets, held = [], [], 0
+        hashes, made = WordHashes(), 0
+        keys, sets, held = [], [], 0
 
         def block():
             nonlocal made
             made += 1
-            key = f"{name}-{made}"
+            name = block_name(made)
             sizes = np.array([len(s) for s in sets])
-            h, d = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+            h, d = np.concatenate(sets), np.repeat(np.arange(len(sets), dtype=np.uint16), sizes)
             at = np.argsort(h, kind="stable")
             h, d = h[at], d[at]
             first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
@@ -117,36 +129,34 @@ def support(docs: DataFrame, k: int, total: int) -> DataFrame:
             here = np.bincount(d[np.repeat(times > 1, times)], minlength=len(sets))
             one = np.where(times > 1, 65535, d[first]).astype(np.uint16)
             h = h[first]
-            out = {"part": [-1 - made % ranges], "block": [key], "shingle": [sizes.astype(np.int64).tobytes()], "doc": [here.astype(np.int64).tobytes()], "ids": [np.array(ids, np.int64).tobytes()]}
-            bounds = np.searchsorted(h, np.array([min(i * step, (1 << 64) - 1) for i in range(ranges)], np.uint64))
-            bounds = np.r_[bounds, len(h)]
-            for r in range(ranges):
+            out = {"part": [-1 - name % ranges], "block": [name], "shingle": [sizes.astype(np.int64).tobytes()], "doc": [here.astype(np.int64).tobytes()], "keys": [b"".join(keys)]}
+            bounds = in_ranges(h, ranges)
+            for r in np.flatnonzero(np.diff(bounds)).tolist():
                 a, b = bounds[r], bounds[r + 1]
-                if a < b:
-                    out["part"].append(r)
-                    out["block"].append(key)
-                    out["shingle"].append((h[a:b] & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes())
-                    out["doc"].append(one[a:b].tobytes())
-                    out["ids"].append(None)
-            ids.clear()
+                out["part"].append(r)
+                out["block"].append(name)
+                out["shingle"].append((h[a:b] & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes())
+                out["doc"].append(one[a:b].tobytes())
+                out["keys"].append(None)
+            keys.clear()
             sets.clear()
             return out
 
         for batch in batches:
-            for doc_id, data in zip(batch["doc_id"], batch["data"]):
-                ids.append(doc_id)
+            for key, data in zip(batch["digest"], batch["data"]):
+                keys.append(key)
                 sets.append(shingles(data, k, hashes))
                 held += len(sets[-1])
-                if held >= BLOCK_SHINGLES or len(ids) >= BLOCK_DOCS:
+                if held >= BLOCK_SHINGLES or len(keys) >= BLOCK_DOCS:
                     yield block()
                     held = 0
-        if ids:
+        if keys:
             yield block()
 
-    def count(key, frame):
+    def count(frame):
         import pandas as pd
 
-        if key[0] < 0:  # a block's own figures
+        if frame["part"].iat[0] < 0:  # blocks' own figures
             return frame.drop(columns="part")
         parts = [np.frombuffer(x, np.uint32) for x in frame["shingle"]]
         h = np.concatenate(parts)
@@ -161,74 +171,160 @@ def support(docs: DataFrame, k: int, total: int) -> DataFrame:
             a += len(p)
             d, n = np.unique(d[d != 65535], return_counts=True)
             if len(d):
-                rows.append((block, d.astype(np.uint16).tobytes(), n.astype(np.int64).tobytes(), None))
-        return pd.DataFrame(rows, columns=["block", "shingle", "doc", "ids"])
+                rows.append((block, d.astype(np.uint16).tobytes(), n.astype(np.int32).tobytes(), None))
+        return pd.DataFrame(rows, columns=["block", "shingle", "doc", "keys"])
 
-    def add(key, frame):
+    def add(frame):
         import pandas as pd
 
-        own = frame[frame["ids"].notna()].iloc[0]
+        own = frame[frame["keys"].notna()].iloc[0]
         shared = np.frombuffer(own["doc"], np.int64).copy()
-        for d, n in frame.loc[frame["ids"].isna(), ["shingle", "doc"]].itertuples(index=False):
-            shared[np.frombuffer(d, np.uint16)] += np.frombuffer(n, np.int64)
-        return pd.DataFrame({"doc_id": np.frombuffer(own["ids"], np.int64), "n": np.frombuffer(own["shingle"], np.int64), "shared": shared})
+        for d, n in frame.loc[frame["keys"].isna(), ["shingle", "doc"]].itertuples(index=False):
+            shared[np.frombuffer(d, np.uint16)] += np.frombuffer(n, np.int32)
+        keys = own["keys"]
+        return pd.DataFrame({"digest": [keys[i : i + 32] for i in range(0, len(keys), 32)], "n": np.frombuffer(own["shingle"], np.int64), "shared": shared})
 
-    blocks = map_rows(docs, sent, gather)
-    counts = blocks.groupBy("part").applyInPandas(count, "block string, shingle binary, doc binary, ids binary")
-    # Block names are drawn anew when a task runs again, so what one run gave is written before it is grouped by them.
-    return save(counts, "join-counts").groupBy("block").applyInPandas(add, "doc_id long, n long, shared long")
+    counts = grouped(map_rows(docs, sent, gather), "part", count, "block long, shingle binary, doc binary, keys binary")
+    return grouped(counts, "block", add, "digest binary, n long, shared long")
 
 
 def shingle_sets(docs: DataFrame, k: int) -> DataFrame:
-    """(doc_id, n, shingles) as arrays of signed 64-bit numbers."""
+    """(digest, n, set_key, shingles): shingles as an array of signed 64-bit numbers, and a digest of them."""
 
     def work(batches):
+        import hashlib
+
         import numpy as np
 
         hashes = WordHashes()
         for batch in batches:
-            sets = [shingles(x, k, hashes).view(np.int64) for x in batch.pop("data")]
-            yield batch | {"n": [len(s) for s in sets], "shingles": sets}
+            sets = [shingles(x, k, hashes) for x in batch.pop("data")]
+            yield batch | {"n": [len(s) for s in sets], "set_key": [hashlib.sha256(s.tobytes()).digest() for s in sets], "shingles": [s.view(np.int64) for s in sets]}
 
-    return map_rows(docs, "doc_id long, n long, shingles array<long>", work)
+    return map_rows(docs, "digest binary, n long, set_key binary, shingles array<long>", work)
 
 
-def prefixes(sets: DataFrame, frequent, percent: int) -> DataFrame:
-    """(doc_id, shingle) of every prefix; ``frequent`` is a broadcast, sorted array."""
+def ordered_sets(sets: DataFrame, ranges: int, percent: int) -> DataFrame:
+    """(node, n, head, m, shingles) of the nodes that can link: their m shingles that others have too, the rarest first
+    (all nodes sort by the same order), of which the first ``head`` are the prefix."""
+    import numpy as np
 
-    def work(batches):
-        import numpy as np
+    def gather(batches):
+        made, nodes, sizes, held_sets, held = 0, [], [], [], 0
+
+        def block():
+            nonlocal made
+            made += 1
+            name = block_name(made)
+            lengths = np.array([len(s) for s in held_sets])
+            h, d = np.concatenate(held_sets).view(np.uint64), np.repeat(np.arange(len(lengths), dtype=np.uint16), lengths)
+            at = np.argsort(h, kind="stable")
+            h, d = h[at], d[at]
+            first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
+            times = np.diff(np.r_[first, len(h)])
+            own = np.array([nodes, sizes], np.int64)
+            out = {"part": [-1 - name % ranges], "block": [name], "first": [h.tobytes()], "second": [d.tobytes()], "own": [own.tobytes()]}
+            bounds, names = in_ranges(h[first], ranges), h[first]
+            for r in np.flatnonzero(np.diff(bounds)).tolist():
+                a, b = bounds[r], bounds[r + 1]
+                out["part"].append(r)
+                out["block"].append(name)
+                out["first"].append(names[a:b].tobytes())
+                out["second"].append(np.minimum(times[a:b], 65535).astype(np.uint16).tobytes())
+                out["own"].append(None)
+            nodes.clear()
+            sizes.clear()
+            held_sets.clear()
+            return out
 
-        last = frequent.value
         for batch in batches:
-            out = {"doc_id": [], "shingle": []}
-            for doc_id, s in zip(batch["doc_id"], batch["shingles"]):
-                s = np.asarray(s, np.int64)
-                if len(last):
-                    at = np.minimum(np.searchsorted(last, s), len(last) - 1)
-                    s = s[np.argsort(last[at] == s, kind="stable")]
-                p = s[: len(s) - need(percent, len(s)) + 1]
-                out["doc_id"].extend([doc_id] * len(p))
-                out["shingle"].extend(p.tolist())
-            yield out
+            for node, n, s in zip(batch["node"], batch["n"], batch["shingles"]):
+                nodes.append(node)
+                sizes.append(n)
+                held_sets.append(np.asarray(s, np.int64))
+                held += n
+                if held >= BLOCK_SHINGLES or len(nodes) >= BLOCK_DOCS:
+                    yield block()
+                    held = 0
+        if nodes:
+            yield block()
 
-    return map_rows(sets.select("doc_id", "shingles"), "doc_id long, shingle long", work)
+    def count(frame):
+        import pandas as pd
 
+        if frame["part"].iat[0] < 0:  # blocks' own figures
+            return frame
+        parts = [np.frombuffer(x, np.uint64) for x in frame["first"]]
+        h, where = np.unique(np.concatenate(parts), return_inverse=True)
+        times = np.bincount(where, weights=np.concatenate([np.frombuffer(x, np.uint16) for x in frame["second"]]))
+        times = np.minimum(times, (1 << 32) - 1).astype(np.uint32)[where]
+        ends = np.cumsum([len(p) for p in parts])
+        replies = [times[b - len(p) : b].tobytes() for p, b in zip(parts, ends)]
+        return pd.DataFrame({"part": frame["part"], "block": frame["block"], "first": None, "second": replies, "own": None})
+
+    def order(frame):
+        import pandas as pd
 
-def search(sets, percent: int, others=None):
+        mine = frame[frame["own"].notna()].iloc[0]
+        replies = frame[frame["own"].isna()].sort_values("part")["second"]
+        nodes, sizes = np.frombuffer(mine["own"], np.int64).reshape(2, -1)
+        h, d = np.frombuffer(mine["first"], np.uint64), np.frombuffer(mine["second"], np.uint16)
+        first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
+        often = np.repeat(np.concatenate([np.frombuffer(x, np.uint32) for x in replies]), np.diff(np.r_[first, len(h)]))
+        some = often > 1
+        h, d, often = h[some], d[some], often[some]
+        at = np.lexsort((h, often, d))
+        h, d = h[at].view(np.int64), d[at]
+        ends = np.searchsorted(d, np.arange(len(nodes)), side="right")
+        starts = np.r_[0, ends[:-1]]
+        rows = []
+        for node, n, a, b in zip(nodes.tolist(), sizes.tolist(), starts.tolist(), ends.tolist()):
+            spare = b - a - need(percent, n)  # shingles that the least overlap can do without
+            if spare >= 0:
+                rows.append((node, n, spare + 1, b - a, h[a:b]))
+        return pd.DataFrame(rows, columns=["node", "n", "head", "m", "shingles"])
+
+    sent = "part long, block long, first binary, second binary, own binary"
+    counts = grouped(map_rows(sets, sent, gather), "part", count, sent)
+    return grouped(counts, "block", order, "node long, n long, head long, m long, shingles array<long>")
+
+
+def heap_merge(lists) -> dict[int, int]:
+    """How many of the sorted lists hold each number."""
+    import heapq
+
+    found: dict[int, int] = {}
+    last, times = -1, 0
+    for x in heapq.merge(*lists):
+        if x == last:
+            times += 1
+        else:
+            found[last] = times
+            last, times = x, 1
+    found[last] = times
+    found.pop(-1)
+    return found
+
+
+def search(sets, sizes, percent: int, others=None, other_sizes=None):
     """Links among sets (sorted arrays): yields positions (a, b) of linked sets that are not yet united. With ``others``,
-    links between one of ``sets`` and one of ``others`` only, whose positions go on behind those of ``sets``.
+    links between one of ``sets`` and one of ``others`` only, whose positions go on behind those of ``sets``. ``sizes`` are
+    those of the whole sets; shingles that no two sets share may be missing from the arrays.
+
+    A T-occurrence search for every set (DivideSkip): of its inverted lists the longest are set apart, fewer than the least
+    overlap T; the others are merged by a heap, and those that stay in the running are probed for in the long lists."""
+    import math
 
-    A T-occurrence search for every set: its short inverted lists are merged; the long ones, one fewer than the overlap
-    needs at most, are probed by binary search for the sets that are left, or merged too where that touches less."""
     import numpy as np
 
     held = sets if others is None else others
     shift, n = (0, len(sets)) if others is None else (len(sets), len(others))
-    sizes = np.array([len(s) for s in held])
-    tokens, docs = np.concatenate(held), np.repeat(np.arange(n), sizes)
+    far = np.asarray(sizes if others is None else other_sizes)
+    tokens, docs = np.concatenate(held), np.repeat(np.arange(n), [len(s) for s in held])
     at = np.argsort(tokens, kind="stable")  # postings of a list stay in order of the sets
     tokens, docs = tokens[at], docs[at]
+    if not len(tokens):
+        return
     start = np.flatnonzero(np.r_[True, tokens[1:] != tokens[:-1]])
     names, stops = tokens[start], np.r_[start[1:], len(tokens)]
     keys = np.repeat(np.arange(len(start)), stops - start) * n + docs  # ascending: a list and a set in it, as one number
@@ -240,13 +336,10 @@ def search(sets, percent: int, others=None):
             x = root[x]
         return x
 
-    def merge(lists, begin, stop):
-        """Overlap of every set with these lists."""
-        length = stop[lists] - begin[lists]
-        gap = np.repeat(begin[lists] - np.r_[0, np.cumsum(length)[:-1]], length)
-        return np.bincount(docs[np.arange(int(length.sum())) + gap], minlength=n)
-
     for q, s in enumerate(sets):
+        if not len(s):
+            continue
+        size = int(sizes[q])
         own = np.minimum(np.searchsorted(names, s), len(names) - 1)
         own = own[names[own] == s]
         begin, stop = start[own], stops[own]
@@ -254,175 +347,176 @@ def search(sets, percent: int, others=None):
             begin = np.searchsorted(keys, own * n + q, side="right")
         some = stop > begin
         own, begin, stop = own[some], begin[some], stop[some]
-        least = need(percent, len(s))
+        least = need(percent, size)
         if len(own) < least:
             continue
         order = np.argsort(stop - begin, kind="stable")
-        apart = min(int((stop - begin > LONG_LIST).sum()), least - 1)
+        longest = int((stop - begin).max())
+        apart = min(least - 1, int(least / (MU * math.log2(longest + 1) + 1)))
         short, long = order[: len(order) - apart], order[len(order) - apart :]
-        overlap = merge(short, begin, stop)
-        hits = np.flatnonzero(overlap >= max(1, least - apart))
+        merged = heap_merge([docs[a:b].tolist() for a, b in zip(begin[short], stop[short])])
         mine = find(q)
-        hits = hits[[find(int(x) + shift) != mine for x in hits]] if len(hits) else hits
-        if not len(hits):
+        hits = [x for x, c in merged.items() if c >= least - apart and find(x + shift) != mine]
+        if not hits:
             continue
-        required = -(-percent * (len(s) + sizes[hits]) // (100 + percent))
-        keep = overlap[hits] + apart >= required
-        hits, required = hits[keep], required[keep]
-        count = overlap[hits]
-        if len(hits) and apart:
-            if 8 * len(hits) * apart < int((stop[long] - begin[long]).sum()):
-                wanted = (own[long][:, None] * n + hits[None, :]).ravel()
+        hits, count = np.array(hits), np.array([merged[x] for x in hits])
+        required = -(-percent * (size + far[hits]) // (100 + percent))
+        keep = count + apart >= required
+        hits, required, count = hits[keep], required[keep], count[keep]
+        # Some at a time: many hits times many lists would not be a small table.
+        for i in range(0, len(hits), 1_000):
+            some, total = hits[i : i + 1_000], count[i : i + 1_000]
+            if apart:
+                wanted = (own[long][:, None] * n + some[None, :]).ravel()
                 spot = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-                count = count + (keys[spot] == wanted).reshape(apart, len(hits)).sum(axis=0)
-            else:
-                count = count + merge(long, begin, stop)[hits]
-        for x in hits[count >= required]:
-            a, b = find(q), find(int(x) + shift)
-            if a != b:
-                root[max(a, b)] = min(a, b)
-                yield q, int(x) + shift
+                total = total + (keys[spot] == wanted).reshape(apart, len(some)).sum(axis=0)
+            for x in some[total >= required[i : i + 1_000]]:
+                a, b = find(q), find(int(x) + shift)
+                if a != b:
+                    root[max(a, b)] = min(a, b)
+                    yield q, int(x) + shift
 
 
 def links_of(frame, percent: int) -> list[tuple[int, int]]:
-    """(a, b) ids that link, of documents that one search holds; ``side`` tells blocks that are searched crosswise."""
+    """(a, b) nodes that link, of those that one search holds; ``side`` tells the two that are searched
+    crosswise."""
     import numpy as np
 
-    frame = frame.drop_duplicates(["doc_id", "side"])
+    frame = frame.drop_duplicates(["node", "side"])
     sides = [g for _, g in frame.groupby("side")]
-    frames = [([int(x) for x in g["doc_id"]], [np.asarray(x, np.int64) for x in g["shingles"]]) for g in sides]
-    if len(frames) == 1:
-        ids, sets = frames[0]
-        return [(ids[a], ids[b]) for a, b in search(sets, percent)]
-    ids = frames[0][0] + frames[1][0]
-    return [(ids[a], ids[b]) for a, b in search(frames[0][1], percent, frames[1][1])]
+    parts = [([int(x) for x in g["node"]], [np.asarray(x, np.int64) for x in g["shingles"]], g["n"].to_numpy()) for g in sides]
+    if len(parts) == 1:
+        names, sets, sizes = parts[0]
+        return [(names[a], names[b]) for a, b in search(sets, sizes, percent)] if frame["side"].iat[0] == WITHIN else []
+    (block, block_sets, block_sizes), (names, sets, sizes) = parts
+    all_ = names + block
+    return [(all_[a], all_[b]) for a, b in search(sets, sizes, percent, block_sets, block_sizes)]
 
 
-def link(sets: DataFrame, candidates: DataFrame, percent: int) -> DataFrame:
-    """(id, component) of all documents that link with another one. ``candidates``: (doc_id, comp).
+def link(sets: DataFrame, candidates: DataFrame, percent: int, most: int, pivots: int) -> DataFrame:
+    """(id, component) of all nodes that link with another one. ``candidates``: (id, component); ``most``: shingles that
+    one search may hold."""
+    import math
 
-    Only ids and labels are written between the steps; the sets are read again where they are needed."""
     import pandas as pd
 
-    sizes = checked(save(candidates.groupBy("comp").agg(F.count(F.lit(1)).alias("m")), "join-sizes"))
-    placed = candidates.join(sizes, "comp").select("doc_id", "comp", F.ceil(F.col("m") / SEARCH_DOCS).cast("long").alias("blocks"))
-    placed = save(placed.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks"))), "join-placed")
-    groups = max(64, placed.count() // 64)
-    rows = sets.join(checked(placed), "doc_id")
+    sized = candidates.select(F.col("id").alias("node"), F.col("component").alias("comp")).join(sets.select("node", "n", "m"), "node")
+    sized = save(sized, "join-sized")
+    loads = checked(save(sized.groupBy("comp").agg(F.sum("m").alias("load"), F.count(F.lit(1)).alias("docs")), "join-loads"))
+    blocks = F.ceil(F.col("load") / most).cast("long")
+    placed = save(sized.join(loads, "comp").withColumn("blocks", blocks).drop("load"), "join-placed")
+    groups = max(16, 2 * (placed.agg(F.sum("m")).first()[0] or 0) // most)
+    texts = sets.select("node", "n", "shingles")
+    rows = texts.join(checked(placed.drop("n", "m")), "node")
 
-    def solve(key, frame):
+    def solve(frame):
         found = []
         for _, part in frame.groupby("group", sort=False):
             if len(part) > 1:
                 found += links_of(part, percent)
         return pd.DataFrame(found, columns=["a", "b"]).astype("int64")
 
-    one = F.lit(0).alias("side")
+    def dealt(df: DataFrame, task: Column, group: Column, side: int) -> DataFrame:
+        return df.select(task.alias("task"), group.alias("group"), "node", "n", F.lit(side).alias("side"), "shingles")
+
     # Small components: many in a task. Large ones: a block a task, with the pivots of the component.
-    whole = rows.where("blocks = 1").select(F.pmod(F.xxhash64("comp"), F.lit(groups)).alias("task"), F.col("comp").cast("string").alias("group"), "doc_id", one, "shingles")
-    large = rows.where("blocks > 1")
-    block = F.concat_ws("-", F.lit("b"), "comp", "block")
-    parts = large.select(F.xxhash64("comp", "block").alias("task"), block.alias("group"), "doc_id", one, "shingles")
-    # Pivots: the documents of lowest hash; about PIVOTS of each component, by a threshold that its size sets.
-    chosen = large.where(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.col("blocks") * SEARCH_DOCS) < PIVOTS)
-    copies = chosen.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    copies = copies.select(F.xxhash64("comp", "block").alias("task"), block.alias("group"), "doc_id", one, "shingles")
-    edges = save(whole.unionByName(parts).unionByName(copies).groupBy("task").applyInPandas(solve, "a long, b long"), "join-edges")
-    big = placed.where("blocks > 1").select("doc_id", "comp")
+    whole = dealt(rows.where("blocks = 1"), F.pmod(F.xxhash64("comp"), F.lit(groups)), F.col("comp").cast("string"), WITHIN)
+    big = save(placed.where("blocks > 1"), "join-big")
     if big.isEmpty():
-        return components(edges)
-
-    # What the pivots did not unite. A link between two labels has an end outside the component's main label.
-    labels = checked(save(components(edges).withColumnRenamed("id", "doc_id"), "join-labels"))
-    marked = save(big.join(labels, "doc_id", "left").select("doc_id", "comp", F.coalesce("component", "doc_id").alias("label")), "join-marked")
+        return components(save(grouped(whole, "task", solve, "a long, b long"), "join-edges"))
+    large = rows.where("blocks > 1").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    # Pivots: about ``pivots`` nodes of each component, by a threshold that its size sets.
+    copies = large.where(F.pmod(F.xxhash64("node", F.lit(7)), F.col("docs")) < pivots)
+    copies = copies.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    name = F.concat_ws("-", F.lit("b"), "comp", "block")
+    parts = dealt(large, F.xxhash64(name), name, WITHIN).unionByName(dealt(copies, F.xxhash64(name), name, WITHIN))
+    edges = save(grouped(whole.unionByName(parts), "task", solve, "a long, b long"), "join-edges")
+
+    # What the pivots did not unite. A link between two labels has an end outside the component's main label, and the other
+    # end in the same or the next band of sizes.
+    labels = checked(save(components(edges).withColumnRenamed("id", "node"), "join-labels"))
+    width = math.log(100 / percent) * (1 + 1e-9) if percent < 100 else 1e-9
+    marked = big.join(labels, "node", "left").select("node", "comp", "m", F.floor(F.log("n") / width).cast("long").alias("band"), F.coalesce("component", "node").alias("label"))
+    marked = save(marked, "join-marked")
     main = marked.groupBy("comp", "label").agg(F.count(F.lit(1)).alias("c")).groupBy("comp").agg(F.max_by("label", F.struct("c", "label")).alias("main"), F.count(F.lit(1)).alias("labels"))
     marked = save(marked.join(checked(save(main.where("labels > 1").drop("labels"), "join-main")), "comp"), "join-marked")
-    apart = checked(save(marked.where("label <> main").select("doc_id", "comp", "label"), "join-apart"))
-    # Filters by hash of (component, shingle): a clash lets a document through, never loses one.
-    key = F.xxhash64("comp", "shingle").alias("key")
-
-    def with_enough(docs: DataFrame, keys: DataFrame) -> DataFrame:
-        """Rows of ``docs`` that have the least overlap or more among ``keys``: with their ``n`` and that number, ``c``."""
-        postings = sets.join(checked(docs), "doc_id").select("doc_id", "n", "comp", "label", F.explode("shingles").alias("shingle"))
-        hits = postings.select("doc_id", "n", "comp", "label", key).join(checked(save(keys, "join-filter"), 3 * BROADCAST_ROWS), "key", "left_semi")
-        counts = hits.groupBy("doc_id", "n", "comp", "label").agg(F.count(F.lit(1)).alias("c"))
-        return save(counts.where(F.col("c") * 100 >= F.col("n") * percent), "join-enough")
-
-    def with_partner(docs: DataFrame) -> DataFrame:
-        """Of ``docs`` (from ``with_enough``) those whose size and ``c`` let them link with some other one's."""
-        kinds = docs.groupBy("comp", F.col("n").alias("m"), F.col("c").alias("d")).agg(F.count(F.lit(1)).alias("k"))
-        # For each size the largest number; twice, in case it is the document's own.
-        kinds = kinds.groupBy("comp", "m").agg(F.max("d").alias("d"), F.sum("k").alias("k"))
-        most = F.least("c", "d")
-        fits = (F.col("docs.comp") == F.col("kinds.comp")) & (most * (100 + percent) >= F.lit(percent) * (F.col("n") + F.col("m"))) & ((F.col("k") > 1) | (F.col("n") != F.col("m")))
-        return docs.alias("docs").join(checked(save(kinds, "join-kinds")).alias("kinds"), fits, "left_semi")
-
-    theirs = sets.join(apart, "doc_id").select("comp", F.explode("shingles").alias("shingle")).select(key).distinct()
-    others = with_enough(marked.where("label = main").select("doc_id", "comp", "label"), theirs)
-    left = save(apart.unionByName(others.select("doc_id", "comp", "label")), "join-left")
-    for _ in range(4):  # each round only spares searches
-        postings = sets.join(checked(left), "doc_id").select("label", "comp", F.explode("shingles").alias("shingle"))
-        mixed = postings.groupBy(key).agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
-        before, left = left.count(), save(with_partner(with_enough(left, mixed)).select("doc_id", "comp", "label"), "join-left")
-        now = left.count()
-        if not now:
-            return components(edges)
-        if now > 0.8 * before:
-            break
-    sizes = checked(save(left.groupBy("comp").agg(F.count(F.lit(1)).alias("m")), "join-sizes"))
-    dealt = left.join(sizes, "comp").withColumn("blocks", F.ceil(F.col("m") / PAIR_DOCS).cast("long"))
-    dealt = checked(save(dealt.withColumn("block", F.pmod(F.xxhash64("doc_id", F.lit(3)), F.col("blocks"))), "join-dealt"))
-    # Block against block: every pair of blocks of a component is one task's group.
-    pairs = sets.join(dealt, "doc_id").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    name = F.concat_ws("-", "comp", F.least("block", "other"), F.greatest("block", "other"))
-    side = (F.col("block") > F.col("other")).cast("int").alias("side")
-    pairs = pairs.select(F.xxhash64(name).alias("task"), name.alias("group"), "doc_id", side, "shingles")
-    rest = save(pairs.groupBy("task").applyInPandas(solve, "a long, b long"), "join-rest")
+    apart = marked.where("label <> main")
+    chunks = apart.groupBy("comp").agg(F.ceil(F.sum("m") / most).cast("long").alias("chunks"))
+    bands = marked.groupBy("comp", "band").agg(F.ceil(F.sum("m") / most).cast("long").alias("blocks"))
+    bands = checked(save(bands.join(chunks, "comp"), "join-bands"))
+    block = marked.join(bands, ["comp", "band"]).select("node", "comp", "band", F.pmod(F.xxhash64("node", F.lit(3)), F.col("blocks")).alias("block"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"))
+    near = apart.withColumn("band", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)))
+    near = near.join(bands, ["comp", "band"]).select("node", "comp", "band", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.pmod(F.xxhash64("node", F.lit(5)), F.col("chunks")).alias("chunk"))
+    name = F.concat_ws("-", "comp", "band", "block", "chunk")
+    cross = [dealt(texts.join(checked(save(x, "join-cross")), "node"), F.xxhash64(name), name, i) for i, x in ((BLOCK, block), (APART, near))]
+    rest = save(grouped(cross[0].unionByName(cross[1]), "task", solve, "a long, b long"), "join-rest")
     return components(edges.unionByName(rest))
 
 
-def join_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+def document_classes(docs: DataFrame, k: int, percent: int, search_shingles: int, pivots: int) -> tuple[DataFrame, DataFrame]:
+    """Two saved tables: (doc_id, digest) of every row; and (digest, first_id, rows, n, component) of every text, where
+    ``component`` is the number of the group it belongs to, null for a text that is alone."""
+    doc_id = F.col("doc_id").cast("long").alias("doc_id")
+    prints = save(docs.select(doc_id, digest_of().alias("digest"), F.octet_length(text_or_empty()).cast("long").alias("bytes")), "join-prints")
+    ranges = max(64, (prints.agg(F.sum("bytes")).first()[0] or 0) // 5 // RANGE_SHINGLES)
+    classes = save(prints.groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("rows")), "join-classes")
+    several = save(classes.where("rows > 1").select("digest", "first_id", F.lit(True).alias("known")), "join-several")
+    texts = docs.select(doc_id, digest_of().alias("digest"), text_or_empty().cast("binary").alias("data"))
+    # One row of each text (more where rows share an id as well: they only count for each other in the next step).
+    ones = texts.join(checked(several), "digest", "left").where(F.col("known").isNull() | F.col("doc_id").eqNullSafe(F.col("first_id"))).select("digest", "data")
+    if not fits(several):
+        ones = save(ones, "join-ones")  # blocks go by the order of rows, which a shuffle does not repeat
+
+    sizes = save(support(ones, k, ranges), "join-support")
+    alive = sizes.where((F.col("n") > 0) & (F.col("shared") * 100 >= F.col("n") * percent)).select("digest").distinct()
+    alive = checked(save(alive, "join-alive"))
+    sets = save(shingle_sets(ones.join(alive, "digest", "left_semi"), k), "join-sets")
+    nodes = sets.groupBy("set_key").agg(F.min("digest").alias("digest")).withColumn("node", F.monotonically_increasing_id())
+    nodes = save(nodes, "join-nodes")
+    names = nodes.select("digest", "node")
+    reps = sets.join(checked(names), "digest").select("node", "n", "shingles")
+    if not fits(names) or sets.count() > sets.select("digest").distinct().count():
+        reps = save(reps.dropDuplicates(["node"]), "join-reps")
+    reps = save(ordered_sets(reps, ranges, percent), "join-ordered")
+    # A node's prefix; nodes that share one of its shingles hang on the smallest of them.
+    heads = save(reps.select("node", F.explode(F.slice("shingles", F.lit(1), F.col("head").cast("int"))).alias("shingle")), "join-heads")
+    firsts = heads.groupBy("shingle").agg(F.min("node").alias("a"), F.count(F.lit(1)).alias("c")).where("c > 1").select("shingle", "a")
+    stars = save(heads.join(checked(save(firsts, "join-firsts")), "shingle").select("a", F.col("node").alias("b")).distinct(), "join-stars")
+    linked = save(link(reps, save(components(stars), "join-candidates"), percent, search_shingles, pivots), "join-linked")
+
+    named = sets.select("digest", "set_key").distinct().join(checked(nodes.select("set_key", "node")), "set_key")
+    named = named.join(checked(linked.withColumnRenamed("id", "node")), "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
+    named = checked(save(named, "join-named"))
+    own = sizes.groupBy("digest").agg(F.max("n").alias("n"))
+    return prints, save(classes.join(own, "digest").join(named, "digest", "left"), "join-found")
+
+
+def join_components(docs: DataFrame, k: int = 5, percent: int = 80, search_shingles: int = SEARCH_SHINGLES, pivots: int = PIVOTS) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row: the smallest doc_id that is reached by links."""
-    import numpy as np
-
-    spark = docs.sparkSession
-    docs = docs.where("doc_id is not null")
-    keys = save(class_keys(docs), "join-keys")
-    total = keys.agg(F.sum("n_words")).first()[0] or 0
-    classes = save(keys.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("rows")), "join-classes")
-    several = checked(save(classes.where("rows > 1").select("key", "rep"), "join-several"))
-    # Rows that another one stands for, or without words; few, or else joined by their id.
-    others = keys.where("key is null").select("doc_id").unionByName(keys.join(several, "key").where("doc_id <> rep").select("doc_id"))
-    others = checked(save(others.distinct(), "join-others"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().cast("binary").alias("data"))
-    reps = texts.join(others, "doc_id", "left_anti")
-
-    sizes = save(support(reps, k, total).groupBy("doc_id").agg(F.max("n").alias("n"), F.max("shared").alias("shared")), "join-support")
-    alive = sizes.where(F.col("shared") * 100 >= F.col("n") * percent).select("doc_id")
-    alive = save(alive, "join-alive")
-    sets = save(shingle_sets(texts.join(checked(alive), "doc_id", "left_semi"), k).where("n > 0").dropDuplicates(["doc_id"]), "join-sets")
-    postings = sets.select(F.explode("shingles").alias("shingle"))
-    held = sets.agg(F.sum("n")).first()[0] or 0
-    least = max(FREQUENT, -(-held // MOST_FREQUENT))
-    often = postings.groupBy("shingle").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= least).select("shingle").toPandas()  # a million numbers at most
-    frequent = spark.sparkContext.broadcast(np.sort(often["shingle"].to_numpy()))
-    heads = save(prefixes(sets, frequent, percent), "join-prefixes")
-    pivots = heads.groupBy("shingle").agg(F.min("doc_id").alias("a"), F.count(F.lit(1)).alias("c")).where("c > 1").select("shingle", "a")
-    stars = heads.join(checked(save(pivots, "join-pivots")), "shingle").select("a", F.col("doc_id").alias("b")).distinct()
-    candidates = save(components(save(stars, "join-stars")).select(F.col("id").alias("doc_id"), F.col("component").alias("comp")), "join-candidates")
-    linked = save(link(sets, candidates, percent), "join-linked")
-
-    found = sizes.select("doc_id", "n").join(checked(linked.withColumnRenamed("id", "doc_id")), "doc_id", "left")
-    found = classes.join(found, classes["rep"] == found["doc_id"]).select("key", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
-    found = checked(save(found, "join-found"))
-    rows = keys.join(found, "key", "left")
-    return rows.select("doc_id", F.coalesce("n_shingles", F.lit(0)).cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    prints, classes = document_classes(docs, k, percent, search_shingles, pivots)
+    firsts = checked(save(classes.where("component is not null").groupBy("component").agg(F.min("first_id").alias("least")), "join-least"))
+    found = classes.join(firsts, "component", "left").select("digest", F.col("n").alias("n_shingles"), "first_id", "least", "rows")
+    # Texts of a single row that link with nothing are most of them: what is left is small, or joined by shuffling.
+    rows = prints.join(checked(save(found, "join-result")), "digest")
+    alone = F.col("n_shingles") == 0
+    return rows.select("doc_id", "n_shingles", F.when(alone, F.col("doc_id")).otherwise(F.coalesce("least", "first_id", "doc_id")).alias("component_id"))
 
 
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of its component, with all their columns."""
-    dropped = save(join_components(docs, k, percent).where("component_id <> doc_id").select("doc_id").distinct(), "join-dropped")
-    return docs.where("doc_id is not null").join(checked(dropped), "doc_id", "left_anti").select(*docs.columns)
+    """The rows of ``docs`` that stay, with all their columns: of each component the row with the smallest doc_id (one without
+    an id only where none has one, then by the text's digest), and one row where that is repeated. A text without words
+    links with nothing, so all rows of such texts stay."""
+    prints, classes = document_classes(docs, k, percent, SEARCH_SHINGLES, PIVOTS)
+    classes = classes.where("n > 0")
+    group = F.coalesce(F.col("component").cast("string"), F.hex("digest"))
+    best = F.struct(F.col("first_id").isNull().alias("nameless"), F.col("first_id"), F.col("digest"))
+    some = classes.where("component is not null or rows > 1").withColumn("group", group)
+    kept = save(some.groupBy("group").agg(F.min(best).alias("best")).select(F.col("best.digest").alias("digest"), F.lit(True).alias("keep")), "join-kept")
+    verdicts = some.join(checked(kept), "digest", "left").where("rows > 1 or keep is null")
+    verdicts = save(verdicts.select(F.col("digest").alias("key"), F.coalesce("keep", F.lit(False)).alias("keep"), F.col("first_id").alias("doc_id"), F.lit(None).cast("long").alias("n_chars")), "join-verdicts")
+    held = verdicts.where("keep").select(F.col("key").alias("digest"), F.col("doc_id").alias("first_id"))
+    twins = prints.join(checked(held), "digest").where(F.col("doc_id").eqNullSafe(F.col("first_id"))).groupBy("digest").count().where("count > 1")
+    return stay(docs, digest_of(), verdicts, save(twins.select(F.col("digest").alias("key")), "join-twins"))
 
 
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
