@@ -1,107 +1,142 @@
 """Toxicity by the nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
 Terms are runs of letters in lower case, and all terms of the labelled examples make the vocabulary: a term that no example
-has adds to no dot product and scales all cosines of its text alike. A weight is TF-IDF times one plus the chi-square (with
-Yates's correction) of the term's presence against the label, so terms that go with the label count for more and none is
-left out, however small the sample; document frequencies are counted over all documents. The labelled examples lie in an
-inverted index with the largest weight of every term, for frequent terms in every block of examples: a query adds up terms
-by weight for each posting until the others' upper bounds leave few examples that can be among the nearest, and finishes
-those alone, so its neighbours are exact. The neighbours vote, weighted by their distance; an isotonic curve over the
-sample's own votes (each example left out of its own neighbours) turns votes into probabilities.
+has adds to no dot product and scales all cosines of its text alike. Document frequencies are counted over all documents.
+A term's inverse document frequency is weighted by how far it goes with the label among the examples: times one plus
+``RELEVANCE`` times the size of the correlation (phi, 0 to 1, with Yates's correction) of its presence and the label. Phi
+does not grow with the sample, and no term is left out; ``RELEVANCE`` 0 is plain TF-IDF.
+The labelled examples lie in an inverted index in blocks of like texts. Lists of rare terms hold postings; lists of frequent
+ones hold a weight for each example, with the largest of every block. A query adds up its rare terms, looks into the blocks
+of the highest bounds, and then into those alone whose bound reaches the last neighbour found so far, so its neighbours are
+exact. They vote, weighted by their distance; an isotonic curve over the sample's own votes (each example left out of its
+own neighbours) turns votes into probabilities. Nearest are a tenth of the examples (of few examples a quarter, 100 at
+most): labels are noisy, and a share keeps the vote alike at every size of the sample.
 
 The classifier is fitted on at most ``SAMPLE`` labelled rows, drawn by a hash of the id; all else covers all rows.
 
-Defined cases: a null or empty text, and one without a term of the examples, has no neighbours and gets the curve's value for
-such examples; texts of any length are read whole; equal cosines go to the example drawn first; repeated rows are scored
-each; where labels of one document differ, it is toxic; a row without a doc_id is left out; without labels every score is 0; an empty table gives an empty
-result; other columns are ignored.
+Defined cases: a null or empty text, and one without a term of the examples, has no neighbours and gets the rate of such
+examples; texts of any length are read whole; equal cosines go to the example drawn first; repeated rows are scored each;
+where labels of one document differ, it is toxic; where texts of one labelled document differ, the smallest is the example;
+a row without a doc_id is scored like any other and counts as held out, for nothing can be learned from it; without labels
+every score is 0; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import checked, map_rows, read_columns, save, table, text_or_empty
+from tidemark.llm.common import filter_rows, map_rows, read_columns, resident, save, table, text_or_empty
 
-SAMPLE = 20_000
-NEIGHBOURS = 48
+SAMPLE = 5_000
 BLOCK = 128
-#: Postings that a query reads before it first looks which examples can still be among the nearest.
-FIRST_POSTINGS = 8_192
-REMEMBERED = 20_000
+#: A list is frequent that holds more than this share of the examples.
+FREQUENT = 1 / 16
+#: Queries that are searched together.
+BATCH = 250
+#: Vocabulary terms whose counts travel in one row.
+CHUNK = 10_000
+RELEVANCE = 10.0
 #: Added to a distance before its inverse weighs the vote.
 NEAR = 0.1
 EVIDENCE = 5
+#: Cosines are rounded to nine digits before they are ranked, so that the order of additions does not matter.
+DIGITS = 9
+
+
+def phi(toxic_with, clean_with, toxic: float, clean: float):
+    """Size of the correlation of a term's presence and the label, by the examples with the term and all examples."""
+    import numpy as np
+
+    a, b, n = toxic_with, clean_with, toxic + clean
+    apart = np.maximum(np.abs(a * (clean - b) - b * (toxic - a)) - n / 2, 0)
+    under = (a + b) * (n - a - b) * toxic * clean
+    return np.where(under > 0, apart / np.sqrt(np.where(under > 0, under, 1)), 0.0)
+
+
+def neighbours(examples: int) -> int:
+    return max(1, examples // 10, min(100, examples // 4))
 
 
 def fold(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 5
 
 
-def draw_sample(labels: DataFrame, learn: Column, most: int = SAMPLE) -> DataFrame:
-    """At most ``most`` labelled documents (doc_id, toxic, number), numbered in the order of a hash of their id."""
+def words_of():
+    import re
+
+    return re.compile(r"[^\W\d_]+").findall
+
+
+def draw_examples(docs: DataFrame, labels: DataFrame, learn: Column, most: int = SAMPLE) -> DataFrame:
+    """At most ``most`` labelled documents, saved: (doc_id, toxic, draw, words, times), ``draw`` being the hash they go by."""
+    from collections import Counter
+
     one = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & learn)
     one = one.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
-    drawn = one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    return save(drawn, "tox-sample")
+    one = one.withColumn("draw", F.xxhash64("doc_id"))
+    drawn = save(one.orderBy("draw", "doc_id").limit(most), "tox-sample")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).join(F.broadcast(drawn), "doc_id")
+    texts = texts.groupBy("doc_id", "toxic", "draw").agg(F.min("text").alias("text"))
 
+    def work(batches):
+        find = words_of()
+        for batch in batches:
+            found = [Counter(find(text.lower())) for text in batch.pop("text")]
+            yield batch | {"words": [list(c) for c in found], "times": [list(c.values()) for c in found]}
 
-def words_of():
-    import re
+    return save(map_rows(texts, "doc_id long, toxic int, draw long, words array<string>, times array<int>", work), "tox-examples")
 
-    return re.compile(r"[^\W\d_]+").findall
 
+class Examples:
+    """The saved examples in the order they were drawn in, and the vocabulary: term to number, in the order of the terms."""
+
+    def __init__(self, files: list[str]):
+        import numpy as np
+
+        doc_id, toxic, draw, words, times = read_columns(files, "doc_id", "toxic", "draw", "words", "times") if files else [np.zeros(0, np.int64)] * 5
+        order = np.lexsort((doc_id, draw))
+        self.doc_ids = doc_id[order].tolist()
+        self.toxic = (toxic[order] > 0).astype(float)
+        self.vocabulary = {w: i for i, w in enumerate(sorted({w for i in order for w in words[i]}))}
+        self.vectors = [self.vector(dict(zip(words[i], times[i]))) for i in order]
+
+    def vector(self, counts: dict[str, int]):
+        """(terms, times) of the vocabulary's words among ``counts``, as arrays, by term."""
+        import numpy as np
+
+        known = self.vocabulary
+        found = sorted((known[w], n) for w, n in counts.items() if w in known)
+        return np.array([t for t, _ in found], np.int64), np.array([n for _, n in found], float)
 
-def choose_terms(examples: DataFrame):
-    """(vocabulary, chi2): every term of the (toxic, text) rows of the sample with its number, and the chi-square of its
-    presence against the label by number."""
+
+def document_frequencies(docs: DataFrame, examples: list[str]) -> DataFrame:
+    """Saved (chunk, counts): the number of documents with each term of the vocabulary, packed as 64-bit numbers for
+    ``CHUNK`` terms a row; chunk -1 is the number of documents. A task sends a row for each chunk."""
     import numpy as np
 
     def work(batches):
-        from collections import Counter
-
-        find, toxic, clean = words_of(), Counter(), Counter()
+        known = resident(("tox-words", *examples), lambda: Examples(examples).vocabulary)
+        find, rows = words_of(), 0
+        counts = np.zeros(len(known) + 1, np.int64)
+        other = len(known)  # words that are not in the vocabulary
         for batch in batches:
-            for label, text in zip(batch["toxic"], batch["text"]):
-                (toxic if label else clean).update(set(find(text.lower())))
-                if len(toxic) + len(clean) > 500_000:
-                    words = list(toxic.keys() | clean.keys())
-                    yield {"term": words, "t": [toxic[w] for w in words], "c": [clean[w] for w in words]}
-                    toxic.clear()
-                    clean.clear()
-        words = list(toxic.keys() | clean.keys())
-        yield {"term": words, "t": [toxic[w] for w in words], "c": [clean[w] for w in words]}
-
-    found = map_rows(examples.select("toxic", "text"), "term string, t long, c long", work)
-    found = found.groupBy("term").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
-    found = found.orderBy("term").toArrow()  # the terms of ``SAMPLE`` texts at most
-    n = examples.agg(F.sum("toxic").alias("t"), F.count(F.lit(1)).alias("n")).first()
-    toxic, clean = float(n["t"] or 0), float(n["n"] - (n["t"] or 0))
-    a, b = (found.column(x).to_numpy().astype(float) for x in ("t", "c"))
-    apart = np.maximum(np.abs(a * (clean - b) - b * (toxic - a)) - (toxic + clean) / 2, 0)
-    under = (a + b) * (toxic + clean - a - b) * toxic * clean
-    chi2 = np.where(under > 0, (toxic + clean) * apart**2 / np.where(under > 0, under, 1), 0)
-    return {w: i for i, w in enumerate(found.column("term").to_pylist())}, chi2
-
-
-def vectors(docs: DataFrame, shared) -> DataFrame:
-    """(row, doc_id, terms, times): the terms of the (broadcast) vocabulary in every whole text, in ascending order."""
+            rows += len(batch["text"])
+            seen: list[int] = []
+            for text in batch["text"]:
+                seen.extend({known.get(w, other) for w in set(find(text.lower()))})
+            counts += np.bincount(seen, minlength=len(counts)) if seen else 0
+        chunks = list(range(0, len(known), CHUNK))
+        yield {"chunk": [-1, *(a // CHUNK for a in chunks)], "counts": [np.array([rows]).tobytes(), *(counts[:-1][a : a + CHUNK].tobytes() for a in chunks)]}
 
-    def work(batches):
-        from collections import Counter
+    def total(frame):
+        import pandas as pd
 
-        find, vocabulary = words_of(), shared.value
-        for batch in batches:
-            terms, times = [], []
-            for text in batch.pop("text"):
-                found = sorted(Counter(vocabulary[w] for w in find(text.lower()) if w in vocabulary).items())
-                terms.append([t for t, _ in found])
-                times.append([n for _, n in found])
-            yield batch | {"terms": terms, "times": times}
+        sums = sum(np.frombuffer(x, np.int64) for x in frame["counts"])
+        return pd.DataFrame({"chunk": frame["chunk"].iloc[:1], "counts": [sums.tobytes()]})
 
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    return map_rows(rows, "row long, doc_id long, terms array<int>, times array<int>", work)
+    sent = map_rows(docs.select(text_or_empty().alias("text")), "chunk long, counts binary", work, keeps=True)
+    return save(sent.groupBy("chunk").applyInPandas(total, "chunk long, counts binary"), "tox-frequencies")
 
 
 def spans(starts, sizes):
@@ -113,105 +148,141 @@ def spans(starts, sizes):
 
 
 class BlockMaxIndex:
-    """Labelled examples by term; weights are of unit length for each example. Terms in more than twice as many examples as
-    there are blocks of ``block`` examples have their largest weight in each block, the others one for all blocks."""
+    """Examples (terms, times) by term; weights are of unit length for each example."""
 
-    def __init__(self, examples: list[tuple[list[int], list[int]]], idf, block: int = BLOCK):
+    def __init__(self, examples: list, idf, block: int = BLOCK, frequent: float = FREQUENT):
         import numpy as np
 
         self.idf, self.block, self.size = idf, block, len(examples)
         self.blocks = -(-len(examples) // block)
+        # Like texts lie side by side: examples go by the word they use most.
+        most_used = [int(t[np.argmax(n)]) if len(t) else -1 for t, n in examples]
+        self.number = np.argsort(np.array(most_used, np.int64), kind="stable")
+        laid = [examples[i] for i in self.number]
         one = lambda x, kind: np.concatenate(x).astype(kind) if x else np.zeros(0, kind)
-        self.lengths = np.array([len(t) for t, _ in examples], np.int64)
-        self.offsets = np.cumsum(self.lengths) - self.lengths
-        self.terms = one([np.asarray(t) for t, _ in examples], np.int32)
-        self.own = one([self.weigh(np.asarray(t), n) for t, n in examples if len(t)], float)
-        ids = np.repeat(np.arange(self.size, dtype=np.int32), self.lengths)
-        at = np.argsort(self.terms, kind="stable")
-        self.ids, self.weights = ids[at], self.own[at]
-        ends = np.cumsum(np.bincount(self.terms, minlength=len(idf)))
-        self.starts = np.r_[0, ends].astype(np.int64)
-        # Postings of term t: starts[t] to starts[t + 1].
-        self.top = np.zeros(len(idf))
-        np.maximum.at(self.top, self.terms, self.own)
-        frequent = np.flatnonzero(np.diff(self.starts) > 2 * self.blocks)
-        self.place = np.full(len(idf), -1, np.int32)
-        self.place[frequent] = np.arange(len(frequent))
-        self.most = np.zeros((len(frequent), max(1, self.blocks)))
-        held = self.place[self.terms] >= 0
-        np.maximum.at(self.most, (self.place[self.terms[held]], ids[held] // block), self.own[held])
-        self.query = np.zeros(len(idf))
+        terms = one([t for t, _ in laid], np.int64)
+        weights = one([self.weigh(t, n) for t, n in laid], float)
+        ids = np.repeat(np.arange(self.size), [len(t) for t, _ in laid])
+        lists = np.bincount(terms, minlength=len(idf))
+        often = np.flatnonzero(lists > frequent * self.size)
+        self.place = np.full(len(idf), -1, np.int64)
+        self.place[often] = np.arange(len(often))
+        row = self.place[terms]
+        self.dense = np.zeros((len(often), self.blocks * block))
+        self.dense[row[row >= 0], ids[row >= 0]] = weights[row >= 0]
+        self.most = self.dense.reshape(len(often), self.blocks, block).max(axis=2) if self.dense.size else np.zeros((len(often), self.blocks))
+        terms, ids, weights = terms[row < 0], ids[row < 0], weights[row < 0]
+        at = np.argsort(terms, kind="stable")
+        self.ids, self.weights = ids[at], weights[at]
+        # Postings of a rare term t: starts[t] to starts[t + 1].
+        self.starts = np.r_[0, np.cumsum(np.bincount(terms, minlength=len(idf)))].astype(np.int64)
 
     def weigh(self, terms, times):
         import numpy as np
 
-        w = (1 + np.log(np.asarray(times, float))) * self.idf[terms]
-        return w / np.sqrt((w * w).sum())
+        w = (1 + np.log(times)) * self.idf[terms]
+        length = np.sqrt((w * w).sum())
+        return w / length if length > 0 else w
+
+    def nearest(self, queries: list, k: int):
+        """For each (terms, times): the numbers and cosines of the ``k`` nearest examples, the nearest first; only examples
+        whose cosine is above zero."""
+        for i in range(0, len(queries), BATCH):
+            yield from self.batch(queries[i : i + BATCH], k)
 
-    def nearest(self, terms, times, k: int):
-        """(example numbers, cosines) of the ``k`` nearest, the nearest first; only examples that share a term."""
+    def batch(self, queries: list, k: int):
         import numpy as np
 
-        if not len(terms) or not self.size:
-            return np.zeros(0, np.int64), np.zeros(0)
-        terms = np.asarray(terms)
-        weights = self.weigh(terms, times)
-        upper, sizes = weights * self.top[terms], self.starts[terms + 1] - self.starts[terms]
-        order = np.argsort(-upper / np.maximum(sizes, 1), kind="stable")
-        terms, weights, upper, sizes = terms[order], weights[order], upper[order], sizes[order]
-        read = np.cumsum(sizes)
-        dots, done, most = np.zeros(self.size), 0, FIRST_POSTINGS
-        while True:
-            to = max(done + 1, int(np.searchsorted(read, most, "right")))
-            part = spans(self.starts[terms[done:to]], sizes[done:to])
-            dots += np.bincount(self.ids[part], weights=np.repeat(weights[done:to], sizes[done:to]) * self.weights[part], minlength=self.size)
-            done, most = to, most * 3
-            if done >= len(terms):
-                found = np.flatnonzero(dots > 0)
-                cosines = dots[found]
-                break
-            left, left_weights = terms[done:], weights[done:]
-            # The kth best so far is a lower bound of the kth best; the terms left add at most their bound in each block.
-            worst = np.partition(dots, self.size - k)[self.size - k] if self.size > k else 0.0
-            place = self.place[left]
-            bound = upper[done:][place < 0].sum() + left_weights[place >= 0] @ self.most[place[place >= 0]]
-            # Cosines are rounded to nine digits, so those that can come out equal stay in.
-            found = np.flatnonzero(dots + np.repeat(bound, self.block)[: self.size] >= worst - 2e-9)
-            if self.lengths[found].sum() <= read[-1] - read[done - 1]:
-                part = spans(self.offsets[found], self.lengths[found])
-                self.query[left] = left_weights
-                each = self.query[self.terms[part]] * self.own[part]
-                self.query[left] = 0
-                cosines = dots[found] + np.bincount(np.repeat(np.arange(len(found)), self.lengths[found]), weights=each, minlength=len(found))
-                found, cosines = found[cosines > 0], cosines[cosines > 0]
-                break
-        cosines = np.round(cosines, 9)
-        top = np.lexsort((found, -cosines))[:k]
-        return found[top], cosines[top]
-
-
-_indexes: dict = {}
-
-
-def index_of(files: list[str], idf):
-    """(index, toxic, doc_ids, prior) of the saved examples, made once in a worker."""
-    import numpy as np
+        if not self.size:
+            yield from [(np.zeros(0, np.int64), np.zeros(0))] * len(queries)
+            return
+        width = self.blocks * self.block
+        dots = np.zeros((len(queries), width))
+        often = np.zeros((len(queries), len(self.dense)))
+        for q, (terms, times) in enumerate(queries):
+            weights = self.weigh(terms, times)
+            place = self.place[terms]
+            often[q, place[place >= 0]] = weights[place >= 0]
+            terms, weights = terms[place < 0], weights[place < 0]
+            sizes = self.starts[terms + 1] - self.starts[terms]
+            part = spans(self.starts[terms], sizes)
+            dots[q] = np.bincount(self.ids[part], weights=np.repeat(weights, sizes) * self.weights[part], minlength=width)
+        by_block = dots.reshape(len(queries), self.blocks, self.block)
+        bound = often @ self.most + by_block.max(axis=2)
+        done = np.zeros(bound.shape, bool)
+
+        def look(wanted):
+            for b in np.flatnonzero(wanted.any(axis=0)):
+                some = np.flatnonzero(wanted[:, b])
+                by_block[some, b] += often[some] @ self.dense[:, b * self.block : (b + 1) * self.block]
+            done[wanted] = True
+
+        # The blocks of the highest bounds first: as many as hold twice the neighbours.
+        first = min(self.blocks, -(-2 * k // self.block))
+        wanted = np.zeros(bound.shape, bool)
+        np.put_along_axis(wanted, np.argpartition(-bound, first - 1, axis=1)[:, :first], True, axis=1)
+        look(wanted)
+        if first < self.blocks:
+            known = np.where(done[:, :, None], by_block, 0.0).reshape(len(queries), width)
+            last = np.partition(known, width - k, axis=1)[:, width - k] if k <= width else np.zeros(len(queries))
+            look(~done & (bound >= last[:, None] - 2 * 10.0**-DIGITS))
+        by_block[~done] = 0.0
+        cosines = np.round(dots[:, : self.size], DIGITS)
+        for row in cosines:
+            least = np.partition(row, self.size - k)[self.size - k] if k < self.size else 0.0
+            found = np.flatnonzero((row >= least) & (row > 0))
+            number, values = self.number[found], row[found]
+            top = np.lexsort((number, -values))[:k]
+            yield number[top], values[top]
+
+
+class Model:
+    """What a worker needs to vote on texts."""
+
+    def __init__(self, examples: list[str], frequencies: list[str]):
+        import numpy as np
+
+        self.examples = Examples(examples)
+        chunk, counts = read_columns(frequencies, "chunk", "counts")
+        parts = {int(c): np.frombuffer(x, np.int64) for c, x in zip(chunk, counts)}
+        documents = int(parts.pop(-1, np.zeros(1))[0])
+        seen = np.concatenate([parts[c] for c in sorted(parts)]) if parts else np.zeros(0)
+        toxic, terms = self.examples.toxic, [t for t, _ in self.examples.vectors]
+        count = lambda some: np.bincount(np.concatenate([np.zeros(0, np.int64), *some]), minlength=len(seen)).astype(float)
+        bad, good = count([t for t, y in zip(terms, toxic) if y]), count([t for t, y in zip(terms, toxic) if not y])
+        relevance = phi(bad, good, float(toxic.sum()), float(len(toxic) - toxic.sum()))
+        self.index = BlockMaxIndex(self.examples.vectors, (np.log((1 + documents) / (1 + seen)) + 1) * (1 + RELEVANCE * relevance))
+        self.k = neighbours(self.index.size)
+        self.prior = float(self.examples.toxic.mean()) if self.index.size else 0.0
+
+    def vote(self, ids, cosines) -> float:
+        """Share of toxic neighbours, each weighted by the inverse of its distance; one vote at the prior rate is added. -1
+        without neighbours."""
+        if not len(ids):
+            return -1.0
+        weights = 1 / (1 - cosines + NEAR)
+        return float((weights @ self.examples.toxic[ids] + self.prior) / (weights.sum() + 1))
+
+    def votes(self, texts: list[str]):
+        """(vote, neighbours, cosines) of each text; of the neighbours the nearest few."""
+        from collections import Counter
+
+        find, names = words_of(), self.examples.doc_ids
+        vectors = [self.examples.vector(Counter(find(text.lower()))) for text in texts]
+        for ids, cosines in self.index.nearest(vectors, self.k):
+            yield self.vote(ids, cosines), [names[i] for i in ids[:EVIDENCE]], cosines[:EVIDENCE].tolist()
 
-    name = tuple(files)
-    if name not in _indexes:
-        _indexes.clear()
-        number, doc_id, toxic, terms, times = read_columns(files, "number", "doc_id", "toxic", "terms", "times")
-        order = np.argsort(number)
-        toxic = (toxic[order] > 0).astype(float)
-        index = BlockMaxIndex([(terms[i], times[i]) for i in order], idf)
-        _indexes[name] = index, toxic, doc_id[order].tolist(), float(toxic.mean()) if len(toxic) else 0.0
-    return _indexes[name]
+    def own_votes(self):
+        """(vote, toxic) of every example, itself left out of its neighbours."""
+        import numpy as np
+
+        for i, (ids, cosines) in enumerate(self.index.nearest(self.examples.vectors, self.k + 1)):
+            keep = np.flatnonzero(ids != i)[: self.k]
+            yield self.vote(ids[keep], cosines[keep]), int(self.examples.toxic[i])
 
 
-def vote(ids, cosines, toxic, prior: float) -> float:
-    """Share of toxic neighbours, each weighted by the inverse of its distance; one vote at the prior rate is added."""
-    weights = 1 / (1 - cosines + NEAR)
-    return float((weights @ toxic[ids] + prior) / (weights.sum() + 1))
+def model_of(examples: list[str], frequencies: list[str]) -> Model:
+    return resident(("tox-model", *examples, *frequencies), lambda: Model(examples, frequencies))
 
 
 def isotonic(votes: list[float], labels: list[int]) -> tuple[list[float], list[float]]:
@@ -239,80 +310,63 @@ def isotonic(votes: list[float], labels: list[int]) -> tuple[list[float], list[f
     return xs, ys
 
 
-def score(docs: DataFrame, labels: DataFrame, learn: Column, held_out: Column, sample: int = SAMPLE) -> DataFrame:
-    """doc_id, held_out, score, predicted, neighbours and cosines (the evidence) of every document."""
-    import numpy as np
+class Curve:
+    """Votes to probabilities, fitted on (vote, toxic) pairs. Examples without neighbours have a rate of their own."""
+
+    def __init__(self, known: list[tuple[float, int]]):
+        alone = [y for v, y in known if v < 0]
+        prior = sum(y for _, y in known) / len(known) if known else 0.0
+        self.xs, self.ys = isotonic([v for v, _ in known if v >= 0], [y for v, y in known if v >= 0])
+        self.lonely = (sum(alone) + prior) / (len(alone) + 1)
+
+    def __call__(self, votes):
+        import numpy as np
 
+        votes = np.asarray(votes, float)
+        scores = np.interp(votes, self.xs, self.ys) if self.xs else np.full(len(votes), self.lonely)
+        return np.clip(np.where(votes < 0, self.lonely, scores), 0, 1)
+
+
+def fit(docs: DataFrame, labels: DataFrame, learn: Column, sample: int = SAMPLE) -> tuple[list[str], list[str], Curve]:
+    """The files of the examples and of the document frequencies, and the curve."""
     spark = docs.sparkSession
-    drawn = draw_sample(labels, learn, sample)  # ``sample`` rows at most
-    docs = docs.where("doc_id is not null").withColumn("doc_id", F.col("doc_id").cast("long"))
-    texts = docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(drawn), "doc_id")
-    texts = save(texts.dropDuplicates(["doc_id"]), "tox-examples")
-    vocabulary, chi2 = choose_terms(texts)
-    words = spark.sparkContext.broadcast(vocabulary)
-    rows = save(vectors(docs, words), "tox-vectors")
-    n_docs = rows.count()
-    df = np.zeros(max(1, len(vocabulary)))
-    seen = rows.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n")).toArrow()  # a row for each vocabulary term
-    df[seen.column("term").to_numpy()] = seen.column("n").to_numpy()
-    idf = np.log((1 + n_docs) / (1 + df)) + 1
-    idf[: len(chi2)] *= 1 + chi2
-
-    number = F.row_number().over(Window.orderBy(F.xxhash64("doc_id"), "doc_id"))  # of ``sample`` rows at most
-    examples = save(vectors(texts, words).join(F.broadcast(drawn.withColumn("number", number)), "doc_id"), "tox-index").inputFiles()
-    prior = drawn.join(texts.select("doc_id"), "doc_id", "left_semi").agg(F.avg(F.col("toxic").cast("double"))).first()[0] or 0.0
-    weights = spark.sparkContext.broadcast(idf)
-
-    def search(batches, leave_out: bool):
-        from hashlib import blake2b
-
-        index, toxic, names, prior = index_of(examples, weights.value)
-        remembered: dict = {}
-        place = {x: i for i, x in enumerate(names)} if leave_out else {}
-        for batch in batches:
-            out = {"row": batch["row"], "doc_id": batch["doc_id"], "vote": [], "neighbours": [], "cosines": []}
-            for doc_id, terms, times in zip(batch["doc_id"], batch["terms"], batch["times"]):
-                key = blake2b(np.array([terms, times], np.int32).tobytes(), digest_size=16).digest()
-                if key not in remembered:
-                    if len(remembered) > REMEMBERED:
-                        remembered.clear()
-                    remembered[key] = index.nearest(terms, times, NEIGHBOURS + 1)
-                ids, cosines = remembered[key]
-                keep = np.flatnonzero(ids != place.get(doc_id, -1))[:NEIGHBOURS]
-                ids, cosines = ids[keep], cosines[keep]
-                out["vote"].append(vote(ids, cosines, toxic, prior) if len(ids) else -1.0)
-                out["neighbours"].append([names[i] for i in ids[:EVIDENCE]])
-                out["cosines"].append(cosines[:EVIDENCE].tolist())
-            yield out
-
-    schema = "row long, doc_id long, vote double, neighbours array<long>, cosines array<double>"
-    own = map_rows(rows.join(F.broadcast(drawn.select("doc_id")), "doc_id", "left_semi").select(*rows.columns), schema, lambda b: search(b, True))
-    own = own.dropDuplicates(["doc_id"]).join(F.broadcast(drawn), "doc_id").select("vote", "toxic").collect()  # ``sample`` pairs at most
-    known = [(r["vote"], int(r["toxic"] > 0)) for r in own]
-    # Examples without neighbours (vote -1) are not on the curve: they have a rate of their own.
-    alone = [y for v, y in known if v < 0]
-    xs, ys = isotonic([v for v, _ in known if v >= 0], [y for v, y in known if v >= 0])
-    lonely = (sum(alone) + prior) / (len(alone) + 1) if known else 0.0
-    curve = spark.sparkContext.broadcast((xs, ys, lonely))
+    examples = draw_examples(docs, labels, learn, sample).inputFiles()
+    frequencies = document_frequencies(docs, examples).inputFiles()
+
+    def work(batches):
+        for _ in batches:
+            pairs = list(model_of(examples, frequencies).own_votes())
+            yield {"vote": [v for v, _ in pairs], "toxic": [y for _, y in pairs]}
+
+    pairs = map_rows(spark.range(1, numPartitions=1), "vote double, toxic int", work, keeps=True)
+    return examples, frequencies, Curve([(r["vote"], r["toxic"]) for r in pairs.collect()])  # ``sample`` pairs at most
+
+
+def score(docs: DataFrame, labels: DataFrame, learn: Column, held_out: Column, sample: int = SAMPLE) -> DataFrame:
+    """doc_id, held_out, score, predicted, neighbours and cosines (the evidence) of every row."""
+    examples, frequencies, curve = fit(docs, labels, learn, sample)
 
     def rate(batches):
-        xs, ys, lonely = curve.value
-        for batch in search(batches, False):
-            votes = np.asarray(batch.pop("vote"))
-            scores = np.interp(votes, xs, ys) if xs else np.full(len(votes), lonely)
-            batch["score"] = np.clip(np.where(votes < 0, lonely, scores), 0, 1)
-            del batch["row"]
-            yield batch
-
-    scored = map_rows(rows, "doc_id long, neighbours array<long>, cosines array<double>, score double", rate)
+        model = model_of(examples, frequencies)
+        for batch in batches:
+            votes, near, cosines = zip(*model.votes(batch.pop("text"))) if batch["doc_id"] else ((), (), ())
+            yield batch | {"score": curve(votes), "neighbours": near, "cosines": cosines}
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
+    scored = map_rows(rows, "doc_id long, neighbours array<long>, cosines array<double>, score double", rate, keeps=True)
+    held_out = F.coalesce(held_out, F.lit(True))
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "neighbours", "cosines")
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that are not predicted toxic, with all their columns."""
-    held_out = fold(F.col("doc_id")) == 0
-    bad = save(score(docs, labels, ~held_out, held_out).where("predicted = 1").select("doc_id").distinct(), "tox-dropped")
-    return docs.where("doc_id is not null").join(checked(bad), "doc_id", "left_anti").select(*docs.columns)
+    """The rows of ``docs`` that are not predicted toxic, with all their columns; each row goes by its own text."""
+    examples, frequencies, curve = fit(docs, labels, fold(F.col("doc_id")) != 0)
+
+    def clean(texts):
+        votes = [v for v, _, _ in model_of(examples, frequencies).votes([t or "" for t in texts])]
+        return (curve(votes) < 0.5).tolist()
+
+    return filter_rows(docs, "text", clean, keeps=True)
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
