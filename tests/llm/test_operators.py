@@ -265,24 +265,105 @@ def test_toxicity(spark):
     assert kept.columns == frame(spark, docs).columns and kept.count() == sum(r.predicted == 0 for r in got.values())
 
 
-def test_block_max_is_exact():
-    random.seed(9)
-    idf = np.array([random.uniform(1, 3) for _ in range(12)])
-    vector = lambda: (sorted(random.sample(range(12), k := random.randint(0, 4))), [random.randint(1, 3) for _ in range(k)])
-    examples = [vector() for _ in range(300)]
-    index = toxicity.BlockMaxIndex(examples, idf, block=16)
-    dense = np.zeros((300, 12))
+def check_index(examples, queries, idf, k, **options):
+    index = toxicity.BlockMaxIndex(examples, idf, **options)
+    dense = np.zeros((len(examples), len(idf)))
     for i, (t, n) in enumerate(examples):
-        if t:
-            dense[i, t] = index.weigh(t, n)
-    for _ in range(100):
-        t, n = vector()
-        ids, cosines = index.nearest(t, n, 10)
-        all_ = dense[:, t] @ index.weigh(t, n) if t else np.zeros(300)
-        want = sorted(((-round(c, 9), i) for i, c in enumerate(all_) if c > 0))[:10]
+        dense[i, t] = index.weigh(t, n)
+    for (t, n), (ids, cosines) in zip(queries, index.nearest(queries, k), strict=True):
+        all_ = dense[:, t] @ index.weigh(t, n) if len(t) else np.zeros(len(examples))
+        want = sorted((-round(c, 9), i) for i, c in enumerate(all_) if round(c, 9) > 0)[:k]
         assert ids.tolist() == [i for _, i in want] and cosines.tolist() == pytest.approx([-c for c, _ in want])
 
 
+def sparse(terms, times=None):
+    return np.array(terms, np.int64), np.array(times or [random.randint(1, 3) for _ in terms], float)
+
+
+def test_block_max_is_exact():
+    random.seed(9)
+    idf = np.array([random.uniform(0, 3) for _ in range(12)])
+    vector = lambda: sparse(sorted(random.sample(range(12), random.randint(0, 4))))
+    examples = [vector() for _ in range(300)]  # many ties
+    for k in (1, 10, 299, 300, 400):
+        check_index(examples, [vector() for _ in range(60)], idf, k, block=16, frequent=0.2)
+    check_index([], [vector()], idf, 5)
+
+
+def test_block_max_is_exact_over_many_terms():
+    random.seed(10)
+    idf = np.array([random.uniform(1, 3) * (20 if i % 50 == 0 else 1) for i in range(3000)])
+    vector = lambda: sparse(sorted({min(2999, int(random.expovariate(0.01))) for _ in range(random.randint(0, 80))}))
+    examples = [vector() for _ in range(2000)]
+    for k in (3, 200):
+        check_index(examples, [vector() for _ in range(60)] + examples[:300], idf, k)
+
+
+def test_toxicity_scores_by_brute_force(spark):
+    """Every score of a whole table: dense vectors, all cosines sorted, votes and curve."""
+    random.seed(14)
+    words = [f"w{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(120)]
+    docs = {i: " ".join([random.choice(words) for _ in range(random.randint(0, 25))] + ["Vile, nasty"] * (i % 7 == 0)) for i in range(150)}
+    docs |= {i: docs[i - 100] for i in range(200, 220)} | {900: None, 901: "", 902: "unheard of", 903: "12 34"}
+    labels = [(i, int(i % 7 == 0 or i % 31 == 0)) for i in range(0, 150, 2)] + [(901, 0), (4, 1)]
+    held = toxicity.fold(F.col("doc_id")) == 0
+    got = collect(toxicity.score(frame(spark, docs), spark.createDataFrame(labels, "doc_id long, toxic int"), ~held, held))
+    draws = {r.doc_id: r.h for r in spark.createDataFrame([(i,) for i in docs], "doc_id long").select("doc_id", F.xxhash64("doc_id").alias("h")).collect()}
+    known = {}
+    for i, y in labels:
+        if zlib.crc32(str(i).encode()) % 5:
+            known[i] = max(y, known.get(i, 0))
+    order = sorted(known, key=lambda i: (draws[i], i))
+    terms = {i: collections.Counter(re.findall(r"[^\W\d_]+", (t or "").lower())) for i, t in docs.items()}
+    vocabulary = sorted({w for i in order for w in terms[i]})
+    idf = []
+    for w in vocabulary:
+        a, b = (sum(w in terms[i] for i in order if known[i] == y) for y in (1, 0))
+        toxic, clean = sum(known[i] for i in order), sum(1 - known[i] for i in order)
+        apart = max(0, abs(a * clean - b * toxic) - len(order) / 2) / math.sqrt((a + b) * (len(order) - a - b) * toxic * clean) if a + b < len(order) else 0
+        idf.append((1 + math.log((1 + len(docs)) / (1 + sum(w in c for c in terms.values())))) * (1 + toxicity.RELEVANCE * apart))
+    idf = np.array(idf)
+
+    def unit(c):
+        v = np.array([(1 + math.log(c[w])) if c[w] else 0.0 for w in vocabulary]) * idf
+        return v / np.linalg.norm(v) if np.linalg.norm(v) else v
+
+    matrix, toxic = np.array([unit(terms[i]) for i in order]), np.array([known[i] for i in order])
+    k, prior = toxicity.neighbours(len(order)), toxic.mean()
+
+    def vote(i, leave=None):
+        cosines = np.round(matrix @ unit(terms[i]), 9)
+        near = sorted((-c, j) for j, c in enumerate(cosines) if c > 0 and j != leave)[:k]
+        w = np.array([1 / (1 + c + toxicity.NEAR) for c, _ in near])
+        return (w @ toxic[[j for _, j in near]] + prior) / (w.sum() + 1) if near else -1.0
+
+    pairs = [(vote(i, j), known[i]) for j, i in enumerate(order)]
+    xs, ys = toxicity.isotonic([v for v, _ in pairs if v >= 0], [y for v, y in pairs if v >= 0])
+    alone = [y for v, y in pairs if v < 0]
+    lonely = (sum(alone) + prior) / (len(alone) + 1)
+    for i in docs:
+        v = vote(i)
+        want = lonely if v < 0 else min(1, max(0, np.interp(v, xs, ys)))
+        assert got[i].score == pytest.approx(want, abs=1e-6), i
+        assert got[i].predicted == (got[i].score >= 0.5)
+    assert len({r.score for r in got.values()}) > 10
+
+
+def test_toxicity_rows_stand_for_themselves(spark):
+    bad, good = "you vile nasty creature of the deep", "the quiet harbour lay behind the hill"
+    rows = [(i, f"{bad if i % 2 else good} number {'abcdefghij'[i % 10]}", 1, 2, "x", "y", "z", 3) for i in range(60)]
+    extra = [(5, good, 1, 2, "x", "y", "z", 3), (None, bad, 1, 2, "x", "y", "z", 3), (None, good, 1, 2, "x", "y", "z", 3), (8, None, 1, 2, "x", "y", "z", 3), rows[6], rows[6]]
+    docs = spark.createDataFrame(rows + extra, SCHEMA)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")
+    kept = toxicity.keep_clean(docs, labels)
+    assert kept.columns == docs.columns
+    want = [(r[0], r[1]) for r in rows + extra if "vile" not in (r[1] or "")]
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=repr) == sorted(want, key=repr)
+    held = toxicity.fold(F.col("doc_id")) == 0
+    got = toxicity.score(docs, labels, ~held, held).collect()
+    assert len(got) == len(rows) + len(extra) and all(r.held_out for r in got if r.doc_id is None)
+
+
 def brute_components(docs, k, percent):
     sets = {}
     for i, t in docs.items():
@@ -321,28 +402,30 @@ def near_copies():
     return out + out[:7] + [x.upper() for x in out[:3]]
 
 
-def test_jaccard_join(spark, texts, monkeypatch):
+def test_jaccard_join(spark, texts):
     docs = dict(enumerate(near_copies() + texts))
     want = brute_components(docs, 4, 85)
-    for size, pivots, frequent, pair in ((200, 16, 32, 500), (12, 1, 5, 7)):
-        monkeypatch.setattr(jaccard_join, "PAIR_DOCS", pair)
-        monkeypatch.setattr(jaccard_join, "SEARCH_DOCS", size)
-        monkeypatch.setattr(jaccard_join, "PIVOTS", pivots)
-        monkeypatch.setattr(jaccard_join, "FREQUENT", frequent)
-        rows = jaccard_join.join_components(frame(spark, docs), 4, 85).collect()
+    for most, pivots in ((10**6, 16), (900, 1), (900, 0)):
+        rows = jaccard_join.join_components(frame(spark, docs), 4, 85, most, pivots).collect()
         assert {r.doc_id: (r.n_shingles, r.component_id) for r in rows} == want and len(rows) == len(docs)
 
 
+def test_heap_merge():
+    assert jaccard_join.heap_merge([[1, 4, 9], [4], [], [0, 4, 9]]) == {0: 1, 1: 1, 4: 3, 9: 2}
+    assert jaccard_join.heap_merge([]) == {}
+
+
 def test_search_finds_all_links():
     random.seed(6)
-    for long_list in (2, 24):
-        jaccard_join.LONG_LIST, before = long_list, jaccard_join.LONG_LIST
+    for halves in (False, True):
         for _ in range(60):
             sets = [np.array(sorted(random.sample(range(25), random.randint(1, 14))), np.int64) for _ in range(25)]
+            sizes = [len(s) for s in sets]
             root = list(range(25))
-            found = list(jaccard_join.search(sets, 60))
-            if long_list == 2:  # halves by themselves, and against each other
-                found = list(jaccard_join.search(sets[:12], 60)) + [(a + 12, b + 12) for a, b in jaccard_join.search(sets[12:], 60)] + list(jaccard_join.search(sets[:12], 60, sets[12:]))
+            found = list(jaccard_join.search(sets, sizes, 60))
+            if halves:  # by themselves, and against each other
+                a, b = (sets[:12], sizes[:12]), (sets[12:], sizes[12:])
+                found = list(jaccard_join.search(*a, 60)) + [(x + 12, y + 12) for x, y in jaccard_join.search(*b, 60)] + list(jaccard_join.search(*a, 60, *b))
             for a, b in found:
                 root = [min(root[a], root[b]) if x in (root[a], root[b]) else x for x in root]
             want = list(range(25))
@@ -352,7 +435,23 @@ def test_search_finds_all_links():
                     if 100 * len(x & y) >= 60 * len(x | y):
                         want = [min(want[a], want[b]) if v in (want[a], want[b]) else v for v in want]
             assert root == want
-        jaccard_join.LONG_LIST = before
+
+
+def test_keep_one_by_rows(spark):
+    """Rows stand for themselves: shared ids, ids that are missing, and rows that are the same altogether."""
+    random.seed(21)
+    base = [f"w{random.randint(0, 99)}" for _ in range(60)]
+    near = " ".join(base[:-1] + ["x"])
+    base = " ".join(base)
+    rows = [(1, base), (2, base), (2, "another text that is alone here"), (3, near), (3, near), (None, near), (None, "a text without an id that is alone"),
+            (4, "twice the same row of a text"), (4, "twice the same row of a text"), (None, "nobody has an id here at all"), (None, "nobody has an id here at all"), (5, None), (6, "")]
+    docs = spark.createDataFrame([(i, t, 1, 2, "x", "y", "z", 3) for i, t in rows], SCHEMA)
+    kept = jaccard_join.keep_one(docs)
+    assert kept.columns == docs.columns
+    want = [(1, base), (2, "another text that is alone here"), (None, "a text without an id that is alone"), (4, "twice the same row of a text"), (None, "nobody has an id here at all"), (5, None), (6, "")]
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=repr) == sorted(want, key=repr)
+    got = jaccard_join.join_components(docs).collect()
+    assert len(got) == len(rows) and sorted(r.component_id for r in got if r.component_id is not None) == [1, 1, 1, 1, 1, 2, 4, 4, 5, 6]
 
 
 def test_empty_tables(spark):
@@ -406,25 +505,6 @@ def test_toxicity_learns_from_few_labels(spark):
     assert all(r.neighbours for r in got.values())
 
 
-def test_block_max_is_exact_over_many_terms():
-    random.seed(10)
-    idf = np.array([random.uniform(1, 3) * (20 if i % 50 == 0 else 1) for i in range(3000)])
-    vector = lambda: (sorted({min(2999, int(random.expovariate(0.01))) for _ in range(random.randint(0, 80))}), 1)
-    examples = [(t, [random.randint(1, 3) for _ in t]) for t, _ in (vector() for _ in range(2000))]
-    index = toxicity.BlockMaxIndex(examples, idf)
-    dense = np.zeros((2000, 3000))
-    for i, (t, n) in enumerate(examples):
-        if t:
-            dense[i, t] = index.weigh(t, n)
-    before, toxicity.FIRST_POSTINGS = toxicity.FIRST_POSTINGS, 64
-    for t, n in examples[:150]:
-        ids, cosines = index.nearest(t, n, 10)
-        all_ = dense[:, t] @ index.weigh(t, n) if t else np.zeros(2000)
-        want = sorted(((-round(c, 9), i) for i, c in enumerate(all_) if c > 0))[:10]
-        assert ids.tolist() == [i for _, i in want] and cosines.tolist() == pytest.approx([-c for c, _ in want])
-    toxicity.FIRST_POSTINGS = before
-
-
 def test_lm_scoring_when_splits_change_between_passes(spark, tmp_path, monkeypatch):
     path, size = f"file://{tmp_path}/docs", "spark.sql.files.maxPartitionBytes"
     docs = {i: f"text {i} " + "abc" * (i % 5) + " and more" * (i % 3) for i in range(40)}

@@ -4,8 +4,8 @@ A text is compressed as a whole and in fixed chunks; ratios outside the limits f
 high) or incompressible (too low). A few plain counts go first and reject texts that are short or say the same words again.
 
 Defined cases: a null or empty text has no words, fails the base rules and is not kept; a text of any length is read
-whole; repeated rows are measured each (``keep_good`` leaves out rows without a doc_id); an empty table gives an empty result;
-other columns are ignored.
+whole; repeated rows, rows of one doc_id and rows without one are measured each, by their own text; an empty table gives
+an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import checked, map_rows, save, table, text_or_empty
+from tidemark.llm.common import filter_rows, map_rows, table, text_or_empty
 
 SYMBOLS = b"#*$%&|<>"
 
@@ -103,11 +103,11 @@ def verdict(data: bytes, compress, limits: Limits) -> tuple[float, float, bool]:
     if len(starts) == 1:
         return whole, 0.0, low <= whole <= high
     bad = 0
-    for i in starts:
-        part = data[i : i + limits.chunk]
+    for i, end in zip(starts, [*starts[1:], len(data)]):  # a short tail belongs to the chunk before it
+        part = data[i:end]
         least = limits.chunk_low
         if mostly_ascii(part):
-            least = max(least, limits.ascii_low if len(part) == limits.chunk else limits.ascii_short_low)
+            least = max(least, limits.ascii_low if len(part) >= limits.chunk else limits.ascii_short_low)
         bad += not least <= len(part) / len(compress(part)) <= limits.chunk_high
     share = bad / len(starts)
     return whole, share, low <= whole <= high and share <= limits.bad_chunks
@@ -119,31 +119,34 @@ SCHEMA = (
 )
 
 
+def judge(texts: list[bytes], limits: Limits):
+    """The counts, ``base_failed``, ``kept`` and the figures behind the verdict of each text."""
+    import zstandard
+
+    compress = zstandard.ZstdCompressor(level=limits.level).compress
+    for data in texts:
+        counts = base_counts(data)
+        failed = counts[0] < limits.min_words or 100 * counts[4] > limits.repeat_percent * counts[0]
+        ratio, share, passes = verdict(data, compress, limits) if data else (None, 0.0, False)
+        yield *counts, failed, passes and not failed, ratio, share
+
+
 def measure(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """One row for each document: the counts, ``base_failed``, ``kept``, and the figures behind the verdict."""
-    names = [x.strip().split()[0] for x in SCHEMA.split(",")]
+    names = [x.strip().split()[0] for x in SCHEMA.split(",")][1:]
 
     def work(batches):
-        import zstandard
-
-        compress = zstandard.ZstdCompressor(level=limits.level).compress
         for batch in batches:
-            out = {n: [] for n in names}
-            for doc_id, data in zip(batch["doc_id"], batch["data"]):
-                counts = base_counts(data)
-                failed = counts[0] < limits.min_words or 100 * counts[4] > limits.repeat_percent * counts[0]
-                ratio, share, passes = verdict(data, compress, limits) if data else (None, 0.0, False)
-                for n, v in zip(names, (doc_id, *counts, failed, passes and not failed, ratio, share)):
-                    out[n].append(v)
-            yield out
+            rows = list(judge(batch["data"], limits))
+            yield {"doc_id": batch["doc_id"]} | {n: [r[i] for r in rows] for i, n in enumerate(names)}
 
     return map_rows(docs.select(F.col("doc_id").cast("long"), text_or_empty().cast("binary").alias("data")), SCHEMA, work)
 
 
 def keep_good(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
-    """The rows of ``docs`` that pass, with all their columns."""
-    dropped = save(measure(docs, limits).where("not kept").select("doc_id").distinct(), "quality-dropped")
-    return docs.where("doc_id is not null").join(checked(dropped), "doc_id", "left_anti").select(*docs.columns)
+    """The rows of ``docs`` that pass, with all their columns; each row goes by its own text."""
+    kept = SCHEMA.split(", ").index("kept boolean") - 1
+    return filter_rows(docs, "text", lambda texts: [r[kept] for r in judge([(t or "").encode() for t in texts], limits)])
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
