@@ -9,8 +9,10 @@ Files go to the shared folder under names that no other attempt uses; only names
 task that is lost, or run twice, leaves at most an unused file.
 
 Defined cases: null html is an empty payload; payloads below 100 bytes are always responses; of equal larger payloads the
-smallest page_id is the response and the others revisit it (repeated rows of that page_id are all responses); a null url
-is named after the page; a row without a page_id is left out; an empty table gives no archives and an empty result; other columns are ignored.
+smallest page_id is the response and the others revisit it (repeated rows of that page_id are all responses, rows of one
+page_id with different payloads go each by their own); a row without a page_id revisits like any other, and is a response
+where no row with its payload has an id; a null url is named after the page; an empty table gives no archives and an empty
+result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,6 +30,7 @@ LEVEL = 3
 ROLL_BYTES = 64 << 20
 LEAST_REVISIT = 100
 READ_BYTES = 1 << 20
+MOST_TASKS = 20_000
 DATE = "1970-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 PAGE = "urn:x-page:"
@@ -38,13 +41,17 @@ def record(fields: list[tuple[str, str]], block: bytes) -> bytes:
     return head.encode() + block + b"\r\n\r\n"
 
 
-def page_record(page_id: int, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
+def page_name(page_id: int | None) -> str:
+    return f"{PAGE}{'' if page_id is None else page_id}"
+
+
+def page_record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
     """A response with its payload, or a revisit with the headers of the response alone."""
-    uri = "".join(c if c > " " else f"%{ord(c):02X}" for c in url) if url else f"{PAGE}{page_id}"
+    uri = "".join(c if c > " " else f"%{ord(c):02X}" for c in url) if url else page_name(page_id)
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     fields = [
         ("WARC-Type", "response" if refers_to is None else "revisit"),
-        ("WARC-Record-ID", f"<{PAGE}{page_id}>"),
+        ("WARC-Record-ID", f"<{page_name(page_id)}>"),
         ("WARC-Date", DATE),
         ("WARC-Target-URI", uri),
         ("WARC-Payload-Digest", f"sha256:{digest}"),
@@ -56,7 +63,7 @@ def page_record(page_id: int, url: str | None, payload: bytes, digest: str, refe
 
 
 def revisits(pages: DataFrame) -> DataFrame:
-    """(page_id, refers_to) of the pages whose payload a smaller page_id holds. Only ids and digests are shuffled."""
+    """(page_id, digest, refers_to) of the rows whose payload a smaller page_id holds. Only ids and digests are shuffled."""
     payload = text_or_empty("html").cast("binary")
     prints = save(
         pages.select(
@@ -66,29 +73,27 @@ def revisits(pages: DataFrame) -> DataFrame:
     )
     shared = prints.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n")).where("n > 1")
     shared = checked(save(shared.drop("n"), "warc-shared"))
-    return prints.join(shared, "digest").where("page_id > refers_to").select("page_id", "refers_to").distinct()
+    again = prints.join(shared, "digest").where("refers_to is not null and not page_id <=> refers_to")
+    return again.select("page_id", "digest", "refers_to").distinct()
 
 
 def write_archives(pages: DataFrame, folder: str, roll_bytes: int = ROLL_BYTES) -> DataFrame:
     """Write all pages into archives of one gzip stream each; returns the saved manifest (path, records)."""
-    pages = pages.where("page_id is not null")
-
     def work(batches):
-        import hashlib
         import uuid
 
         files, base = filesystem(folder)
         files.create_dir(base, recursive=True)
         out, done = None, []
         for batch in batches:
-            for page_id, url, html, refers_to in zip(*(batch[n] for n in ("page_id", "url", "payload", "refers_to"))):
+            for page_id, url, html, digest, refers_to in zip(*(batch[n] for n in ("page_id", "url", "payload", "digest", "refers_to"))):
                 if out is None:
                     name = f"{folder}/{uuid.uuid4().hex}.warc.gz"
                     out, gz = files.open_output_stream(f"{base}/{name.rsplit('/', 1)[1]}", compression=None), zlib.compressobj(LEVEL, wbits=31)
                     info = record([("WARC-Type", "warcinfo"), ("WARC-Record-ID", f"<urn:x-file:{name.rsplit('/', 1)[1]}>"), ("WARC-Date", DATE), ("Content-Type", "application/warc-fields")], b"format: WARC File Format 1.1\r\n")
                     out.write(gz.compress(info))
                     size = records = 0
-                data = page_record(page_id, url, html, hashlib.sha256(html).hexdigest(), refers_to)
+                data = page_record(page_id, url, html, digest, refers_to)
                 out.write(gz.compress(data))
                 size, records = size + len(data), records + 1
                 if size >= roll_bytes:
@@ -103,9 +108,10 @@ def write_archives(pages: DataFrame, folder: str, roll_bytes: int = ROLL_BYTES)
         yield {"path": [x[0] for x in done], "records": [x[1] for x in done]}
 
     verdicts = checked(save(revisits(pages), "warc-revisits"))
-    rows = pages.select(
-        F.col("page_id").cast("long"), "url", text_or_empty("html").cast("binary").alias("payload")
-    ).join(verdicts, "page_id", "left")
+    payload = text_or_empty("html").cast("binary")
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", payload.alias("payload"), F.sha2(payload, 256).alias("digest")).alias("p")
+    same = F.col("p.page_id").eqNullSafe(F.col("v.page_id")) & (F.col("p.digest") == F.col("v.digest"))
+    rows = rows.join(verdicts.alias("v"), same, "left").select("p.*", "v.refers_to")
     return save(map_rows(rows, "path string, records long", work), "warc-manifest")
 
 
@@ -155,6 +161,11 @@ def split_records(pieces):
         at += size
 
 
+def tasks_for(archives: DataFrame) -> int:
+    """A task for each archive, up to a bound; beyond it tasks take several, one after another."""
+    return max(1, min(MOST_TASKS, archives.count()))
+
+
 def normalise(manifest: DataFrame, folder: str) -> DataFrame:
     """Rewrite each archive of a saved manifest; returns the saved (path, index_path, records) of the new files."""
 
@@ -186,7 +197,7 @@ def normalise(manifest: DataFrame, folder: str) -> DataFrame:
                 done["records"].append(len(lines))
             yield done
 
-    paths = manifest.select("path").repartition(max(1, manifest.count()))
+    paths = manifest.select("path").repartition(tasks_for(manifest))
     return save(map_rows(paths, "path string, index_path string, records long", work), "warc-normalised")
 
 
@@ -197,8 +208,9 @@ def read_archives(normalised: DataFrame) -> DataFrame:
     """A row for each page record, read by the offsets of the sidecar index. The digest of a response is computed from
     the payload that was read and held against its header; a revisit has only its headers."""
 
-    def page(ref: str) -> int:
-        return int(ref.strip("<>").removeprefix(PAGE))
+    def page(ref: str) -> int | None:
+        name = ref.strip("<>").removeprefix(PAGE)
+        return int(name) if name else None
 
     def work(batches):
         import hashlib
@@ -232,7 +244,7 @@ def read_archives(normalised: DataFrame) -> DataFrame:
                             out = {n: [] for n in names}
                 yield out
 
-    return map_rows(normalised.select("path", "index_path").repartition(max(1, normalised.count())), SCHEMA, work)
+    return map_rows(normalised.select("path", "index_path").repartition(tasks_for(normalised)), SCHEMA, work)
 
 
 def inflate_bytes(member: bytes):
@@ -254,7 +266,7 @@ WITH p AS (
   SELECT *, min(page_id) OVER (PARTITION BY digest) AS first_id FROM p
 )
 SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, digest AS payload_digest,
-       CASE WHEN n >= 100 AND page_id > first_id THEN 'revisit' ELSE 'response' END AS record_type,
-       CASE WHEN n >= 100 AND page_id > first_id THEN first_id END AS refers_to
+       CASE WHEN n >= 100 AND first_id IS NOT NULL AND page_id IS DISTINCT FROM first_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN n >= 100 AND page_id IS DISTINCT FROM first_id THEN first_id END AS refers_to
 FROM g
 """
