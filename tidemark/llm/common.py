@@ -198,16 +198,19 @@ def stay(docs: DataFrame, key: Column, verdicts: DataFrame, twins: DataFrame) ->
     """The rows of ``docs`` that stay where copies go, with all their columns.
 
     ``verdicts`` (key, keep, doc_id, n_chars): of the rows with this key none stays (``keep`` false), or only those of this
-    doc_id and number of code points; keys without a verdict stay. ``twins`` (key): more than one row would stay; one does."""
-    own = docs.withColumns({"__key": key, "__chars": F.length(text_or_empty()).cast("long")})
-    v = checked(verdicts.select(F.col("key").alias("__key"), F.col("keep").alias("__keep"), F.col("doc_id").alias("__id"), F.col("n_chars").alias("__n")))
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & F.coalesce(F.col("__chars") == F.col("__n"), F.lit(True))
-    kept = own.join(v, "__key", "left").where(F.col("__keep").isNull() | (F.col("__keep") & same))
+    doc_id and number of code points; keys without a verdict stay. ``twins`` (key): more than one row would stay; the one
+    whose columns come first as JSON does."""
+    its, chars, keep, of, n = (f"{x}_{uuid.uuid4().hex}" for x in ("key", "chars", "keep", "id", "n"))  # docs may have any names
+    own = docs.withColumns({its: key, chars: F.length(text_or_empty()).cast("long")})
+    v = checked(verdicts.select(F.col("key").alias(its), F.col("keep").alias(keep), F.col("doc_id").alias(of), F.col("n_chars").alias(n)))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(of)) & F.coalesce(F.col(chars) == F.col(n), F.lit(True))
+    kept = own.join(v, its, "left").where(F.col(keep).isNull() | (F.col(keep) & same))
     if twins.isEmpty():
         return kept.select(*docs.columns)
-    few = checked(twins.select(F.col("key").alias("__key")))
-    one = kept.join(few, "__key", "left_semi").dropDuplicates(["__key"])
-    return kept.join(few, "__key", "left_anti").select(*docs.columns).unionByName(one.select(*docs.columns))
+    few = checked(twins.select(F.col("key").alias(its)))
+    whole = F.struct(*(F.col(f"`{x}`") for x in docs.columns))
+    one = kept.join(few, its, "left_semi").groupBy(its).agg(F.min_by(whole, F.to_json(whole)).alias(keep)).select(f"{keep}.*")
+    return kept.join(few, its, "left_anti").select(*docs.columns).unionByName(one)
 
 
 class Memory:
