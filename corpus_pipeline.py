@@ -2,6 +2,12 @@
 
 Every stage works on all that the one before it kept. The first four return the columns of documents; the last one
 returns the pieces of the packed sequences.
+
+Defined cases, for every stage: a row is judged by its own text, so rows without a doc_id and different texts of one
+doc_id stand for themselves; a null text is an empty one, which the first stage rejects; columns beside doc_id and text
+may hold nulls and have any name, and come through as they are; an empty table gives an empty one. Of rows that are the
+same altogether, the exact stage keeps one. Ties: the exact stage keeps the longest original, then the smallest doc_id
+(rows without one last); the near stage the smallest doc_id, then the text of the smallest digest.
 """
 
 from __future__ import annotations

@@ -55,6 +55,58 @@ def test_exact_dedup(spark, texts):
     assert kept.columns == frame(spark, texts).columns and kept.count() == len(groups)
 
 
+def brute_groups(rows):
+    groups = collections.defaultdict(list)
+    for i, t in rows:
+        groups[re.sub(r"[\x20\x09-\x0D]", "", t or "")].append((-len(t or ""), i is None, i or 0))
+    best = {norm: min(g) for norm, g in groups.items()}
+    out = []
+    for i, t in rows:
+        norm = re.sub(r"[\x20\x09-\x0D]", "", t or "")
+        n, nameless, keep = best[norm]
+        out.append((i, None if nameless else keep, len(groups[norm]), (-len(t or ""), i is None, i or 0) == best[norm], hashlib.sha256(norm.encode()).hexdigest()))
+    return out
+
+
+ODD_ROWS = [(1, "same text"), (2, "same  text"), (2, "another text"), (None, "same   text"), (None, "lone"), (3, "twin"), (3, "twin"), (4, None), (5, ""), (6, " \n"), (None, "x y"), (None, "xy")]
+
+
+@pytest.mark.parametrize("digest_hex", [64, 1])
+def test_exact_dedup_over_calls(spark, texts, tmp_path, digest_hex):
+    """The state outlives a call and an object: later documents are judged against earlier ones, and their bytes compared."""
+    calls = [list(enumerate(texts))[:40], [(100 + i, (t or "") + " " * (i % 3)) for i, t in enumerate(texts)], [(i, t) for i, t in ODD_ROWS]]
+    seen = []
+    for number, rows in enumerate(calls):
+        docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+        if number == 1:  # from files that others wrote
+            docs.write.parquet(f"file://{tmp_path}/docs")
+            docs = spark.read.parquet(f"file://{tmp_path}/docs")
+        stream = exact_dedup.Deduplicator(spark, f"file://{tmp_path}/home", digest_hex)
+        assert stream.add(docs) == number
+        seen += rows
+        fields = ["doc_id", "keep_id", "group_size", "kept", "text_sha256"]
+        got = stream.verdicts().select(*fields).collect()
+        assert sorted(map(tuple, got), key=repr) == sorted(brute_groups(seen), key=repr)
+        assert (stream.clashes().count() > 0) == (digest_hex == 1)
+        own = stream.verdicts(number).select(*fields).collect()
+        assert sorted(map(tuple, own), key=repr) == sorted(brute_groups(seen)[-len(rows) :], key=repr)
+
+
+@pytest.mark.parametrize("digest_hex", [64, 1])
+def test_keep_first_by_rows(spark, digest_hex):
+    docs = spark.createDataFrame([(i, t, 1, 2, "x", "y", "z", 3) for i, t in ODD_ROWS], SCHEMA)
+    kept = exact_dedup.keep_first(docs, digest_hex)
+    assert kept.columns == docs.columns
+    want = [(None, "same   text"), (2, "another text"), (None, "lone"), (3, "twin"), (6, " \n"), (None, "x y")]
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=repr) == sorted(want, key=repr)
+
+
+def test_exact_dedup_runs_no_python_on_executors(spark, texts):
+    for df in (exact_dedup.exact_groups(frame(spark, texts)), exact_dedup.keep_first(frame(spark, texts))):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert not re.search("Python|Pandas|Arrow", plan)
+
+
 def test_quality_rules(spark, texts):
     docs = {i: t for i, t in enumerate(texts)} | {500: "la la " * 400, 501: " ".join(f"w{random.random()}" for _ in range(300)), 502: "\n".join(["one line that says it"] * 80)}
     got = collect(quality_rules.measure(frame(spark, docs)))
@@ -150,6 +202,17 @@ def test_warc(spark, texts, tmp_path):
     assert warc.read_archives(warc.normalise(warc.write_archives(pages.limit(0), f"file://{tmp_path}/a"), f"file://{tmp_path}/b")).count() == 0
 
 
+def test_warc_keeps_every_payload(spark, tmp_path):
+    """Shared and missing page_ids, repeated rows: each payload can be read from some response."""
+    rows = [(1, "a" * 200), (5, "a" * 200), (5, "b" * 200), (5, "b" * 200), (None, "a" * 200), (None, "c" * 200), (None, "c" * 200), (7, None), (7, "")]
+    pages = spark.createDataFrame([(i, None, t) for i, t in rows], "page_id long, url string, html string").repartition(2)
+    got = warc.read_archives(warc.normalise(warc.write_archives(pages, f"file://{tmp_path}/a"), f"file://{tmp_path}/b")).collect()
+    digest = lambda t: hashlib.sha256((t or "").encode()).hexdigest()
+    want = [(1, digest("a" * 200), "response", None), (5, digest("a" * 200), "revisit", 1), (None, digest("a" * 200), "revisit", 1)]
+    want += [(5, digest("b" * 200), "response", None)] * 2 + [(None, digest("c" * 200), "response", None)] * 2 + [(7, digest(""), "response", None)] * 2
+    assert sorted(((r.page_id, r.payload_digest, r.record_type, r.refers_to) for r in got), key=repr) == sorted(want, key=repr)
+
+
 def test_byte_bpe(spark, texts):
     import tiktoken
 
@@ -299,51 +362,57 @@ def test_block_max_is_exact_over_many_terms():
         check_index(examples, [vector() for _ in range(60)] + examples[:300], idf, k)
 
 
-def test_toxicity_scores_by_brute_force(spark):
-    """Every score of a whole table: dense vectors, all cosines sorted, votes and curve."""
-    random.seed(14)
-    words = [f"w{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(120)]
-    docs = {i: " ".join([random.choice(words) for _ in range(random.randint(0, 25))] + ["Vile, nasty"] * (i % 7 == 0)) for i in range(150)}
-    docs |= {i: docs[i - 100] for i in range(200, 220)} | {900: None, 901: "", 902: "unheard of", 903: "12 34"}
-    labels = [(i, int(i % 7 == 0 or i % 31 == 0)) for i in range(0, 150, 2)] + [(901, 0), (4, 1)]
-    held = toxicity.fold(F.col("doc_id")) == 0
-    got = collect(toxicity.score(frame(spark, docs), spark.createDataFrame(labels, "doc_id long, toxic int"), ~held, held))
-    draws = {r.doc_id: r.h for r in spark.createDataFrame([(i,) for i in docs], "doc_id long").select("doc_id", F.xxhash64("doc_id").alias("h")).collect()}
-    known = {}
+def brute_toxicity(spark, docs, labels):
+    """Score by row number of ``docs`` (doc_id, text): dense vectors, all cosines sorted, votes and curve."""
+    ids = sorted({i for i, _ in docs if i is not None})
+    draws = {r.doc_id: r.h for r in spark.createDataFrame([(i,) for i in ids], "doc_id long").select("doc_id", F.xxhash64("doc_id").alias("h")).collect()}
+    known, example = {}, {}
     for i, y in labels:
-        if zlib.crc32(str(i).encode()) % 5:
+        if zlib.crc32(str(i).encode()) % 5 and i in draws:
             known[i] = max(y, known.get(i, 0))
+            example[i] = min(t or "" for j, t in docs if j == i)
     order = sorted(known, key=lambda i: (draws[i], i))
-    terms = {i: collections.Counter(re.findall(r"[^\W\d_]+", (t or "").lower())) for i, t in docs.items()}
-    vocabulary = sorted({w for i in order for w in terms[i]})
-    idf = []
+    count = lambda t: collections.Counter(re.findall(r"[^\W\d_]+", (t or "").lower()))
+    terms, own = [count(t) for _, t in docs], {i: count(example[i]) for i in order}
+    vocabulary = sorted({w for c in own.values() for w in c})
+    toxic, k = np.array([known[i] for i in order]), toxicity.neighbours(len(order))
+    bad, good, idf = toxic.sum(), len(toxic) - toxic.sum(), []
     for w in vocabulary:
-        a, b = (sum(w in terms[i] for i in order if known[i] == y) for y in (1, 0))
-        toxic, clean = sum(known[i] for i in order), sum(1 - known[i] for i in order)
-        apart = max(0, abs(a * clean - b * toxic) - len(order) / 2) / math.sqrt((a + b) * (len(order) - a - b) * toxic * clean) if a + b < len(order) else 0
-        idf.append((1 + math.log((1 + len(docs)) / (1 + sum(w in c for c in terms.values())))) * (1 + toxicity.RELEVANCE * apart))
-    idf = np.array(idf)
+        a, b = (sum(w in own[i] for i in order if known[i] == y) for y in (1, 0))
+        under = (a + b) * (len(order) - a - b) * bad * good
+        phi = max(0, abs(a * (good - b) - b * (bad - a)) - len(order) / 2) / math.sqrt(under) if under else 0
+        idf.append((1 + math.log((1 + len(docs)) / (1 + sum(w in c for c in terms)))) * (1 + toxicity.RELEVANCE * phi))
 
     def unit(c):
-        v = np.array([(1 + math.log(c[w])) if c[w] else 0.0 for w in vocabulary]) * idf
-        return v / np.linalg.norm(v) if np.linalg.norm(v) else v
+        v = np.array([(1 + math.log(c[w])) if c[w] else 0.0 for w in vocabulary]) * np.array(idf)
+        return v / np.linalg.norm(v) if len(v) and np.linalg.norm(v) else v
 
-    matrix, toxic = np.array([unit(terms[i]) for i in order]), np.array([known[i] for i in order])
-    k, prior = toxicity.neighbours(len(order)), toxic.mean()
+    matrix, prior = np.array([unit(own[i]) for i in order]), toxic.mean()
 
-    def vote(i, leave=None):
-        cosines = np.round(matrix @ unit(terms[i]), 9)
-        near = sorted((-c, j) for j, c in enumerate(cosines) if c > 0 and j != leave)[:k]
-        w = np.array([1 / (1 + c + toxicity.NEAR) for c, _ in near])
+    def vote(c, leave=None):
+        cosines = np.round(matrix @ unit(c), 9)
+        near = sorted((-x, j) for j, x in enumerate(cosines) if x > 0 and j != leave)[:k]
+        w = np.array([1 / (1 + x + toxicity.NEAR) for x, _ in near])
         return (w @ toxic[[j for _, j in near]] + prior) / (w.sum() + 1) if near else -1.0
 
-    pairs = [(vote(i, j), known[i]) for j, i in enumerate(order)]
+    pairs = [(vote(own[i], j), known[i]) for j, i in enumerate(order)]
     xs, ys = toxicity.isotonic([v for v, _ in pairs if v >= 0], [y for v, y in pairs if v >= 0])
     alone = [y for v, y in pairs if v < 0]
     lonely = (sum(alone) + prior) / (len(alone) + 1)
-    for i in docs:
-        v = vote(i)
-        want = lonely if v < 0 else min(1, max(0, np.interp(v, xs, ys)))
+    votes = [vote(c) for c in terms]
+    return [lonely if v < 0 else min(1, max(0, np.interp(v, xs, ys))) for v in votes]
+
+
+def test_toxicity_scores_by_brute_force(spark):
+    """Every score of a whole table."""
+    random.seed(14)
+    words = [f"w{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(120)]
+    docs = {i: " ".join([random.choice(words) for _ in range(random.randint(0, 25))] + ["Vile, nasty"] * (i % 7 == 0)) for i in range(150)}
+    docs |= {i: docs[i - 100] for i in range(200, 220)} | {900: None, 901: "", 902: "unheard of", 903: "12 34"}
+    labels = [(i, int(i % 7 == 0 or i % 31 == 0)) for i in range(0, 150, 2)] + [(901, 0), (4, 1)]
+    held = toxicity.fold(F.col("doc_id")) == 0
+    got = collect(toxicity.score(frame(spark, docs), spark.createDataFrame(labels, "doc_id long, toxic int"), ~held, held))
+    for i, want in zip(docs, brute_toxicity(spark, list(docs.items()), labels)):
         assert got[i].score == pytest.approx(want, abs=1e-6), i
         assert got[i].predicted == (got[i].score >= 0.5)
     assert len({r.score for r in got.values()}) > 10
