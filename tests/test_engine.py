@@ -139,6 +139,10 @@ def test_ingest(spark):
     got = ingest.line_protocol(lines)
     assert values(got, "metric", "timestamp", "value") == [("cpu load", 10, 1.5), ("cpu load.n", 10, 3.0), ("mem", 20, 2.0)]
     assert got.where("metric = 'cpu load'").first().labels == {"host": "a,b"}
+    odd = [r'a,t=1 s="x y,z=\"1\"",ok=true,no=F,value=2u 5', "b value=1", "c value=1 1.5", r'd\,e,k\ 1=v\=w x=-1e3 7', 'bad "value=1 2']
+    got = ingest.line_protocol(spark.createDataFrame([(x,) for x in odd], "line string"), now=99)
+    assert values(got, "metric", "timestamp", "value") == [("a", 5, 2.0), ("a.no", 5, 0.0), ("a.ok", 5, 1.0), ("b", 99, 1.0), ("d,e.x", 7, -1000.0)]
+    assert got.where("metric = 'd,e.x'").first().labels == {"k 1": "v=w"}
     bodies = spark.createDataFrame([('{"metric":"m","tags":{"a":"b"},"fields":{"value":1,"x":2.5},"timestamp":7}',), ("{}",), ("no json",)], "body string")
     assert values(ingest.json_points(bodies), "metric", "value") == [("m", 1.0), ("m.x", 2.5)]
 
@@ -161,7 +165,16 @@ def test_promql(spark):
     assert one("c > 5") == [("h=b", 7.0)] and one("-c + c") == [("h=a", 0.0), ("h=b", 0.0)]
     assert one('c{h!~"a|x"} offset 90s') == [("h=b", 7.0)]
     assert one("first_over_time(c[90s])") == [("h=a", 5.0)]
-    for bad in ("c[5m]", "rate(c)", "c{", "1 + 1", "foo(c)", "c }", "?"):
+    assert one("1 + 2 ^ 3 ^ 0 * 2") == [("", 5.0)] and one("-2 ^ 2") == [("", -4.0)] and one("vector(7) % 4") == [("", 3.0)] and one("1 > bool 2") == [("", 0.0)]
+    assert one("c / 0") == [("h=a", float("inf")), ("h=b", float("inf"))] and one("abs(c - 9) ^ 2") == [("h=a", 49.0), ("h=b", 4.0)]
+    assert one("irate(c[5m])") == [("h=a", 2 / 60)] and one("topk(1, c)") == [("h=b", 7.0)] and one("bottomk(1, c)") == [("h=a", 2.0)]
+    assert one("quantile(0.5, c)") == [("", 4.5)] and one("stddev(c)") == [("", 2.5)] and one("quantile_over_time(0.5, c[5m])") == [("h=a", 2.0), ("h=b", 7.0)]
+    assert one("c > bool 5") == [("h=a", 0.0), ("h=b", 1.0)] and one("c and c > 5") == [("h=b", 7.0)] and one("c unless c > 5") == [("h=a", 2.0)]
+    assert one("c > 5 or c") == [("h=a", 2.0), ("h=b", 7.0)] and one("c / on() group_left sum(c)") == [("h=a", 2 / 9), ("h=b", 7 / 9)]
+    assert one("sum(c) / ignoring(h) group_right c") == [("h=a", 4.5), ("h=b", 9 / 7)] and one("clamp_max(c, 3)") == [("h=a", 2.0), ("h=b", 3.0)]
+    with pytest.raises(Exception, match="several series match"):
+        one("c + on() c")
+    for bad in ("c[5m]", "rate(c)", "c{", "foo(c)", "c }", "?", "1 > 2", "1 and c", "c + bool c", "quantile_over_time(c[5m])"):
         with pytest.raises(QueryError):
             promql.evaluate(p, bad, 0, 0, 1)
 

@@ -50,13 +50,16 @@ def size_model(points: DataFrame) -> DataFrame:
     return sums.withColumn("block_bytes", size.cast("long")).withColumn("raw_bytes", F.col("n") * 16)
 
 
-def pack_columns(points: DataFrame) -> DataFrame:
-    """A row for each series with its timestamps and values as two arrays, in order of time."""
+def pack_columns(points: DataFrame, *by: str) -> DataFrame:
+    """A row for each block (a series in a partition, so its size is bounded by the partition's width) with its timestamps
+    and values as two arrays, in order of time."""
+    by = by or ("series_key",)
     both = F.array_sort(F.collect_list(F.struct("timestamp", "value")))
-    return points.groupBy("series_key").agg(both.alias("x")).select("series_key", F.col("x.timestamp").alias("timestamps"), F.col("x.value").alias("values"))
+    return points.groupBy(*by).agg(both.alias("x")).select(*by, F.col("x.timestamp").alias("timestamps"), F.col("x.value").alias("values"))
 
 
-def zip_columns(packed: DataFrame) -> DataFrame:
+def zip_columns(packed: DataFrame, *keep: str) -> DataFrame:
     """The reverse of ``pack_columns``: the arrays zipped by position."""
-    rows = packed.select("series_key", F.explode(F.arrays_zip("timestamps", "values")).alias("x"))
-    return rows.select("series_key", F.col("x.timestamps").alias("timestamp"), F.col("x.values").alias("value"))
+    keep = keep or ("series_key",)
+    rows = packed.select(*keep, F.explode(F.arrays_zip("timestamps", "values")).alias("x"))
+    return rows.select(*keep, F.col("x.timestamps").alias("timestamp"), F.col("x.values").alias("value"))

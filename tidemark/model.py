@@ -28,11 +28,21 @@ def canonical(labels: Column) -> Column:
     return F.map_from_entries(F.array_sort(F.map_entries(labels)))
 
 
+def escaped(x: Column) -> Column:
+    """With a backslash before the characters that a series' name is built with, so that no two series have one name."""
+    return F.regexp_replace(x, r"([\\,={}])", r"\\$1")
+
+
+def labels_key(labels: Column) -> Column:
+    """``k=v,...`` in order of (key, value); different maps never have the same key."""
+    pairs = F.transform(F.array_sort(F.map_entries(labels)), lambda e: F.concat(escaped(e["key"]), F.lit("="), escaped(e["value"])))
+    return F.array_join(pairs, ",")
+
+
 def series_key(metric: Column | str = "metric", labels: Column | str = "labels") -> Column:
     """``metric{k=v,...}`` with sorted labels: the readable identity of a series."""
     metric, labels = (F.col(x) if isinstance(x, str) else x for x in (metric, labels))
-    pairs = F.transform(F.array_sort(F.map_entries(labels)), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
-    return F.concat(metric, F.lit("{"), F.array_join(pairs, ","), F.lit("}"))
+    return F.concat(escaped(metric), F.lit("{"), labels_key(labels), F.lit("}"))
 
 
 def series_id(key: Column) -> Column:
@@ -59,14 +69,18 @@ def events_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/events.parquet")
 
 
-def points(spark: SparkSession, sf_dir: str, start: int | None = None, end: int | None = None) -> DataFrame:
-    """The events table as points, with series_key. Bounds are also set on the stored column, so files and row groups
-    outside them are skipped."""
+def points(spark: SparkSession, sf_dir: str, start: int | None = None, end: int | None = None, metric: str | None = None, user_id: int | None = None) -> DataFrame:
+    """The events table as points, with series_key. Bounds, the metric and the label are also set on the stored columns, so
+    files and row groups without them are skipped."""
     events = events_table(spark, sf_dir)
     if start is not None:
         events = events.where(F.expr(f"ts >= {ntz(start)}"))
     if end is not None:
         events = events.where(F.expr(f"ts <= {ntz(end)}"))
+    if metric is not None:
+        events = events.where(F.col("event_type") == metric)
+    if user_id is not None:
+        events = events.where(F.col("user_id") == user_id)
     found = events.select(
         F.col("event_type").alias("metric"), F.create_map(F.lit("user_id"), F.col("user_id").cast("string")).alias("labels"),
         nanos("ts").alias("timestamp"), "value", (F.col("event_id") + 1).alias("lsn"),

@@ -19,7 +19,7 @@ def label_matches(labels: Column, name: str, op: str, value: str) -> Column:
     if op in ("=", "!="):
         hit = found == value
     elif op in ("=~", "!~"):
-        hit = found.rlike(f"^(?:{value})$")
+        hit = found.rlike(rf"\A(?:{value})\z")
     else:
         raise ValueError(op)
     return ~hit if op.startswith("!") else hit
@@ -30,9 +30,9 @@ def at_steps(points: DataFrame, start: int, end: int, step: int, window: int) ->
 
     Each point names the steps it belongs to, so no range join is needed: the fan-out is window / step."""
     points = points.where((F.col("timestamp") > start - window) & (F.col("timestamp") <= end))
-    first = F.when(F.col("timestamp") <= start, F.lit(0).cast("long")).otherwise(((F.col("timestamp") - start + step - 1) - F.pmod(F.col("timestamp") - start + step - 1, F.lit(step))) / step).cast("long")
-    reach = F.col("timestamp") + window - 1 - start  # the last step is before timestamp + window
-    last = F.least(F.lit((end - start) // step), ((reach - F.pmod(reach, F.lit(step))) / step).cast("long"))
+    # Whole numbers throughout: nanoseconds do not fit a double.
+    first = F.when(F.col("timestamp") <= start, F.lit(0).cast("long")).otherwise(F.expr(f"(timestamp - {start}L + {step - 1}L) div {step}L"))
+    last = F.least(F.lit((end - start) // step), F.expr(f"(timestamp + {window - 1}L - {start}L) div {step}L"))  # before timestamp + window
     steps = points.withColumn("first", first).withColumn("last", last).where("first <= last")
     steps = steps.withColumn("step", F.explode(F.sequence("first", "last"))).drop("first", "last")
     return steps.withColumn("step", F.col("step") * step + start)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import codec, timeops
-from tidemark.model import DAY, HOUR, SECOND, hex16, points
+from tidemark.model import DAY, HOUR, SECOND, hex16, labels_key, points
 from tidemark.operators import compaction, lifecycle, series_ops, wal
 from tidemark.plans import promql, tsql
 from tidemark.sources import ingest, scan
@@ -71,7 +71,7 @@ def file_scan(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH {{P}} SELECT timestamp, value FROM p WHERE series_key = '{SERIES}'")
 def series_lookup(spark: SparkSession, sf: str) -> DataFrame:
-    return scan.series_points(points(spark, sf), SERIES)
+    return scan.series_points(points(spark, sf, metric="click", user_id=7), SERIES)
 
 
 @query("WITH {P} SELECT series_key, max(metric) AS metric, count(*) AS points FROM p GROUP BY series_key")
@@ -111,17 +111,18 @@ def series_enrich(spark: SparkSession, sf: str) -> DataFrame:
     return scan.enrich(rows.select("series_key", "timestamp", "value"), series).select("series_key", "timestamp", "value", "metric")
 
 
-@query(f"WITH {{P}} SELECT series_key, timestamp, value FROM p WHERE timestamp >= {T0} AND timestamp < {T1}")
+@query("WITH {P} SELECT series_key, timestamp, value FROM p")
 def zip_columns(spark: SparkSession, sf: str) -> DataFrame:
-    return codec.zip_columns(codec.pack_columns(points(spark, sf, T0, T1)))
+    """Blocks are a series in a day, so no row holds more than that."""
+    return codec.zip_columns(codec.pack_columns(days(points(spark, sf)), "series_key", "part_start"), "series_key")
 
 
-@query(f"""WITH {{P}}, h AS (SELECT series_key, {H_OF} AS hour, value, lsn FROM p WHERE timestamp >= {T0} AND timestamp < {T0 + 9 * DAY})
+@query(f"""WITH {{P}}, h AS (SELECT series_key, {H_OF} AS hour, value, lsn FROM p)
 SELECT series_key, hour, arg_max(value, lsn) AS value, count(*) AS writes FROM h GROUP BY ALL""")
 def union_hot_cold(spark: SparkSession, sf: str) -> DataFrame:
     hour = timeops.align("timestamp", HOUR).alias("hour")
-    cold = points(spark, sf, T0, T0 + 7 * DAY).select("series_key", hour, "value", "lsn")
-    hot = points(spark, sf, T0 + 7 * DAY, T0 + 9 * DAY).select("series_key", hour, "value", "lsn")
+    cold = points(spark, sf, end=T0 + 7 * DAY).select("series_key", hour, "value", "lsn")
+    hot = points(spark, sf, T0 + 7 * DAY).select("series_key", hour, "value", "lsn")
     return scan.hot_and_cold(hot, cold, "series_key", "hour")
 
 
@@ -378,11 +379,11 @@ def section_flags(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("WITH {P} SELECT series_key, count(*) AS points FROM p GROUP BY ALL")
 def series_hex(spark: SparkSession, sf: str) -> DataFrame:
-    """Identities: as many 64-bit ids as series, and one for each."""
+    """Identities: as many 64-bit ids as series, and one for each; two names of one id would both be wrong here."""
     from tidemark.model import series_id
 
-    rows = points(spark, sf).groupBy(hex16(series_id(F.col("series_key"))).alias("id")).agg(F.max("series_key").alias("series_key"), F.count(F.lit(1)).alias("points"))
-    return rows.select("series_key", "points")
+    rows = points(spark, sf).groupBy(hex16(series_id(F.col("series_key"))).alias("id")).agg(F.min("series_key").alias("lo"), F.max("series_key").alias("hi"), F.count(F.lit(1)).alias("points"))
+    return rows.select(F.when((F.col("lo") == F.col("hi")) & F.col("id").rlike("^[0-9a-f]{16}$"), F.col("lo")).alias("series_key"), "points")
 
 
 # -- encoding models -----------------------------------------------------------------------------------------------------
@@ -485,12 +486,13 @@ def downsample_1d(spark: SparkSession, sf: str) -> DataFrame:
     return series_ops.downsample_again(series_ops.downsample(points(spark, sf), HOUR), DAY).withColumn("total", F.round("total", 6))
 
 
-@query(f"""WITH {{P}}, a AS (SELECT metric, timestamp, value > 20 AS above FROM p), r AS (
-  SELECT *, sum(CASE WHEN above THEN 0 ELSE 1 END) OVER (PARTITION BY metric ORDER BY timestamp) AS run FROM a), g AS (
-  SELECT metric, run, min(timestamp) AS start_ts, max(timestamp) AS end_ts, count(*) AS samples FROM r WHERE above GROUP BY ALL)
-SELECT metric, start_ts, end_ts, samples FROM g WHERE end_ts - start_ts >= {HOUR}""")
+@query(f"""WITH {{P}}, a AS (SELECT series_key, timestamp, value > 20 AS above FROM p), r AS (
+  SELECT *, sum(CASE WHEN above THEN 0 ELSE 1 END) OVER (PARTITION BY series_key ORDER BY timestamp) AS run FROM a), g AS (
+  SELECT series_key, run, min(timestamp) AS start_ts, max(timestamp) AS end_ts, count(*) AS samples FROM r WHERE above GROUP BY ALL)
+SELECT series_key, start_ts, end_ts, samples FROM g WHERE end_ts - start_ts >= {HOUR}""")
 def alert_for(spark: SparkSession, sf: str) -> DataFrame:
-    return series_ops.alerts(points(spark, sf), 20.0, HOUR, "metric")
+    """An alert is a series', so a window holds one series."""
+    return series_ops.alerts(points(spark, sf), 20.0, HOUR, "series_key")
 
 
 # -- text formats --------------------------------------------------------------------------------------------------------
@@ -501,7 +503,17 @@ def line_protocol(spark: SparkSession, sf: str) -> DataFrame:
     number = F.col("lsn").cast("string")
     line = F.concat("metric", F.lit(",user_id="), F.col("labels").getItem("user_id"), F.lit(" value="), F.col("value").cast("string"), F.lit(",twice="), number, F.lit("i "), F.col("timestamp").cast("string"))
     found = ingest.line_protocol(points(spark, sf).select(line.alias("line")))
-    return found.select("metric", promql.labels_key(F.col("labels")).alias("tags"), "timestamp", "value")
+    return found.select("metric", labels_key(F.col("labels")).alias("tags"), "timestamp", "value")
+
+
+@query(f"""WITH {{P}} SELECT metric || f AS metric, 'user_id=' || CAST(user_id AS VARCHAR) || ',zone=a b' AS tags, CASE WHEN lsn % 3 = 0 THEN {NOW} ELSE timestamp END AS timestamp, v AS value
+FROM p, LATERAL (SELECT unnest(['', '.even']) AS f, unnest([value, CASE WHEN lsn % 2 = 0 THEN 1.0 ELSE 0.0 END]) AS v)""")
+def line_protocol_forms(spark: SparkSession, sf: str) -> DataFrame:
+    """Booleans, text with blanks, commas and quotes, escaped blanks, and lines without a time."""
+    even, time = F.when(F.col("lsn") % 2 == 0, "true").otherwise("F"), F.when(F.col("lsn") % 3 == 0, "").otherwise(F.concat(F.lit(" "), F.col("timestamp").cast("string")))
+    line = F.concat("metric", F.lit(",user_id="), F.col("labels").getItem("user_id"), F.lit(r',zone=a\ b note="two words, a=b and \"more\"",value='), F.col("value").cast("string"), F.lit(",even="), even, time)
+    found = ingest.line_protocol(points(spark, sf).select(line.alias("line")), now=NOW)
+    return found.select("metric", labels_key(F.col("labels")).alias("tags"), "timestamp", "value")
 
 
 @query("WITH {P} SELECT metric || f AS metric, 'user_id=' || CAST(user_id AS VARCHAR) AS tags, timestamp, v AS value FROM p, LATERAL (SELECT unnest(['', '.k']) AS f, unnest([value, CAST(lsn AS DOUBLE)]) AS v)")
@@ -509,7 +521,7 @@ def json_ingest(spark: SparkSession, sf: str) -> DataFrame:
     fields = F.create_map(F.lit("value"), F.col("value"), F.lit("k"), F.col("lsn").cast("double"))
     body = F.to_json(F.struct("metric", F.col("labels").alias("tags"), fields.alias("fields"), "timestamp"))
     found = ingest.json_points(points(spark, sf).select(body.alias("body")))
-    return found.select("metric", promql.labels_key(F.col("labels")).alias("tags"), "timestamp", "value")
+    return found.select("metric", labels_key(F.col("labels")).alias("tags"), "timestamp", "value")
 
 
 # -- query languages -----------------------------------------------------------------------------------------------------
@@ -551,6 +563,50 @@ def promql_binary(spark: SparkSession, sf: str) -> DataFrame:
     return prom(spark, sf, "(max by (user_id) (max_over_time(click[1d])) - min_over_time(view[1d] offset 6h)) / 2", DAY + 6 * HOUR)
 
 
+def windows_sql(window: int) -> str:
+    """Windows of clicks (c) and views (v) of every user and step."""
+    return f"""WITH {{P}}, t AS (SELECT unnest(range({T0}, {END + 1}, {STEP})) AS step), w AS (
+  SELECT metric, user_id, 'user_id=' || CAST(user_id AS VARCHAR) AS labels_key, step, timestamp, value FROM p JOIN t ON timestamp > step - {window} AND timestamp <= step), c AS (
+  SELECT user_id, labels_key, step, sum(value) AS v, count(*) AS n FROM w WHERE metric = 'click' GROUP BY ALL), v AS (
+  SELECT user_id, labels_key, step, sum(value) AS v, count(*) AS n FROM w WHERE metric = 'view' GROUP BY ALL)"""
+
+
+@query(windows_sql(DAY) + " SELECT labels_key, step, round(v, 6) AS value FROM c QUALIFY row_number() OVER (PARTITION BY step ORDER BY v DESC, labels_key) <= 3")
+def promql_topk(spark: SparkSession, sf: str) -> DataFrame:
+    return prom(spark, sf, "topk(3, sum_over_time(click[1d]))", DAY)
+
+
+@query(windows_sql(DAY) + " SELECT '' AS labels_key, step, round(quantile_cont(v, 0.9) + stddev_pop(v), 6) AS value FROM c GROUP BY step")
+def promql_quantile(spark: SparkSession, sf: str) -> DataFrame:
+    return prom(spark, sf, "quantile(0.9, sum_over_time(click[1d])) + stddev(sum_over_time(click[1d]))", DAY)
+
+
+@query(windows_sql(2 * DAY) + """, l AS (SELECT *, lag(value) OVER s AS before, lag(timestamp) OVER s AS since FROM w WHERE metric = 'click' WINDOW s AS (PARTITION BY user_id, step ORDER BY timestamp))
+SELECT labels_key, step, round(arg_max(CASE WHEN value >= before THEN value - before ELSE value END / ((timestamp - since) / 1e9), timestamp), 9) AS value FROM l WHERE since IS NOT NULL GROUP BY ALL""")
+def promql_irate(spark: SparkSession, sf: str) -> DataFrame:
+    found = promql.evaluate(points(spark, sf, T0 - 2 * DAY, END + 1), "irate(click[2d])", T0, END, STEP)
+    return found.select("labels_key", "step", F.round("value", 9).alias("value"))
+
+
+@query(windows_sql(12 * HOUR) + """, b AS (SELECT * FROM c WHERE n >= 1 AND EXISTS (SELECT 1 FROM v WHERE v.user_id = c.user_id AND v.step = c.step)), o AS (
+  SELECT * FROM v WHERE n > 1 AND NOT EXISTS (SELECT 1 FROM c WHERE v.user_id = c.user_id AND v.step = c.step))
+SELECT labels_key, step, CAST(n AS DOUBLE) AS value FROM b UNION ALL SELECT labels_key, step, CAST(n AS DOUBLE) FROM o""")
+def promql_sets(spark: SparkSession, sf: str) -> DataFrame:
+    text = "count_over_time(click[12h]) and count_over_time(view[12h]) or (count_over_time(view[12h]) > 1 unless count_over_time(click[12h]))"
+    return prom(spark, sf, text, 12 * HOUR)
+
+
+@query(windows_sql(DAY) + ", s AS (SELECT step, sum(v) AS total FROM c GROUP BY ALL) SELECT labels_key, step, round(100 * v / total, 6) AS value FROM c JOIN s USING (step)")
+def promql_group_left(spark: SparkSession, sf: str) -> DataFrame:
+    return prom(spark, sf, "100 * sum_over_time(click[1d]) / on() group_left sum(sum_over_time(click[1d]))", DAY)
+
+
+@query(windows_sql(DAY) + """ SELECT labels_key, step, CASE WHEN n % 2 > 0 THEN floor(v) / 2 ELSE CAST('inf' AS DOUBLE) END AS value FROM c""")
+def promql_numbers(spark: SparkSession, sf: str) -> DataFrame:
+    n = "(count_over_time(click[1d]) % 2 > bool 0)"
+    return prom(spark, sf, f"(floor(sum_over_time(click[1d])) / 2 ^ (3 - 2)) * {n} / {n}".replace(f"* {n} / {n}", f"+ (1 / {n} - 1)"), DAY)
+
+
 @query(f"WITH {{P}} SELECT {H_OF} AS bucket, round(avg(value), 6) AS mean, count(*) AS n FROM p WHERE timestamp > {NOW} - {10 * DAY} GROUP BY 1")
 def sqlts_bucket(spark: SparkSession, sf: str) -> DataFrame:
     text = "SELECT TIME_BUCKET('1h', timestamp) AS bucket, round(AVG(value), 6) AS mean, count(*) AS n FROM points WHERE timestamp > NOW() - INTERVAL '10d' GROUP BY 1"
