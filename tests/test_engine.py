@@ -1,10 +1,13 @@
 """Golden cases of single operators."""
 
+import math
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.errors import CompactionError, QueryError
-from tidemark.functions import codec, timeops
+from tidemark.errors import CompactionError, CorruptFile, QueryError
+from tidemark.functions import codec, gorilla, timeops
 from tidemark.model import DAY, HOUR, SECOND, series_key
 from tidemark.operators import compaction, lifecycle, series_ops, wal
 from tidemark.plans import promql, tsql
@@ -134,6 +137,34 @@ def test_codec(spark):
     assert values(back, "timestamp") == values(p, "timestamp") and back.count() == 4
 
 
+def test_gorilla(spark):
+    random.seed(2)
+    odd = [0.0, -0.0, 1.7e308, 5e-324, float("inf"), float("-inf"), float("nan"), 1.0, 1.0, 1.5, 1.25, 42.0]
+    for _ in range(200):
+        n = random.randint(0, 60)
+        times = sorted(random.choice([random.randint(-(2**63), 2**63 - 1), random.randint(0, 10**5), 2147483648 * random.randint(0, 9)]) for _ in range(n))
+        values = [random.choice([random.choice(odd), random.random(), float(random.randint(0, 3))]) for _ in range(n)]
+        assert gorilla.decode_times(gorilla.encode_times(times), n) == times
+        assert repr(gorilla.decode_values(gorilla.encode_values(values), n)) == repr(values)
+    steady = [i * SECOND for i in range(10_000)]
+    assert 16 * 10_000 / (len(gorilla.encode_times(steady)) + len(gorilla.encode_values([42.0] * 10_000))) > 10
+    wave = [math.sin(i / 10) for i in range(10_000)]
+    assert 16 * 10_000 / (len(gorilla.encode_times(steady)) + len(gorilla.encode_values(wave))) > 1.5
+    with pytest.raises(CorruptFile):
+        gorilla.decode_times(gorilla.encode_times(steady)[:100], 10_000)
+    empty = gorilla.compress(spark.createDataFrame([], "s string, timestamp long, value double"), "s")
+    assert gorilla.decompress(empty, "s").count() == 0
+
+
+def test_names_of_codes(spark):
+    codes = spark.createDataFrame([(0,), (1,)], "c int")
+    assert [r[0] for r in codes.select(codec.named(F.col("c"), codec.VALUE_ENCODING)).collect()] == ["raw", "gorilla_xor"]
+    other = spark.createDataFrame([(9,)], "c int")
+    assert other.select(codec.named(F.col("c"), codec.COMPRESSION, "gorilla")).first()[0] == "gorilla"
+    with pytest.raises(Exception, match="unsupported code 9"):
+        other.select(codec.named(F.col("c"), codec.VALUE_ENCODING)).collect()
+
+
 def test_ingest(spark):
     lines = spark.createDataFrame([(x,) for x in (r"cpu\ load,host=a\,b value=1.5,n=3i 10", "mem value=2 20", "broken", "x value=abc 5", "cpu value=1 notime")], "line string")
     got = ingest.line_protocol(lines)

@@ -58,8 +58,12 @@ def test_retention_drops_and_recovery(spark, store):
     assert store.states[0] == "Dropped"
     with pytest.raises(PartitionNotWritable):
         store.insert(rows(spark, (2, 1, 3)))
-    again = Store(spark, store.root)
+    again = Store(spark, store.root)  # states outlive the object
+    with pytest.raises(PartitionNotWritable):
+        again.insert(rows(spark, (1, 1, 1)))
+    again.states = {}
     again.insert(rows(spark, (1, 1, 1)))  # files of the dropped partition come back
+    again = Store(spark, store.root)
     assert again.recover() == [0] and again.partitions() == [3 * DAY]
 
 

@@ -5,6 +5,7 @@ import shutil
 from pyspark.sql import functions as F
 
 from tidemark.model import DAY, points
+from tidemark.sources.engine import Engine
 from tidemark.sources.store import Store
 from tidemark.streaming import stream
 
@@ -29,6 +30,17 @@ def test_append_equals_batch(spark, tmp_path):
     assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
 
 
+def test_flush_triggers_of_a_stream(spark, tmp_path):
+    engine = Engine(spark, f"file://{tmp_path}/engine", width=DAY)
+    stream.ingest(stream.event_stream(spark, landing(tmp_path)), engine, f"file://{tmp_path}/cp", most_active=28).awaitTermination()
+    days = points(spark, DATA).select((F.col("timestamp") - F.col("timestamp") % DAY).alias("d"), "series_key", "timestamp", "value")
+    parts = sorted(r.d for r in days.select("d").distinct().collect())
+    assert engine.store.partitions() == parts[: len(parts) - 28]
+    assert sorted(r[0] for r in engine.hot().select("part_start").distinct().collect()) == parts[len(parts) - 28 :]
+    got = engine.scan(0, 2**62).select("series_key", "timestamp", "value")
+    assert got.exceptAll(days.drop("d")).count() == 0 and got.count() == days.count()
+
+
 def test_continuous_query_and_last_writes(spark, tmp_path):
     rows = stream.event_stream(spark, landing(tmp_path))
     for name, df, mode in (("windows", stream.continuous(rows, "1 day", "1 hour"), "append"), ("writes", stream.last_writes(rows), "update"), ("once", stream.without_repeats(rows, "1 hour").select("lsn"), "append")):

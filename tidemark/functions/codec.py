@@ -13,6 +13,21 @@ DOD_BITS = ((0, 0, 1), (-63, 64, 9), (-255, 256, 12), (-2047, 2048, 16))
 WIDE_BITS = 36
 
 
+#: Names of the codes in a file's header and in a block.
+COMPRESSION = {0: "raw", 1: "gorilla"}
+TIMESTAMP_ENCODING = {0: "raw", 1: "delta_of_delta"}
+VALUE_ENCODING = {0: "raw", 1: "gorilla_xor"}
+
+
+def named(code: Column, names: dict[int, str], default: str | None = None) -> Column:
+    """The name of a code; ``default`` for an unknown one, or without it an error when the query runs."""
+    found = F.lit(None).cast("string")
+    for number, name in names.items():
+        found = F.when(code == number, name).otherwise(found)
+    other = F.lit(default) if default is not None else F.raise_error(F.concat(F.lit("unsupported code "), code.cast("string"))).cast("string")
+    return F.when(code.isin(list(names)), found).otherwise(other)
+
+
 def series_window() -> Window:
     return Window.partitionBy("series_key").orderBy("timestamp", "lsn")
 

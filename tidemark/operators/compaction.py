@@ -32,8 +32,8 @@ def with_block_lsn(blocks: DataFrame) -> DataFrame:
     return blocks.join(highest, ["series_key", "file_id"])
 
 
-def merge(blocks: DataFrame, lsn_scope: str = "block") -> DataFrame:
-    """One value for each (series, timestamp), and how many points it replaces.
+def merge(blocks: DataFrame, lsn_scope: str = "block", carry: tuple[str, ...] = ()) -> DataFrame:
+    """One value for each (series, timestamp), with the columns ``carry`` of its row, and how many points it replaces.
 
     ``block``: the block with the greatest lsn wins, then the higher generation, then the point's own lsn; so an older
     point in a newer block wins. ``point``: the point's lsn decides."""
@@ -43,7 +43,8 @@ def merge(blocks: DataFrame, lsn_scope: str = "block") -> DataFrame:
         order = F.struct("lsn", "generation")
     else:
         raise ValueError(lsn_scope)
-    return blocks.groupBy("series_key", "timestamp").agg(F.max_by("value", order).alias("value"), (F.count(F.lit(1)) - 1).alias("duplicates"))
+    found = blocks.groupBy("series_key", "timestamp").agg(F.max_by(F.struct("value", *carry), order).alias("x"), (F.count(F.lit(1)) - 1).alias("duplicates"))
+    return found.select("series_key", "timestamp", "x.*", "duplicates")
 
 
 def stats(merged: DataFrame) -> DataFrame:

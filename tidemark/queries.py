@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.functions import codec, timeops
+from tidemark.functions import codec, gorilla, timeops
 from tidemark.model import DAY, HOUR, SECOND, hex16, labels_key, points
 from tidemark.operators import compaction, lifecycle, series_ops, wal
 from tidemark.plans import promql, tsql
 from tidemark.sources import ingest, scan
+from tidemark.sources.engine import Engine
+from tidemark.sources.store import Store
+from tidemark.workdir import shared_folder
 
 #: 2024-01-10, 2024-01-12 and 2024-01-31 00:00 UTC in nanoseconds.
 T0, T1, NOW = 1_704_844_800 * SECOND, 1_705_017_600 * SECOND, 1_706_659_200 * SECOND
@@ -337,6 +340,68 @@ def wal_resume(spark: SparkSession, sf: str) -> DataFrame:
     return wal.resume(log(spark, sf))
 
 
+# -- the engine on disk ----------------------------------------------------------------------------------------------------
+
+
+def engine(spark: SparkSession, sf: str, **options) -> Engine:
+    """A fresh engine of daily partitions with all events inserted, in order of their ids so that lsn = event_id + 1."""
+    made = Engine(spark, shared_folder(spark, "engine"), DAY, **options)
+    made.insert(points(spark, sf).orderBy("lsn").select("metric", "labels", "timestamp", "value"), now=T0)
+    return made
+
+
+@query("WITH {P} SELECT series_key, timestamp, arg_max(value, lsn) AS value FROM p GROUP BY ALL")
+def wal_insert(spark: SparkSession, sf: str) -> DataFrame:
+    """Points that were logged and nothing else: a reopened engine reads them from its log."""
+    again = Engine(spark, engine(spark, sf).root, DAY)
+    return again.scan(T0 - 1000 * DAY, T0 + 1000 * DAY).select("series_key", "timestamp", "value")
+
+
+MOST_HOT = 27
+
+
+@query(f"""WITH {{P}}, d AS (SELECT {D_OF} AS part_start, series_key, timestamp, max(lsn) AS lsn FROM p GROUP BY ALL), s AS (
+  SELECT part_start, count(*) AS points, count(DISTINCT series_key) AS series, max(lsn) AS last FROM d GROUP BY ALL), r AS (
+  SELECT *, row_number() OVER (ORDER BY part_start) <= count(*) OVER () - {MOST_HOT} AS flushed FROM s)
+SELECT part_start, points, series, flushed, CASE WHEN flushed THEN last END AS flushed_lsn FROM r""")
+def flush_partition(spark: SparkSession, sf: str) -> DataFrame:
+    """The oldest partitions are flushed until as many are hot as may be; points are counted in files and in the log."""
+    made = engine(spark, sf)
+    made.flush_due(T0, most_active=MOST_HOT, most_age=DAY)
+    files = made.store.latest(made.store.raw()).select("part_start", "series_key", F.lit(True).alias("flushed"))
+    hot = made.store.latest(made.hot().withColumn("level", F.lit(0)).withColumn("generation", F.lit(0))).select("part_start", "series_key", F.lit(False).alias("flushed"))
+    found = files.unionByName(hot).groupBy("part_start", "flushed").agg(F.count(F.lit(1)).alias("points"), F.countDistinct("series_key").alias("series"))
+    return found.join(made.flushed().withColumnRenamed("flushed", "flushed_lsn"), "part_start", "left")
+
+
+@query(f"""WITH {{P}}, f AS (SELECT {D_OF} AS part_start, series_key, {H_OF} AS timestamp, value, lsn, event_id % 5 AS generation FROM p), n AS (
+  SELECT part_start FROM f GROUP BY ALL HAVING count(DISTINCT generation) > 4), x AS (
+  SELECT *, max(lsn) OVER (PARTITION BY part_start, series_key, generation) AS block_lsn FROM f JOIN n USING (part_start))
+SELECT part_start, series_key, timestamp, arg_max(value, {{'a': block_lsn, 'b': generation, 'c': lsn}}) AS value, 1 AS level, 1 AS files FROM x GROUP BY ALL""")
+def run_compaction(spark: SparkSession, sf: str) -> DataFrame:
+    """Five files in each partition are one more than level 0 may have: they become one file of level 1."""
+    store = Store(spark, shared_folder(spark, "store"), DAY)
+    rows = points(spark, sf).withColumn("timestamp", timeops.align("timestamp", HOUR))
+    for i in range(5):
+        store.insert(rows.where((F.col("lsn") - 1) % 5 == i))
+    done = spark.createDataFrame(store.run_compactions(), "part_start long, input_files int")
+    files = spark.createDataFrame(store.folders(), "part_start long, level int, generation int").groupBy("part_start").agg(F.count(F.lit(1)).cast("int").alias("files"))
+    found = store.raw().join(F.broadcast(done), "part_start").join(F.broadcast(files), "part_start")
+    return found.select("part_start", "series_key", "timestamp", "value", "level", "files")
+
+
+@query(f"""WITH {{P}}, k AS (SELECT * FROM p WHERE {D_OF} + {DAY} + {7 * DAY} >= {T0 + 12 * DAY})
+SELECT series_key, timestamp, arg_max(value, lsn) AS value FROM k GROUP BY ALL""")
+def ttl_job(spark: SparkSession, sf: str) -> DataFrame:
+    """Some partitions are in files, the others hot; what is older than a week is dropped from both, for good: what a reopened
+    engine reads."""
+    made = engine(spark, sf, retention=lifecycle.KeepFor(7 * DAY))
+    made.flush_due(T0, most_active=MOST_HOT, most_age=DAY)
+    made.ttl_job(T0 + 12 * DAY)
+    again = Engine(spark, made.root, DAY)
+    return again.scan(T0 - 1000 * DAY, T0 + 1000 * DAY).select("series_key", "timestamp", "value")
+
+
 # -- names and layout ----------------------------------------------------------------------------------------------------
 
 
@@ -386,6 +451,14 @@ def series_hex(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select(F.when((F.col("lo") == F.col("hi")) & F.col("id").rlike("^[0-9a-f]{16}$"), F.col("lo")).alias("series_key"), "points")
 
 
+@query("SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'raw' ELSE 'gorilla' END AS compression, CASE event_id % 2 WHEN 0 THEN 'raw' ELSE 'delta_of_delta' END AS times, CASE event_id % 2 WHEN 0 THEN 'raw' ELSE 'gorilla_xor' END AS bits FROM events")
+def enum_names(spark: SparkSession, sf: str) -> DataFrame:
+    """A header's unknown compression is the default; a block's unknown encoding would be an error."""
+    event = (F.col("lsn") - 1).alias("event_id")
+    rows = points(spark, sf).select(event, ((F.col("lsn") - 1) % 4).alias("c"), ((F.col("lsn") - 1) % 2).alias("e"))
+    return rows.select("event_id", codec.named(F.col("c"), codec.COMPRESSION, "gorilla").alias("compression"), codec.named(F.col("e"), codec.TIMESTAMP_ENCODING).alias("times"), codec.named(F.col("e"), codec.VALUE_ENCODING).alias("bits"))
+
+
 # -- encoding models -----------------------------------------------------------------------------------------------------
 
 DOD = """l AS (SELECT *, timestamp - lag(timestamp) OVER w AS delta FROM p WINDOW w AS (PARTITION BY series_key ORDER BY timestamp, lsn)), dd AS (
@@ -412,6 +485,12 @@ def gorilla_size_model(spark: SparkSession, sf: str) -> DataFrame:
     return codec.size_model(points(spark, sf))
 
 
+@query(f"WITH {{P}} SELECT {D_OF} AS part_start, series_key, timestamp, value FROM p")
+def gorilla_round_trip(spark: SparkSession, sf: str) -> DataFrame:
+    by = ("part_start", "series_key")
+    return gorilla.decompress(gorilla.compress(days(points(spark, sf)), *by), *by)
+
+
 # -- buckets, rates, selectors -------------------------------------------------------------------------------------------
 
 

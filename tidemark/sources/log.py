@@ -5,6 +5,7 @@ labels are logged with every point, so a replay needs nothing else."""
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -41,29 +42,42 @@ class Log:
         return self.spark.read.schema(ENTRY).option("basePath", self.root).parquet(*[f"{self.root}/segment={s}" for s in known])
 
     def current_sequence(self) -> int:
-        return int(self.entries().agg(F.coalesce(F.max("sequence"), F.lit(0))).first()[0])
+        """Sequences rise with the segments, and the newest segment is never cut."""
+        known = self.segments()
+        if not known:
+            return 0
+        newest = self.spark.read.schema(ENTRY).option("basePath", self.root).parquet(f"{self.root}/segment={known[-1]}")
+        return int(newest.agg(F.coalesce(F.max("sequence"), F.lit(0))).first()[0])
 
     def _append(self, rows: DataFrame) -> int:
-        """``rows`` with all columns of an entry but sequence; returns the last sequence."""
-        first, known = self.current_sequence(), self.segments()
+        """``rows`` with all columns of an entry but sequence; returns the last sequence.
+
+        Rows are written once to get their numbers, and once into segments. Those are moved in one after another, so a writer
+        that dies leaves the first of them; each counts from its commit mark on."""
+        files, first, known = self._files(), self.current_sequence(), self.segments()
         segment = (known[-1] if known else 0) + 1
+        staged = f"_staged-{uuid.uuid4().hex}"
         # zipWithIndex-like numbers without a single-task window: rank inside the task, offset by tasks before it.
         rows = rows.withColumn("at", F.monotonically_increasing_id()).withColumn("task", F.shiftright("at", 33))
-        staged = f"{self.root}/_staged"
-        rows.write.mode("overwrite").parquet(staged)
-        rows = self.spark.read.parquet(staged)
+        rows.write.parquet(f"{self.root}/{staged}/rows")
+        rows = self.spark.read.schema(rows.schema).parquet(f"{self.root}/{staged}/rows")
         counts = sorted((r["task"], r["n"]) for r in rows.groupBy("task").agg(F.count(F.lit(1)).alias("n")).collect())  # a row a task
-        base, total = {}, 0
+        base, total = [], 0
         for task, n in counts:
-            base[task], total = total, total + n
-        if not total:
-            return first
-        offset = F.create_map(*[F.lit(x) for pair in base.items() for x in pair])
-        rows = rows.withColumn("sequence", F.element_at(offset, F.col("task")) + F.col("at").bitwiseAND((1 << 33) - 1) + (first + 1))
-        for i in range(0, total, self.segment_rows):
-            part = rows.where((F.col("sequence") > first + i) & (F.col("sequence") <= first + i + self.segment_rows))
-            part.drop("at", "task").sortWithinPartitions("sequence").write.mode("overwrite").parquet(f"{self.root}/segment={segment + i // self.segment_rows}")
-        self._files().delete(self._path("_staged"), True)
+            base.append((task, total))
+            total += n
+        if total:
+            offsets = self.spark.createDataFrame(base, "task bigint, base bigint")  # a row a task
+            at = F.col("base") + F.col("at").bitwiseAND((1 << 33) - 1)
+            numbered = rows.join(F.broadcast(offsets), "task").withColumn("sequence", at + (first + 1)).withColumn("segment", F.expr(f"{segment}L + (sequence - {first + 1}L) div {self.segment_rows}L"))
+            numbered = numbered.drop("at", "task", "base").sortWithinPartitions("sequence")
+            numbered.write.partitionBy("segment").parquet(f"{self.root}/{staged}/segments")
+            for i in range(segment, segment + -(-total // self.segment_rows)):
+                target = self._path(f"segment={i}")
+                files.delete(target, True)  # without its mark, so of a writer that died
+                files.rename(self._path(staged, "segments", f"segment={i}"), target)
+                files.create(self._path(f"segment={i}", "_SUCCESS")).close()
+        files.delete(self._path(staged), True)
         return first + total
 
     def append(self, points: DataFrame) -> int:
@@ -71,7 +85,10 @@ class Log:
         return self._append(points.select(F.lit("point").alias("kind"), "metric", "labels", "timestamp", "value", none.alias("partition_start"), none.alias("partition_duration")))
 
     def append_drop(self, partition_start: int, duration: int) -> int:
-        row = self.spark.createDataFrame([("drop", partition_start, duration)], "kind string, partition_start bigint, partition_duration bigint")
+        return self.append_drops([partition_start], duration)
+
+    def append_drops(self, partition_starts: list[int], duration: int) -> int:
+        row = self.spark.createDataFrame([("drop", p, duration) for p in partition_starts], "kind string, partition_start bigint, partition_duration bigint")
         empty = {"metric": "string", "labels": "map<string,string>", "timestamp": "bigint", "value": "double"}
         return self._append(row.select("kind", *[F.lit(None).cast(t).alias(n) for n, t in empty.items()], "partition_start", "partition_duration"))
 

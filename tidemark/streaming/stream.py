@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tidemark.model import nanos
+from tidemark.sources.engine import Engine
 from tidemark.sources.store import Store
 
 
@@ -31,6 +32,18 @@ def append(points: DataFrame, store: Store, checkpoint: str) -> StreamingQuery:
     return points.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def ingest(points: DataFrame, engine: Engine, checkpoint: str, **limits: int) -> StreamingQuery:
+    """Every micro-batch is logged and inserted, and then whatever is due is flushed: partitions that are too large, too old,
+    or too many (``limits`` as in ``flush_candidates``)."""
+
+    def take(batch: DataFrame, _: int) -> None:
+        if not batch.isEmpty():
+            engine.insert(batch.select("metric", "labels", "timestamp", "value"))
+        engine.flush_due(**limits)
+
+    return points.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def continuous(points: DataFrame, width: str, late: str) -> DataFrame:
     """Counts and sums of each metric in tumbling windows; a window is given out once its watermark has passed."""
     windows = points.withWatermark("time", late).groupBy(F.window("time", width), "metric")
