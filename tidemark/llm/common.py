@@ -116,6 +116,22 @@ def single_thread_env() -> None:
     os.environ["OMP_NUM_THREADS"] = "1"
 
 
+#: Rows that Spark hands to a Python worker at once: the JVM and the worker both hold whole batches, and documents are long.
+BATCH_ROWS = 2_000
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def apart(df: DataFrame) -> DataFrame:
+    """The same plan in a clone of its session with shorter batches for Python; the user's session keeps its own."""
+    spark = df.sparkSession
+    clone = spark._jsparkSession.cloneSession()
+    own = SparkSession(spark.sparkContext, clone)
+    if not 0 < int(own.conf.get(ARROW_ROWS, "10000")) <= BATCH_ROWS:
+        own.conf.set(ARROW_ROWS, str(BATCH_ROWS))
+    plan = df._jdf.queryExecution().logical()
+    return DataFrame(spark._jvm.org.apache.spark.sql.classic.Dataset.ofRows(clone, plan), own)
+
+
 #: Rows of an Arrow batch that are turned into Python values at once: documents are long, and values take several times
 #: the room of the batch.
 SLICE_ROWS = 1_000
@@ -172,7 +188,7 @@ def map_rows(df: DataFrame, schema: str, work, keeps: bool = False) -> DataFrame
         for out in work(lists):
             yield pa.RecordBatch.from_arrays([pa.array(out[f.name], type=f.type) for f in arrow], schema=arrow)
 
-    return df.mapInArrow(run, schema)
+    return apart(df).mapInArrow(run, schema)
 
 
 def filter_rows(df: DataFrame, column: str, work, keeps: bool = False) -> DataFrame:
@@ -191,7 +207,7 @@ def filter_rows(df: DataFrame, column: str, work, keeps: bool = False) -> DataFr
                 mask.extend(work(b.column(at).slice(i, SLICE_ROWS).to_pylist()))
             yield b.filter(pa.array(mask, pa.bool_()))
 
-    return df.mapInArrow(run, df.schema)
+    return apart(df).mapInArrow(run, df.schema)
 
 
 def stay(docs: DataFrame, key: Column, verdicts: DataFrame, twins: DataFrame) -> DataFrame:

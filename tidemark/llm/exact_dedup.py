@@ -29,7 +29,7 @@ from tidemark.llm.common import WS, checked, save, shared_dir, stay, table, text
 STATE_CONF = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
-    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "64",
     # Each of many small stores would reserve some megabytes of disk for its log ahead of need.
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
 }
