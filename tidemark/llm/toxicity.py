@@ -1,6 +1,7 @@
 """Toxicity by the nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
-Terms are runs of letters in lower case, and all terms of the labelled examples make the vocabulary: a term that no example
+Terms are runs of letters in lower case (words are split at what ASCII has beside letters before they are lowered), and all
+terms of the labelled examples make the vocabulary: a term that no example
 has adds to no dot product and scales all cosines of its text alike. Document frequencies are counted over all documents.
 A term's inverse document frequency is weighted by how far it goes with the label among the examples: times one plus
 ``RELEVANCE`` times the size of the correlation (phi, 0 to 1, with Yates's correction) of its presence and the label. Phi
@@ -31,7 +32,7 @@ from tidemark.llm.common import filter_rows, map_rows, read_columns, resident, s
 SAMPLE = 5_000
 BLOCK = 128
 #: A list is frequent that holds more than this share of the examples.
-FREQUENT = 1 / 16
+FREQUENT = 1 / 24
 #: Queries that are searched together.
 BATCH = 250
 #: Vocabulary terms whose counts travel in one row.
@@ -62,15 +63,46 @@ def fold(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 5
 
 
-def words_of():
-    import re
+class Words:
+    """Terms of texts, in UTF-8. What ASCII has beside letters separates words; a word with other characters goes through a
+    pattern for letters, and is remembered for a while."""
 
-    return re.compile(r"[^\W\d_]+").findall
+    TABLE = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
+    ODD = bytes(range(128))
+
+    def __init__(self, most: int = 100_000):
+        import re
+
+        self.letters, self.most = re.compile(r"[^\W\d_]+").findall, most
+        self.known: dict[bytes, tuple[bytes, ...]] = {}
+
+    def split(self, word: bytes) -> tuple[bytes, ...]:
+        found = self.known.get(word)
+        if found is None:
+            if len(self.known) > self.most:
+                self.known.clear()
+            found = self.known[word] = tuple(x.encode() for x in self.letters(word.decode().lower()))
+        return found
+
+    def count(self, text: str) -> dict[bytes, int]:
+        """How often each term occurs."""
+        from collections import Counter
+
+        found = Counter(text.encode().translate(self.TABLE).split())
+        if not text.isascii():
+            for word in [w for w in found if not w.isascii()]:
+                times, terms = found[word], self.split(word)
+                if terms != (word,):
+                    del found[word]
+                    for term in terms:
+                        found[term] += times
+        return found
 
 
 def draw_examples(docs: DataFrame, labels: DataFrame, learn: Column, most: int = SAMPLE) -> DataFrame:
-    """At most ``most`` labelled documents, saved: (doc_id, toxic, draw, words, times), ``draw`` being the hash they go by."""
-    from collections import Counter
+    """At most ``most`` labelled documents, saved: (doc_id, toxic, draw, words, times), ``draw`` being the hash they go by.
+    Words are joined by blanks, times packed as 32-bit numbers."""
+    import numpy as np
 
     one = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & learn)
     one = one.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
@@ -80,12 +112,12 @@ def draw_examples(docs: DataFrame, labels: DataFrame, learn: Column, most: int =
     texts = texts.groupBy("doc_id", "toxic", "draw").agg(F.min("text").alias("text"))
 
     def work(batches):
-        find = words_of()
+        words = Words()
         for batch in batches:
-            found = [Counter(find(text.lower())) for text in batch.pop("text")]
-            yield batch | {"words": [list(c) for c in found], "times": [list(c.values()) for c in found]}
+            found = [words.count(text) for text in batch.pop("text")]
+            yield batch | {"words": [b" ".join(c) for c in found], "times": [np.array(list(c.values()), np.int32).tobytes() for c in found]}
 
-    return save(map_rows(texts, "doc_id long, toxic int, draw long, words array<string>, times array<int>", work), "tox-examples")
+    return save(map_rows(texts, "doc_id long, toxic int, draw long, words binary, times binary", work), "tox-examples")
 
 
 class Examples:
@@ -98,16 +130,26 @@ class Examples:
         order = np.lexsort((doc_id, draw))
         self.doc_ids = doc_id[order].tolist()
         self.toxic = (toxic[order] > 0).astype(float)
-        self.vocabulary = {w: i for i, w in enumerate(sorted({w for i in order for w in words[i]}))}
-        self.vectors = [self.vector(dict(zip(words[i], times[i]))) for i in order]
-
-    def vector(self, counts: dict[str, int]):
+        known: dict[bytes, int] = {}
+        found = [np.array([known.setdefault(w, len(known)) for w in words[i].split()], np.int64) for i in order]
+        rank = np.empty(len(known), np.int64)
+        for number, w in enumerate(sorted(known)):
+            rank[known[w]], known[w] = number, number
+        self.vocabulary, self.vectors = known, []
+        for i, terms in zip(order, found):
+            terms, at = rank[terms], np.argsort(rank[terms])
+            self.vectors.append((terms[at], np.frombuffer(times[i], np.int32)[at].astype(float)))
+
+    def vector(self, counts: dict[bytes, int]):
         """(terms, times) of the vocabulary's words among ``counts``, as arrays, by term."""
         import numpy as np
 
-        known = self.vocabulary
-        found = sorted((known[w], n) for w, n in counts.items() if w in known)
-        return np.array([t for t, _ in found], np.int64), np.array([n for _, n in found], float)
+        number = self.vocabulary.get
+        terms = np.array([number(w, -1) for w in counts], np.int64)
+        times = np.fromiter(counts.values(), float, len(counts))
+        at = np.argsort(terms)
+        at = at[np.searchsorted(terms[at], 0) :]
+        return terms[at], times[at]
 
 
 def document_frequencies(docs: DataFrame, examples: list[str]) -> DataFrame:
@@ -117,17 +159,16 @@ def document_frequencies(docs: DataFrame, examples: list[str]) -> DataFrame:
 
     def work(batches):
         known = resident(("tox-words", *examples), lambda: Examples(examples).vocabulary)
-        find, rows = words_of(), 0
-        counts = np.zeros(len(known) + 1, np.int64)
-        other = len(known)  # words that are not in the vocabulary
+        words, rows = Words(), 0
+        counts = np.zeros(len(known), np.int64)
         for batch in batches:
             rows += len(batch["text"])
             seen: list[int] = []
             for text in batch["text"]:
-                seen.extend({known.get(w, other) for w in set(find(text.lower()))})
+                seen.extend(map(known.__getitem__, known.keys() & words.count(text).keys()))
             counts += np.bincount(seen, minlength=len(counts)) if seen else 0
         chunks = list(range(0, len(known), CHUNK))
-        yield {"chunk": [-1, *(a // CHUNK for a in chunks)], "counts": [np.array([rows]).tobytes(), *(counts[:-1][a : a + CHUNK].tobytes() for a in chunks)]}
+        yield {"chunk": [-1, *(a // CHUNK for a in chunks)], "counts": [np.array([rows]).tobytes(), *(counts[a : a + CHUNK].tobytes() for a in chunks)]}
 
     def total(frame):
         import pandas as pd
@@ -220,19 +261,22 @@ class BlockMaxIndex:
         # The blocks of the highest bounds first: as many as hold twice the neighbours.
         first = min(self.blocks, -(-2 * k // self.block))
         wanted = np.zeros(bound.shape, bool)
-        np.put_along_axis(wanted, np.argpartition(-bound, first - 1, axis=1)[:, :first], True, axis=1)
+        best = np.argpartition(-bound, first - 1, axis=1)[:, :first]
+        np.put_along_axis(wanted, best, True, axis=1)
         look(wanted)
+        last = np.zeros(len(queries))  # the kth best so far
         if first < self.blocks:
-            known = np.where(done[:, :, None], by_block, 0.0).reshape(len(queries), width)
-            last = np.partition(known, width - k, axis=1)[:, width - k] if k <= width else np.zeros(len(queries))
-            look(~done & (bound >= last[:, None] - 2 * 10.0**-DIGITS))
-        by_block[~done] = 0.0
-        cosines = np.round(dots[:, : self.size], DIGITS)
-        for row in cosines:
-            least = np.partition(row, self.size - k)[self.size - k] if k < self.size else 0.0
-            found = np.flatnonzero((row >= least) & (row > 0))
-            number, values = self.number[found], row[found]
-            top = np.lexsort((number, -values))[:k]
+            known = np.take_along_axis(by_block, best[:, :, None], axis=1).reshape(len(queries), -1)
+            at = known.shape[1] - k
+            last = np.partition(known, at, axis=1)[:, at] - 2 * 10.0**-DIGITS
+            look(~done & (bound >= last[:, None]))
+            by_block[~done] = 0.0
+        for row, least in zip(dots[:, : self.size], last):
+            found = np.flatnonzero(row >= least)
+            values, number = np.round(row[found], DIGITS), self.number[found]
+            least = max(np.partition(values, len(values) - k)[len(values) - k], 10.0**-DIGITS) if k < len(values) else 10.0**-DIGITS
+            some = np.flatnonzero(values >= least * (1 - 1e-12))
+            top = some[np.lexsort((number[some], -values[some]))[:k]]
             yield number[top], values[top]
 
 
@@ -242,7 +286,7 @@ class Model:
     def __init__(self, examples: list[str], frequencies: list[str]):
         import numpy as np
 
-        self.examples = Examples(examples)
+        self.examples, self.words = Examples(examples), Words()
         chunk, counts = read_columns(frequencies, "chunk", "counts")
         parts = {int(c): np.frombuffer(x, np.int64) for c, x in zip(chunk, counts)}
         documents = int(parts.pop(-1, np.zeros(1))[0])
@@ -265,10 +309,8 @@ class Model:
 
     def votes(self, texts: list[str]):
         """(vote, neighbours, cosines) of each text; of the neighbours the nearest few."""
-        from collections import Counter
-
-        find, names = words_of(), self.examples.doc_ids
-        vectors = [self.examples.vector(Counter(find(text.lower()))) for text in texts]
+        names = self.examples.doc_ids
+        vectors = [self.examples.vector(self.words.count(text)) for text in texts]
         for ids, cosines in self.index.nearest(vectors, self.k):
             yield self.vote(ids, cosines), [names[i] for i in ids[:EVIDENCE]], cosines[:EVIDENCE].tolist()
 
