@@ -273,14 +273,15 @@ def brute_ppm(train, text, order):
     return total
 
 
-def test_lm_scoring(spark, texts):
+def test_lm_scoring(spark, texts, monkeypatch):
     docs = {i: t for i, t in enumerate(texts) if len(t or "") < 3000}
     held = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i in docs}
     low = {i: (t or "").encode().lower() for i, t in docs.items()}
     train = [x for i, x in low.items() if not held[i]]
     counts = collections.Counter(w for x in train for w in [*x.split(), b""])
     n, v = sum(counts.values()), len(counts)
-    for shard, common in ((10**6, 10**6), (300, 3)):
+    for shard, common in ((10**6, 10**6), (300, 3), (40, 10**6)):  # with 40 entries in a shard, pairs of bytes are split
+        monkeypatch.setattr(lm_scoring, "BLOCK_ROWS", 7)
         got = collect(lm_scoring.score(frame(spark, docs), lm_scoring.fold(F.col("doc_id"), 7) == 2, order=3, shard_grams=shard, common_words=common))
         for i, x in low.items():
             words = [*x.split(), b""]
@@ -582,9 +583,9 @@ def test_lm_scoring_when_splits_change_between_passes(spark, tmp_path, monkeypat
     want = {i: r.score for i, r in collect(lm_scoring.score(spark.read.parquet(path), held, order=3)).items()}
     before, save = spark.conf.get(size), lm_scoring.save
 
-    def saves(df, label):
-        out = save(df, label)
-        if label == "lm-scored":
+    def saves(df, label, **more):
+        out = save(df, label, **more)
+        if label == "ppm-answers":
             spark.conf.set(size, "1000")
         return out
 

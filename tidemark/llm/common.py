@@ -42,19 +42,32 @@ def importable(spark: SparkSession) -> None:
         spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(x for x in (paths, root) if x)
 
 
-def save(df: DataFrame, label: str) -> DataFrame:
-    """Cut the lineage: write ``df`` as Parquet into the shared folder and read it again.
+def save(df: DataFrame, label: str, by: str | None = None, options: dict[str, str] | None = None) -> DataFrame:
+    """Cut the lineage: write ``df`` as Parquet into the shared folder (``by`` names a column of folders) and read it again.
 
     A task that is lost later re-reads the table; nothing upstream runs again."""
     spark = df.sparkSession
     importable(spark)
     path = shared_dir(spark, label)
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).options(**(options or {})).parquet(path)
     saved = spark.read.schema(df.schema).parquet(path)
     saved.saved_at = path
     return saved
 
 
+def located(docs: DataFrame) -> DataFrame:
+    """``docs`` (doc_id, text) with the columns file and at: where each row's content lies. What does not come from Parquet
+    files is written first."""
+    from pyspark.errors import AnalysisException
+
+    where = F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").cast("long").alias("at")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    try:
+        return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *where)
+    except AnalysisException:
+        return save(rows, "content").select("doc_id", "text", *where)
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete tables of ``save`` that nothing will read again, neither a plan nor a repeated task."""
     for one in tables:

@@ -20,11 +20,10 @@ text is longer than all others or none of them has an id; an empty table gives a
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import WS, checked, save, shared_dir, stay, table, text_or_empty
+from tidemark.llm.common import WS, checked, located, save, shared_dir, stay, table, text_or_empty
 
 STATE_CONF = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
@@ -45,16 +44,6 @@ def text_digest() -> Column:
     return F.sha2(normalised(text_or_empty()).cast("binary"), 256)
 
 
-def located(docs: DataFrame) -> DataFrame:
-    """``docs`` with the columns file and at of each row's content."""
-    where = F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").cast("long").alias("at")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    try:
-        return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *where)
-    except AnalysisException:
-        return save(rows, "dedup-content").select("doc_id", "text", *where)
-
-
 def best_row() -> Column:
     """Most code points, then the smallest doc_id, rows without one last."""
     return F.max(F.struct("n_chars", (-F.col("doc_id")).alias("neg_id"), "file", "at"))
