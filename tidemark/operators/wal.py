@@ -11,14 +11,17 @@ from pyspark.sql import functions as F
 ENTRY_BYTES, HEADER_BYTES = 41, 22
 
 
-def assign_sequences(rows: DataFrame, shard: str, order: str, start: int = 1) -> DataFrame:
-    """``sequence`` from ``start`` on, without a gap, in order of (shard, order). Ranks run inside each shard; only the
-    shards' counts, a row each, meet in one place."""
-    counts = rows.groupBy(shard).agg(F.count(F.lit(1)).alias("n"))
-    before = Window.orderBy(shard).rowsBetween(Window.unboundedPreceding, -1)
-    base = counts.select(shard, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    rank = F.row_number().over(Window.partitionBy(shard).orderBy(order))
-    return rows.withColumn("rank", rank).join(base, shard).withColumn("sequence", F.col("base") + F.col("rank") + (start - 1)).drop("rank", "base")
+def assign_sequences(rows: DataFrame, folder: str, *order: str, start: int = 1) -> DataFrame:
+    """``sequence`` from ``start`` on, without a gap, in order of ``order``. Rows are cut into ranges of it, each sorted by
+    itself, and written to ``folder``, for a second evaluation might cut them elsewhere; only the ranges' counts, a row
+    each, meet in one place. A row's number is its place in its range and the rows of the ranges before."""
+    laid = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumns({"_at": F.monotonically_increasing_id()})
+    laid.withColumn("_range", F.shiftright("_at", 33)).write.parquet(folder)
+    laid = rows.sparkSession.read.parquet(folder)
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    base = laid.groupBy("_range").agg(F.count(F.lit(1)).alias("n")).select("_range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_base"))
+    place = F.col("_base") + F.col("_at").bitwiseAND((1 << 33) - 1) + start
+    return laid.join(F.broadcast(base), "_range").withColumn("sequence", place).drop("_at", "_range", "_base")  # base: a row for each range
 
 
 def segments(rows: DataFrame, total: int, batch: int, segment_bytes: int) -> DataFrame:

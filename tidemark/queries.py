@@ -312,8 +312,8 @@ def wal_recover_drops(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH {{P}} SELECT {D_OF} AS part_start, lsn, row_number() OVER (ORDER BY timestamp, lsn) + 100 AS sequence FROM p")
 def wal_sequence(spark: SparkSession, sf: str) -> DataFrame:
-    rows = days(points(spark, sf)).withColumn("at", F.struct("timestamp", "lsn"))
-    return wal.assign_sequences(rows, "part_start", "at", 101).select("part_start", "lsn", "sequence")
+    rows = days(points(spark, sf)).select("part_start", "timestamp", "lsn")
+    return wal.assign_sequences(rows, shared_folder(spark, "sequence"), "timestamp", "lsn", start=101).select("part_start", "lsn", "sequence")
 
 
 BATCH, SEGMENT_BYTES = 10, 1_500
