@@ -245,7 +245,7 @@ def test_token_counts(spark, texts):
         model.pre_tokenizer = pre_tokenizers.Metaspace(replacement=token_counts.MARK, prepend_scheme="always", split=True)
         got = collect(token_counts.count_tokens(frame(spark, texts), path, by_bytes))
         for i, t in enumerate(texts):
-            assert got[i].n_tokens == len(model.encode(t or "", add_special_tokens=False).ids)
+            assert got[i].n_unigram_tokens == len(model.encode(t or "", add_special_tokens=False).ids)
 
 
 def brute_ppm(train, text, order):
@@ -536,13 +536,57 @@ def test_empty_tables(spark):
 
 
 def test_repeated_and_nameless_rows(spark, texts):
+    """Operators that judge a row by its own text give a row for each: repeated ones, shared ids, and ids that are missing."""
     rows = [(i, t, 1, 2, "x", "y", "z", 3) for i, t in enumerate(texts[:6])]
-    docs = spark.createDataFrame([*rows, rows[2], rows[2], (None, texts[0], 1, 2, None, None, None, None)], SCHEMA)
+    docs = spark.createDataFrame([*rows, rows[2], rows[2], (None, texts[0], 1, 2, None, None, None, None), (3, texts[4], 1, 2, "x", "y", "z", 3)], SCHEMA)
+    ids = [0, 1, 2, 2, 2, 3, 3, 4, 5, None]
     got = [r for r in exact_dedup.exact_groups(docs).collect() if r.doc_id == 2]
     assert len(got) == 3 and all(r.group_size == 3 and r.kept for r in got)
-    assert jaccard_join.join_components(docs).count() == 8
-    assert packing.pack_documents(docs).count() >= 9
-    assert quality_rules.measure(docs).count() == 9
+    held = lm_scoring.fold(F.col("doc_id"), 7) == 2
+    labels = spark.createDataFrame([(0, 1), (1, 0)], "doc_id long, toxic int")
+    found = {
+        "dedup": exact_dedup.exact_groups(docs), "join": jaccard_join.join_components(docs), "quality": quality_rules.measure(docs), "lm": lm_scoring.score(docs, held, order=2),
+        "toxicity": toxicity.score(docs, labels, held, held), "counts": token_counts.count_tokens(docs, P.path("piece_bpe_32k.model")),
+        "bpe": byte_bpe.encode_documents(docs, P.path("byte_bpe_50k.tiktoken"), P.PATTERN),
+    }
+    for name, df in found.items():
+        assert sorted((r.doc_id for r in df.collect()), key=str) == sorted(ids, key=str), name
+    assert packing.pack_documents(docs).where("start = 0").count() == len(ids)
+    alone = {r.doc_id: r.score for r in found["lm"].collect() if r.doc_id in (None, 0)}
+    assert alone[None] == alone[0]  # the same text
+    assert all(r.held_out for name in ("lm", "toxicity") for r in found[name].collect() if r.doc_id is None)
+
+
+def test_packing_leaves_little_padding(spark):
+    random.seed(17)
+    words = [f"w{i}" for i in range(50)]
+    docs = {i: " ".join(random.choice(words) for _ in range(int(random.lognormvariate(5, 1)))) for i in range(800)}
+    rows = packing.pack_documents(frame(spark, docs)).collect()
+    used, sequences = sum(r.length for r in rows), len({r.sequence_id for r in rows})
+    assert sequences <= -(-used // 2048) * 1.01 + 1
+
+
+def test_large_component_of_near_copies(spark):
+    """5,000 documents of one component, some of them linked only through others, in blocks that are far smaller."""
+    random.seed(23)
+    words = [f"w{i}" for i in range(3000)]
+    base = [random.choice(words) for _ in range(60)]
+    docs = {}
+    for i in range(5_000):
+        d = list(base)
+        for _ in range(random.randint(0, 3)):
+            d[random.randrange(60)] = random.choice(words)
+        docs[i] = " ".join(d)
+    rows = jaccard_join.join_components(frame(spark, docs), 4, 85, search_shingles=40_000).collect()
+    shingles = {i: frozenset(tuple(w[j : j + 4]) for j in range(len(w) - 3)) for i, w in ((i, t.split()) for i, t in docs.items())}
+    near = shingles[min(docs, key=lambda i: -len(shingles[i] & frozenset(tuple(base[j : j + 4]) for j in range(57))))]
+    got = {r.doc_id: r.component_id for r in rows}
+    top = collections.Counter(got.values()).most_common(1)[0][0]
+    # Whatever links with the most usual text is in its component; whatever is alone links with nothing.
+    assert all(got[i] == top for i, s in shingles.items() if 100 * len(s & near) >= 85 * len(s | near))
+    alone = [i for i, c in collections.Counter(got.values()).items() if c == 1]
+    for i in random.sample(alone, min(60, len(alone))):
+        assert not any(j != i and 100 * len(shingles[i] & s) >= 85 * len(shingles[i] | s) for j, s in shingles.items())
 
 
 def test_components(spark, monkeypatch):

@@ -9,7 +9,7 @@ Texts are first split where non-space meets white space. No match of the pattern
 text are those of its parts, and parts that come again are remembered (within a bound).
 
 Defined cases: a null or empty text has no ids; texts of any length are encoded whole; strings of special tokens are
-ordinary text; repeated rows are encoded each; an empty table gives an empty result; other columns are ignored.
+ordinary text; repeated rows, rows of one doc_id and rows without one are encoded each; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from array import array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import map_rows, Memory, resident, table, text_or_empty
+from tidemark.llm.common import Memory, map_rows, resident, table, text_or_empty
 
 #: White space of the pattern's \s, which is Unicode's property; Python's own has four separators more.
 SPACE = "\t-\r \x85\xa0  -     　"

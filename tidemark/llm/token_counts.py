@@ -5,11 +5,16 @@ the best score and the number of pieces, and no path is kept. Ties go as in the
 piece that starts first (the longest) wins; a character that no single piece covers is unknown, at the lowest score less
 ten, and costs its bytes where the vocabulary has byte pieces, else one piece for each unbroken run.
 
+The vocabulary is any list of pieces and scores. The query takes the pieces of ``piece_bpe_32k.model``, whose scores are the
+order of its merges, and reads them as unigram scores: its ``n_unigram_tokens`` is what the tokenizers library's Unigram
+model counts with that vocabulary, and not what the model's own merging would give. (Tokenizers are not trained here, and no
+public unigram vocabulary is at hand.)
+
 Text is split as the library's Metaspace does it: a word mark for each space and one before the text; a piece never
 spans two words, so counts of words that come again are remembered (within a bound).
 
-Defined cases: a null or empty text has no tokens; texts of any length are counted whole; repeated rows are counted each;
-an empty table gives an empty result; other columns are ignored.
+Defined cases: a null or empty text has no tokens; texts of any length are counted whole; repeated rows, rows
+of one doc_id and rows without one are counted each; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -17,11 +22,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import map_rows, Memory, resident, table, text_or_empty
+from tidemark.llm.common import Memory, map_rows, resident, table, text_or_empty
 
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
-MEMORY = 700_000
+MEMORY = 400_000
 
 
 class PieceCounter:
@@ -88,16 +93,16 @@ def counter_of(model_path: str, byte_pieces: bool) -> PieceCounter:
 
 
 def count_tokens(docs: DataFrame, model_path: str, byte_pieces: bool = True) -> DataFrame:
-    """(doc_id, n_chars, n_tokens) of every document."""
+    """(doc_id, n_chars, n_unigram_tokens) of every document."""
 
     def work(batches):
         counter = counter_of(model_path, byte_pieces)
         for batch in batches:
             texts = batch["text"]
-            yield {"doc_id": batch["doc_id"], "n_chars": [len(t) for t in texts], "n_tokens": [counter.text(t) for t in texts]}
+            yield {"doc_id": batch["doc_id"], "n_chars": [len(t) for t in texts], "n_unigram_tokens": [counter.text(t) for t in texts]}
 
     rows = docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text"))
-    return map_rows(rows, "doc_id long, n_chars long, n_tokens long", work, keeps=True)
+    return map_rows(rows, "doc_id long, n_chars long, n_unigram_tokens long", work, keeps=True)
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
