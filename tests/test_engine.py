@@ -221,3 +221,32 @@ def test_tsql(spark):
 def test_alert(spark):
     p = spark.createDataFrame([("m", i, v) for i, v in enumerate([1.0, 9.0, 9.0, 9.0, 1.0, 9.0, 1.0])], "metric string, timestamp long, value double")
     assert values(series_ops.alerts(p, 5, 2, "metric"), "start_ts", "end_ts", "samples") == [(1, 3, 3)]
+
+
+DATA = "/root/testdata/sf0.001"
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_series_lookup_reaches_the_scan(spark):
+    from tidemark.queries import QUERIES
+
+    plan = plan_of(QUERIES["series_lookup"](spark, DATA))
+    assert "EqualTo(event_type,click)" in plan and "EqualTo(user_id,7)" in plan
+
+
+def test_windows_hold_one_series(spark):
+    from tidemark.queries import QUERIES
+
+    assert "windowspecdefinition(series_key" in plan_of(QUERIES["alert_for"](spark, DATA))
+    rate = plan_of(QUERIES["promql_rate"](spark, DATA))
+    assert "collect_list" not in rate and "partial_sum" in rate  # windows are summed before they are shuffled
+    assert "Window" not in plan_of(QUERIES["wal_insert"](spark, DATA))
+
+
+def test_patterns_match_whole_values(spark):
+    p = spark.createDataFrame([({"h": "a\n"},), ({"h": "a"},), ({"h": "ab"},)], "labels map<string,string>")
+    hit = p.where(series_ops.label_matches(F.col("labels"), "h", "=~", "a|x"))
+    assert [r.labels["h"] for r in hit.collect()] == ["a"]
