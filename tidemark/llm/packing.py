@@ -7,7 +7,7 @@ comes closest to the capacity, the counts are traced back through the stages of
 often as the counts allow.
 
 Defined cases: a null or empty text is the end id alone; documents of any length are cut, none is shortened; repeated
-rows are packed each; ties go to the longer length, then the smaller doc_id; an empty table gives an empty result; other
+rows, rows of one doc_id and rows without one are packed each; ties go to the longer length, then the smaller doc_id; an empty table gives an empty result; other
 columns are ignored.
 """
 
@@ -16,14 +16,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import map_rows, Memory, resident, save, table, text_or_empty
+from tidemark.llm.common import Memory, map_rows, resident, save, table, text_or_empty
 
 CAPACITY = 2_048
 END_ID = 1
 #: Remainders in a group: 200,000 rows of a few numbers, 20 MB.
 GROUP_ROWS = 200_000
 #: Words with their ids in each of the two generations that a worker remembers (about 200 bytes each).
-CACHE_WORDS = 250_000
+CACHE_WORDS = 450_000
+#: Texts that are taken apart together.
+STEP = 1_000
 
 PIECES = "row long, doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 PACKED = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -36,7 +38,9 @@ class WordIds:
     its words one after another. Texts with separators that Python, but not the tokenizer, counts as white space go
     through the tokenizer whole."""
 
-    MARKS = ".,;:!?"
+    MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+    #: The one letter whose lower case is not a letter alone.
+    TWO = "\u0130"
     ODD = ("\x1c", "\x1d", "\x1e", "\x1f")
 
     def __init__(self, path: str, most: int = CACHE_WORDS):
@@ -45,6 +49,10 @@ class WordIds:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.known = Memory(most)
+        # A run of letters (or of anything else) ends with a token of this suffix, and no other token has it.
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        size = self.tokenizer.get_vocab_size()
+        self.ends = [bool(suffix) and self.tokenizer.id_to_token(i).endswith(suffix) for i in range(size)]
 
     @staticmethod
     def pack(ids: list[int]) -> bytes:
@@ -56,36 +64,75 @@ class WordIds:
             out.byteswap()
         return out.tobytes()
 
-    def learn(self, words: set[str]) -> None:
-        """Bring the ids of all ``words`` into the memory. Marks behind a letter or digit are a token run of their own,
-        so a word and the same word before a comma are encoded once."""
+    def learn(self, words: list[str]) -> None:
+        """Bring the ids of all ``words`` into the memory. Marks behind a letter or digit are a run of their own, so a word and
+        the same word before a comma are encoded once (unless that letter is taken apart into a letter and a mark)."""
+        from unicodedata import is_normalized
+
         missing = self.known.missing(words)
-        known = self.known.new
-        cut = {}
+        known, marks = self.known.new, self.MARKS
+        letters, rest, cut = {}, {}, []  # as ordered sets
         for word in missing:
-            stem = word.rstrip(self.MARKS)
-            if len(stem) < len(word) and stem and stem[-1].isalnum() and len(stem[-1].lower()) == 1:
-                cut[word] = (stem, word[len(stem) :])
-        plain = {w for w in missing if w not in cut}
-        plain |= {part for parts in cut.values() for part in parts if part not in known}
-        plain = list(plain)
-        for i in range(0, len(plain), 10_000):
-            part = plain[i : i + 10_000]
+            stem = word
+            if not word.isalpha():
+                stem = word.rstrip(marks)
+                if stem != word and stem and stem[-1].isalnum() and len(stem[-1].lower()) == 1 and is_normalized("NFC", stem[-1]):
+                    tail = word[len(stem) :]
+                    cut.append((word, stem, tail))
+                    if tail not in known:
+                        rest[tail] = None
+                    if stem in known:
+                        continue
+                else:
+                    stem = word
+            (letters if stem.isalpha() and self.TWO not in stem else rest)[stem] = None
+        letters, rest = list(letters), list(rest)
+        for i in range(0, len(letters), 10_000):
+            part = letters[i : i + 10_000]
+            if not self.learn_letters(part):
+                rest += part
+        for i in range(0, len(rest), 10_000):
+            part = rest[i : i + 10_000]
             for word, x in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
                 known[word] = self.pack(x.ids)
-        for word, (stem, marks) in cut.items():
-            known[word] = known[stem] + known[marks]
+        for word, stem, tail in cut:
+            known[word] = known[stem] + known[tail]
+
+    def learn_letters(self, words: list[str]) -> bool:
+        """Encode words of letters as one text, which costs half; its ids are cut behind the tokens that end a run. False if
+        these are not as many as the words, so that some word is no single run to the tokenizer."""
+        (found,) = self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)
+        ids = found.ids
+        stops = [i for i, end in enumerate(map(self.ends.__getitem__, ids), 1) if end]
+        if len(stops) != len(words):
+            return False
+        data, start, known = self.pack(ids), 0, self.known.new
+        for word, stop in zip(words, stops):
+            known[word] = data[start : 4 * stop]
+            start = 4 * stop
+        return True
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        out = []
-        split = [None if any(c in t for c in self.ODD) else t.split() for t in texts]
-        self.learn(set().union(*(x for x in split if x)))
-        known = self.known.new
-        for text, words in zip(texts, split):
-            if words is None:
-                out.append(self.pack(self.tokenizer.encode(text, add_special_tokens=False).ids))
-            else:
-                out.append(b"".join(map(known.__getitem__, words)))
+        """Words are numbered, each number's ids laid out once, and the texts' ids gathered from there."""
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        odd = {i for i, t in enumerate(texts) if any(c in t for c in self.ODD)}
+        split = pc.utf8_split_whitespace(pa.array(["" if i in odd else t for i, t in enumerate(texts)], pa.large_string()))
+        numbered = split.flatten().dictionary_encode()
+        words, number = numbered.dictionary.to_pylist(), numbered.indices.to_numpy()
+        self.learn(words)
+        ids = list(map(self.known.new.__getitem__, words))
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        flat, starts = np.frombuffer(b"".join(ids), "<u4"), np.cumsum(sizes) - sizes
+        lengths = sizes[number]
+        ends = np.cumsum(lengths)
+        found = flat[np.repeat(starts[number] - ends + lengths, lengths) + np.arange(ends[-1] if len(ends) else 0)]
+        bounds = np.r_[0, ends][split.offsets.to_numpy()]
+        out = [found[a:b].tobytes() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
+        for i in odd:
+            out[i] = self.pack(self.tokenizer.encode(texts[i], add_special_tokens=False).ids)
         return out
 
 
@@ -103,10 +150,10 @@ def cut(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
         ids, names = ids_of(path), [x.split()[0] for x in PIECES.split(", ")]
         end = WordIds.pack([END_ID])
         for batch in batches:
-            for at in range(0, len(batch["text"]), 500):
-                rows, doc_ids = batch["row"][at : at + 500], batch["doc_id"][at : at + 500]
+            for at in range(0, len(batch["text"]), STEP):
+                rows, doc_ids = batch["row"][at : at + STEP], batch["doc_id"][at : at + STEP]
                 out = {n: [] for n in names}
-                for row, doc_id, data in zip(rows, doc_ids, ids.encode(batch["text"][at : at + 500])):
+                for row, doc_id, data in zip(rows, doc_ids, ids.encode(batch["text"][at : at + STEP])):
                     data += end
                     total = len(data) // 4
                     for start in range(0, total, capacity):
