@@ -51,10 +51,41 @@ def save(df: DataFrame, label: str, by: str | None = None, options: dict[str, st
     path = shared_dir(spark, label)
     (df.write.partitionBy(by) if by else df.write).options(**(options or {})).parquet(path)
     saved = spark.read.schema(df.schema).parquet(path)
-    saved.saved_at = path
+    if _scratches:
+        _scratches[-1].made.append((saved, path))
     return saved
 
 
+_scratches: list[Scratch] = []
+
+
+class Scratch:
+    """Tables that ``save`` writes inside the block and that are not kept are deleted behind it: nothing that goes on may read
+    them, neither a plan nor a repeated task. Kept ones belong to the block around it, if there is one."""
+
+    def __init__(self) -> None:
+        self.made: list[tuple[DataFrame, str]] = []
+        self.kept: list[DataFrame] = []
+
+    def keep(self, *tables: DataFrame) -> None:
+        self.kept += tables
+
+    def __enter__(self) -> Scratch:
+        _scratches.append(self)
+        return self
+
+    def __exit__(self, *_) -> None:
+        _scratches.remove(self)
+        for table, path in self.made:
+            if any(table is k for k in self.kept):
+                if _scratches:
+                    _scratches[-1].made.append((table, path))
+                continue
+            spark = table.sparkSession
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def located(docs: DataFrame) -> DataFrame:
     """``docs`` (doc_id, text) with the columns file and at: where each row's content lies. What does not come from Parquet
     files is written first."""
@@ -68,13 +99,6 @@ def located(docs: DataFrame) -> DataFrame:
         return save(rows, "content").select("doc_id", "text", *where)
 
 
-def discard(*tables: DataFrame) -> None:
-    """Delete tables of ``save`` that nothing will read again, neither a plan nor a repeated task."""
-    for one in tables:
-        path = one.sparkSession._jvm.org.apache.hadoop.fs.Path(one.saved_at)
-        path.getFileSystem(one.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def fits(small: DataFrame, most: int | None = None) -> bool:
     """Whether the rows of a saved table take at most ``most`` bytes: numbers, and the lengths of what is not one."""
     most = BROADCAST_BYTES if most is None else most
@@ -249,17 +273,13 @@ class Memory:
     def __init__(self, most: int):
         self.most, self.new, self.old = most, {}, {}
 
-    def missing(self, keys: set) -> list:
+    def missing(self, keys) -> list:
         """Those of ``keys`` that must be computed; all others are in ``new`` now, and stay there until the next call."""
         if len(self.new) > self.most:
             self.old, self.new = self.new, {}
-        new, old, out = self.new, self.old, []
-        for k in keys:  # not a difference with new.keys(), which would walk through all of ``new``
-            if k in new:
-                continue
-            v = old.get(k)
-            if v is None:
-                out.append(k)
-            else:
-                new[k] = v
-        return out
+        # A difference with a dict looks each key up; one with its keys() would walk through all of them.
+        unknown = set(keys).difference(self.new)
+        out = unknown.difference(self.old)
+        unknown -= out
+        self.new.update(zip(unknown, map(self.old.__getitem__, unknown)))
+        return list(out)

@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import WS, checked, located, save, shared_dir, stay, table, text_or_empty
+from tidemark.llm.common import WS, Scratch, checked, located, save, shared_dir, stay, table, text_or_empty
 
 STATE_CONF = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
@@ -129,13 +129,14 @@ class Deduplicator:
 
     def compare(self, docs: DataFrame, call: int) -> None:
         """Check the full bytes of every hit of this call; digests of different texts are put on record."""
-        mine = self.prints().where(F.col("call") == call).select("digest").distinct()
-        hits = self.state().where("n > 1").join(mine, "digest", "left_semi")
-        known = save(self.fetch(hits.select("digest", "witness.*"), docs, call), "dedup-witnesses")
-        norm = normalised(text_or_empty()).alias("norm")
-        rows = docs.select(norm).withColumn("digest", F.substring(F.sha2(F.col("norm").cast("binary"), 256), 1, self.digest_hex))
-        differ = rows.join(checked(known), "digest").where("norm <> known").select("digest").distinct()
-        differ.write.mode("append").parquet(f"{self.home}/clashes")
+        with Scratch():
+            mine = self.prints().where(F.col("call") == call).select("digest").distinct()
+            hits = self.state().where("n > 1").join(mine, "digest", "left_semi")
+            known = save(self.fetch(hits.select("digest", "witness.*"), docs, call), "dedup-witnesses")
+            norm = normalised(text_or_empty()).alias("norm")
+            rows = docs.select(norm).withColumn("digest", F.substring(F.sha2(F.col("norm").cast("binary"), 256), 1, self.digest_hex))
+            differ = rows.join(checked(known), "digest").where("norm <> known").select("digest").distinct()
+            differ.write.mode("append").parquet(f"{self.home}/clashes")
 
     def contents(self, digests: DataFrame) -> DataFrame:
         """Fingerprints with the normalised text of all rows of these digests, read by their locators."""

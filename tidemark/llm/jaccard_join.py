@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import checked, fits, importable, map_rows, save, stay, table, text_or_empty, worker_setup
+from tidemark.llm.common import Scratch, checked, fits, importable, map_rows, save, stay, table, text_or_empty, worker_setup
 from tidemark.llm.components import components
 
 #: Shingles of a block of documents, and of a hash range; documents of a block.
@@ -456,67 +456,80 @@ def link(sets: DataFrame, candidates: DataFrame, percent: int, most: int, pivots
 def document_classes(docs: DataFrame, k: int, percent: int, search_shingles: int, pivots: int) -> tuple[DataFrame, DataFrame]:
     """Two saved tables: (doc_id, digest) of every row; and (digest, first_id, rows, n, component) of every text, where
     ``component`` is the number of the group it belongs to, null for a text that is alone."""
-    doc_id = F.col("doc_id").cast("long").alias("doc_id")
-    prints = save(docs.select(doc_id, digest_of().alias("digest"), F.octet_length(text_or_empty()).cast("long").alias("bytes")), "join-prints")
-    ranges = max(64, (prints.agg(F.sum("bytes")).first()[0] or 0) // 5 // RANGE_SHINGLES)
-    classes = save(prints.groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("rows")), "join-classes")
-    several = save(classes.where("rows > 1").select("digest", "first_id", F.lit(True).alias("known")), "join-several")
-    texts = docs.select(doc_id, digest_of().alias("digest"), text_or_empty().cast("binary").alias("data"))
-    # One row of each text (more where rows share an id as well: they only count for each other in the next step).
-    ones = texts.join(checked(several), "digest", "left").where(F.col("known").isNull() | F.col("doc_id").eqNullSafe(F.col("first_id"))).select("digest", "data")
-    if not fits(several):
-        ones = save(ones, "join-ones")  # blocks go by the order of rows, which a shuffle does not repeat
-
-    sizes = save(support(ones, k, ranges), "join-support")
-    alive = sizes.where((F.col("n") > 0) & (F.col("shared") * 100 >= F.col("n") * percent)).select("digest").distinct()
-    alive = checked(save(alive, "join-alive"))
-    sets = save(shingle_sets(ones.join(alive, "digest", "left_semi"), k), "join-sets")
-    nodes = sets.groupBy("set_key").agg(F.min("digest").alias("digest")).withColumn("node", F.monotonically_increasing_id())
-    nodes = save(nodes, "join-nodes")
-    names = nodes.select("digest", "node")
-    reps = sets.join(checked(names), "digest").select("node", "n", "shingles")
-    if not fits(names) or sets.count() > sets.select("digest").distinct().count():
-        reps = save(reps.dropDuplicates(["node"]), "join-reps")
-    reps = save(ordered_sets(reps, ranges, percent), "join-ordered")
-    # A node's prefix; nodes that share one of its shingles hang on the smallest of them.
-    heads = save(reps.select("node", F.explode(F.slice("shingles", F.lit(1), F.col("head").cast("int"))).alias("shingle")), "join-heads")
-    firsts = heads.groupBy("shingle").agg(F.min("node").alias("a"), F.count(F.lit(1)).alias("c")).where("c > 1").select("shingle", "a")
-    stars = save(heads.join(checked(save(firsts, "join-firsts")), "shingle").select("a", F.col("node").alias("b")).distinct(), "join-stars")
-    linked = save(link(reps, save(components(stars), "join-candidates"), percent, search_shingles, pivots), "join-linked")
-
-    named = sets.select("digest", "set_key").distinct().join(checked(nodes.select("set_key", "node")), "set_key")
-    named = named.join(checked(linked.withColumnRenamed("id", "node")), "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
-    named = checked(save(named, "join-named"))
-    own = sizes.groupBy("digest").agg(F.max("n").alias("n"))
-    return prints, save(classes.join(own, "digest").join(named, "digest", "left"), "join-found")
+    with Scratch() as scratch:
+        doc_id = F.col("doc_id").cast("long").alias("doc_id")
+        prints = save(docs.select(doc_id, digest_of().alias("digest"), F.octet_length(text_or_empty()).cast("long").alias("bytes")), "join-prints")
+        ranges = max(64, (prints.agg(F.sum("bytes")).first()[0] or 0) // 5 // RANGE_SHINGLES)
+        classes = save(prints.groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("rows")), "join-classes")
+        several = save(classes.where("rows > 1").select("digest", "first_id", F.lit(True).alias("known")), "join-several")
+        texts = docs.select(doc_id, digest_of().alias("digest"), text_or_empty().cast("binary").alias("data"))
+        # One row of each text (more where rows share an id as well: they only count for each other in the next step).
+        ones = texts.join(checked(several), "digest", "left").where(F.col("known").isNull() | F.col("doc_id").eqNullSafe(F.col("first_id"))).select("digest", "data")
+        if not fits(several):
+            ones = save(ones, "join-ones")  # blocks go by the order of rows, which a shuffle does not repeat
+
+        sizes = save(support(ones, k, ranges), "join-support")
+        alive = sizes.where((F.col("n") > 0) & (F.col("shared") * 100 >= F.col("n") * percent)).select("digest").distinct()
+        alive = checked(save(alive, "join-alive"))
+        sets = save(shingle_sets(ones.join(alive, "digest", "left_semi"), k), "join-sets")
+        nodes = sets.groupBy("set_key").agg(F.min("digest").alias("digest")).withColumn("node", F.monotonically_increasing_id())
+        nodes = save(nodes, "join-nodes")
+        names = nodes.select("digest", "node")
+        reps = sets.join(checked(names), "digest").select("node", "n", "shingles")
+        if not fits(names) or sets.count() > sets.select("digest").distinct().count():
+            reps = save(reps.dropDuplicates(["node"]), "join-reps")
+        reps = save(ordered_sets(reps, ranges, percent), "join-ordered")
+        # A node's prefix; nodes that share one of its shingles hang on the smallest of them.
+        heads = save(reps.select("node", F.explode(F.slice("shingles", F.lit(1), F.col("head").cast("int"))).alias("shingle")), "join-heads")
+        firsts = heads.groupBy("shingle").agg(F.min("node").alias("a"), F.count(F.lit(1)).alias("c")).where("c > 1").select("shingle", "a")
+        stars = save(heads.join(checked(save(firsts, "join-firsts")), "shingle").select("a", F.col("node").alias("b")).distinct(), "join-stars")
+        linked = save(link(reps, save(components(stars), "join-candidates"), percent, search_shingles, pivots), "join-linked")
+
+        named = sets.select("digest", "set_key").distinct().join(checked(nodes.select("set_key", "node")), "set_key")
+        named = named.join(checked(linked.withColumnRenamed("id", "node")), "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
+        named = checked(save(named, "join-named"))
+        own = sizes.groupBy("digest").agg(F.max("n").alias("n"))
+        found = save(classes.join(own, "digest").join(named, "digest", "left"), "join-found")
+        scratch.keep(prints, found)
+    return prints, found
 
 
 def join_components(docs: DataFrame, k: int = 5, percent: int = 80, search_shingles: int = SEARCH_SHINGLES, pivots: int = PIVOTS) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row: the smallest doc_id that is reached by links."""
-    prints, classes = document_classes(docs, k, percent, search_shingles, pivots)
-    firsts = checked(save(classes.where("component is not null").groupBy("component").agg(F.min("first_id").alias("least")), "join-least"))
-    found = classes.join(firsts, "component", "left").select("digest", F.col("n").alias("n_shingles"), "first_id", "least", "rows")
-    # Texts of a single row that link with nothing are most of them: what is left is small, or joined by shuffling.
-    rows = prints.join(checked(save(found, "join-result")), "digest")
+    with Scratch() as scratch:
+        prints, classes = document_classes(docs, k, percent, search_shingles, pivots)
+        result = save(named(classes), "join-result")
+        scratch.keep(prints, result)
+    # Texts of a single row that link with nothing are most of them, so this is joined by shuffling where it is large.
+    rows = prints.join(checked(result), "digest")
     alone = F.col("n_shingles") == 0
     return rows.select("doc_id", "n_shingles", F.when(alone, F.col("doc_id")).otherwise(F.coalesce("least", "first_id", "doc_id")).alias("component_id"))
 
 
+def named(classes: DataFrame) -> DataFrame:
+    """(digest, n_shingles, first_id, least): ``least`` is the smallest doc_id of the text's component, null without one."""
+    firsts = checked(save(classes.where("component is not null").groupBy("component").agg(F.min("first_id").alias("least")), "join-least"))
+    return classes.join(firsts, "component", "left").select("digest", F.col("n").alias("n_shingles"), "first_id", "least")
+
+
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns: of each component the row with the smallest doc_id (one without
     an id only where none has one, then by the text's digest), and one row where that is repeated. A text without words
     links with nothing, so all rows of such texts stay."""
-    prints, classes = document_classes(docs, k, percent, SEARCH_SHINGLES, PIVOTS)
-    classes = classes.where("n > 0")
-    group = F.coalesce(F.col("component").cast("string"), F.hex("digest"))
-    best = F.struct(F.col("first_id").isNull().alias("nameless"), F.col("first_id"), F.col("digest"))
-    some = classes.where("component is not null or rows > 1").withColumn("group", group)
-    kept = save(some.groupBy("group").agg(F.min(best).alias("best")).select(F.col("best.digest").alias("digest"), F.lit(True).alias("keep")), "join-kept")
-    verdicts = some.join(checked(kept), "digest", "left").where("rows > 1 or keep is null")
-    verdicts = save(verdicts.select(F.col("digest").alias("key"), F.coalesce("keep", F.lit(False)).alias("keep"), F.col("first_id").alias("doc_id"), F.lit(None).cast("long").alias("n_chars")), "join-verdicts")
-    held = verdicts.where("keep").select(F.col("key").alias("digest"), F.col("doc_id").alias("first_id"))
-    twins = prints.join(checked(held), "digest").where(F.col("doc_id").eqNullSafe(F.col("first_id"))).groupBy("digest").count().where("count > 1")
-    return stay(docs, digest_of(), verdicts, save(twins.select(F.col("digest").alias("key")), "join-twins"))
+    with Scratch() as scratch:
+        prints, classes = document_classes(docs, k, percent, SEARCH_SHINGLES, PIVOTS)
+        classes = classes.where("n > 0")
+        group = F.coalesce(F.col("component").cast("string"), F.hex("digest"))
+        best = F.struct(F.col("first_id").isNull().alias("nameless"), F.col("first_id"), F.col("digest"))
+        some = classes.where("component is not null or rows > 1").withColumn("group", group)
+        kept = save(some.groupBy("group").agg(F.min(best).alias("best")).select(F.col("best.digest").alias("digest"), F.lit(True).alias("keep")), "join-kept")
+        verdicts = some.join(checked(kept), "digest", "left").where("rows > 1 or keep is null")
+        verdicts = save(verdicts.select(F.col("digest").alias("key"), F.coalesce("keep", F.lit(False)).alias("keep"), F.col("first_id").alias("doc_id"), F.lit(None).cast("long").alias("n_chars")), "join-verdicts")
+        held = verdicts.where("keep").select(F.col("key").alias("digest"), F.col("doc_id").alias("first_id"))
+        twins = prints.join(checked(held), "digest").where(F.col("doc_id").eqNullSafe(F.col("first_id"))).groupBy("digest").count().where("count > 1")
+        twins = save(twins.select(F.col("digest").alias("key")), "join-twins")
+        scratch.keep(verdicts, twins)
+    return stay(docs, digest_of(), verdicts, twins)
 
 
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

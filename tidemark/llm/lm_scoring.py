@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import checked, filesystem, located, map_rows, read_columns, resident, save, table, text_or_empty
+from tidemark.llm.common import Scratch, checked, filesystem, located, map_rows, read_columns, resident, save, table, text_or_empty
 
 ORDER = 5  # a gram takes six bytes, which leaves two of a 64-bit number for the text
 START, END = 0xFE, 0xFF  # bytes that no text in UTF-8 has
@@ -370,83 +370,85 @@ def score(
     """Train on the rows outside ``held_out``, score all: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     if not 1 <= order <= 5:
         raise ValueError("order must be 1 to 5")
-    rows = located(docs).select(
-        "doc_id", F.coalesce(held_out, F.lit(True)).alias("held_out"), text_or_empty().cast("binary").alias("data"),
-        F.concat_ws("#", "file", F.expr(f"at div {BLOCK_ROWS}")).alias("block"),
-    )
-    train = rows.where("not held_out")
-
-    grams = save(count_grams(train, order), "ppm-grams")
-    # The driver sees counts and 65,536 pairs of bytes at most; workers read their shard from the shared folder.
-    low = grams.groupBy(F.col("gram").bitwiseAND(0xFFFF).alias("gram")).agg(F.sum("n").alias("n")).toPandas()  # 65,536 rows at most
-    low = low["gram"].to_numpy(), low["n"].to_numpy()
-    whole = order < 2 or grams.count() <= shard_grams
-    files = grams.inputFiles() if whole else []
-    answers = [] if whole else asked(rows, grams, low, order, shard_grams)
-
-    counts = save(count_words(train), "lm-words")
-    stats = counts.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).first()
-    tokens, distinct = int(stats["n"] or 0), int(stats["v"])
-    least = common_from(counts, common_words)
-    common = save(counts.where((F.col("n") >= least) & (F.octet_length("word") > 0)).coalesce(1), "lm-common").inputFiles()  # ``common_words`` rows at most
-    ends = counts.where(F.octet_length("word") == 0).first()
-    ends = int(ends["n"]) if ends else 0
-    floor = tokens + distinct + 1
-
-    def rate(batches):
-        import math
-        from collections import Counter
-        from itertools import groupby
-
-        import numpy as np
-
-        model, known = resident(("lm", *files, *common), lambda: (trie_of(files, low, order) if whole else None, known_words(common, ends)))
-        answered, logs = Answers(answers), {}
-
-        def looked_up(block):
-            held, values = answered.of(block)
-
-            def log10(grams):
-                at = np.minimum(np.searchsorted(held, grams), len(held) - 1)
-                if not np.array_equal(held[at], grams):
-                    raise ValueError(f"block {block} has grams that nobody asked for")
-                return values[at]
-
-            return log10
-
-        for batch in batches:
-            data = [x.lower() for x in batch["data"]]
-            if whole:
-                scores = scores_of(data, order, model.log10)
-            else:
-                runs = [(block, [i for i, _ in run]) for block, run in groupby(enumerate(batch["block"]), lambda x: x[1])]
-                scores = np.concatenate([scores_of([data[i] for i in at], order, looked_up(block)) for block, at in runs])
-            out = {"doc_id": batch["doc_id"], "held_out": batch["held_out"], "score": scores}
-            out |= {k: [] for k in ("n_tokens", "n_known", "base", "rare", "times")}
-            for text in data:
-                found = Counter(text.split())
-                found[END_WORD] += 1
-                base, n_known, rare = 0.0, 0, {}
-                for word, times in found.items():
-                    c = known.get(word)
-                    if c is None:
-                        rare[word] = times
-                        continue
-                    value = logs.get(c)
-                    if value is None:
-                        value = logs[c] = math.log10((c + 1) / floor)
-                    base += times * value
-                    n_known += times if c else 0
-                out["n_tokens"].append(sum(found.values()))
-                out["n_known"].append(n_known)
-                out["base"].append(base)
-                out["rare"].append(list(rare))
-                out["times"].append(list(rare.values()))
-            yield out
-
-    schema = "doc_id long, held_out boolean, score double, n_tokens long, n_known long, base double, rare array<binary>, times array<long>"
-    scored = map_rows(rows.select("doc_id", "held_out", "data", "block"), schema, rate, keeps=True)
-    first = save(scored.withColumn("row", F.monotonically_increasing_id()), "lm-scored")
+    with Scratch() as scratch:
+        rows = located(docs).select(
+            "doc_id", F.coalesce(held_out, F.lit(True)).alias("held_out"), text_or_empty().cast("binary").alias("data"),
+            F.concat_ws("#", "file", F.expr(f"at div {BLOCK_ROWS}")).alias("block"),
+        )
+        train = rows.where("not held_out")
+
+        grams = save(count_grams(train, order), "ppm-grams")
+        # The driver sees counts and 65,536 pairs of bytes at most; workers read their shard from the shared folder.
+        low = grams.groupBy(F.col("gram").bitwiseAND(0xFFFF).alias("gram")).agg(F.sum("n").alias("n")).toPandas()  # 65,536 rows at most
+        low = low["gram"].to_numpy(), low["n"].to_numpy()
+        whole = order < 2 or grams.count() <= shard_grams
+        files = grams.inputFiles() if whole else []
+        answers = [] if whole else asked(rows, grams, low, order, shard_grams)
+
+        counts = save(count_words(train), "lm-words")
+        stats = counts.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).first()
+        tokens, distinct = int(stats["n"] or 0), int(stats["v"])
+        least = common_from(counts, common_words)
+        common = save(counts.where((F.col("n") >= least) & (F.octet_length("word") > 0)).coalesce(1), "lm-common").inputFiles()  # ``common_words`` rows at most
+        ends = counts.where(F.octet_length("word") == 0).first()
+        ends = int(ends["n"]) if ends else 0
+        floor = tokens + distinct + 1
+
+        def rate(batches):
+            import math
+            from collections import Counter
+            from itertools import groupby
+
+            import numpy as np
+
+            model, known = resident(("lm", *files, *common), lambda: (trie_of(files, low, order) if whole else None, known_words(common, ends)))
+            answered, logs = Answers(answers), {}
+
+            def looked_up(block):
+                held, values = answered.of(block)
+
+                def log10(grams):
+                    at = np.minimum(np.searchsorted(held, grams), len(held) - 1)
+                    if not np.array_equal(held[at], grams):
+                        raise ValueError(f"block {block} has grams that nobody asked for")
+                    return values[at]
+
+                return log10
+
+            for batch in batches:
+                data = [x.lower() for x in batch["data"]]
+                if whole:
+                    scores = scores_of(data, order, model.log10)
+                else:
+                    runs = [(block, [i for i, _ in run]) for block, run in groupby(enumerate(batch["block"]), lambda x: x[1])]
+                    scores = np.concatenate([scores_of([data[i] for i in at], order, looked_up(block)) for block, at in runs])
+                out = {"doc_id": batch["doc_id"], "held_out": batch["held_out"], "score": scores}
+                out |= {k: [] for k in ("n_tokens", "n_known", "base", "rare", "times")}
+                for text in data:
+                    found = Counter(text.split())
+                    found[END_WORD] += 1
+                    base, n_known, rare = 0.0, 0, {}
+                    for word, times in found.items():
+                        c = known.get(word)
+                        if c is None:
+                            rare[word] = times
+                            continue
+                        value = logs.get(c)
+                        if value is None:
+                            value = logs[c] = math.log10((c + 1) / floor)
+                        base += times * value
+                        n_known += times if c else 0
+                    out["n_tokens"].append(sum(found.values()))
+                    out["n_known"].append(n_known)
+                    out["base"].append(base)
+                    out["rare"].append(list(rare))
+                    out["times"].append(list(rare.values()))
+                yield out
+
+        schema = "doc_id long, held_out boolean, score double, n_tokens long, n_known long, base double, rare array<binary>, times array<long>"
+        scored = map_rows(rows.select("doc_id", "held_out", "data", "block"), schema, rate, keeps=True)
+        first = save(scored.withColumn("row", F.monotonically_increasing_id()), "lm-scored")
+        scratch.keep(counts, first)
     total = first.select("row", "doc_id", "held_out", "n_tokens", "n_known", "base", "score")
     # Words that are not common: at most ``least`` of each in training, so no key of this join is hot.
     rare = first.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("word"), F.col("x.times").alias("times"))

@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import checked, save, table, text_or_empty
+from tidemark.llm.common import Scratch, checked, save, table, text_or_empty
 
 QUOTE = r"^[ \t]*>"
 MARKS = r"^(?:[ \t]*>)+"
@@ -155,9 +155,11 @@ def format_conversations(conversations: DataFrame) -> DataFrame:
     """Every message without quotes, with the turn it replies to, the turn its thread starts at, its place in it, and quote
     counts."""
     messages = conversations.select("conv_id", "turn", "role", text_or_empty().alias("text"), F.monotonically_increasing_id().alias("row"))
-    links = save(link_quotes(messages), "quote-links")
-    tree = checked(save(threads(links), "quote-tree"))
-    rows = messages.join(checked(links), ["conv_id", "turn"], "left").join(tree, ["conv_id", "turn"], "left")
+    with Scratch() as scratch:
+        links = save(link_quotes(messages), "quote-links")
+        tree = save(threads(links), "quote-tree")
+        scratch.keep(links, tree)
+    rows = messages.join(checked(links), ["conv_id", "turn"], "left").join(checked(tree), ["conv_id", "turn"], "left")
     zero = F.lit(0).cast("long")
     return rows.select(
         "conv_id", "turn", "role", without_quotes(F.col("text")).alias("text"), "reply_to", F.coalesce("root_turn", "turn").alias("root_turn"), F.coalesce("place", zero).alias("place"),

@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import filter_rows, map_rows, read_columns, resident, save, table, text_or_empty
+from tidemark.llm.common import Scratch, filter_rows, map_rows, read_columns, resident, save, table, text_or_empty
 
 SAMPLE = 5_000
 BLOCK = 128
@@ -372,8 +372,12 @@ class Curve:
 def fit(docs: DataFrame, labels: DataFrame, learn: Column, sample: int = SAMPLE) -> tuple[list[str], list[str], Curve]:
     """The files of the examples and of the document frequencies, and the curve."""
     spark = docs.sparkSession
-    examples = draw_examples(docs, labels, learn, sample).inputFiles()
-    frequencies = document_frequencies(docs, examples).inputFiles()
+    with Scratch() as scratch:
+        drawn = draw_examples(docs, labels, learn, sample)
+        examples = drawn.inputFiles()
+        counted = document_frequencies(docs, examples)
+        frequencies = counted.inputFiles()
+        scratch.keep(drawn, counted)
 
     def work(batches):
         for _ in batches:
