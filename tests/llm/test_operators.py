@@ -157,6 +157,23 @@ def test_packing(spark, texts):
         assert at <= 2048
 
 
+def test_word_ids_are_the_library_s():
+    from tokenizers import Tokenizer
+
+    path = P.path("word_bpe_49k.json")
+    tokenizer = Tokenizer.from_file(path)
+    tokenizer.encode_special_tokens = True
+    own = packing.WordIds(path, most=200)
+    random.seed(2)
+    # Letters with a lower case of two, letters that are taken apart, marks that join them, white space of all kinds.
+    pool = "abcXYZ\u0130\u0131ßÄé\u03a3\u03c2\u0958\u09dc\u0301\u093c'’.,;!-_#$\"()  \n\t\x85\u2028\u3000\x1c019日ーﬁªⅧ"
+    words = ["don't", "dogs'", "rock'n'roll", "x\u0958,", "word$$$", "%%%", "THE", "\u0130stanbul", "o''s"]
+    texts = ["".join(random.choice(pool) for _ in range(random.randint(0, 40))) for _ in range(1500)] + [" ".join(random.choices(words, k=6)) for _ in range(200)]
+    for i in range(0, len(texts), 170):
+        for text, got in zip(texts[i : i + 170], own.encode(texts[i : i + 170])):
+            assert got == np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), text
+
+
 def exactly_saved(df):
     from tidemark.llm.common import save
 

@@ -10,7 +10,7 @@ The labelled examples lie in an inverted index in blocks of like texts. Lists of
 ones hold a weight for each example, with the largest of every block. A query adds up its rare terms, looks into the blocks
 of the highest bounds, and then into those alone whose bound reaches the last neighbour found so far, so its neighbours are
 exact. They vote, weighted by their distance; an isotonic curve over the sample's own votes (each example left out of its
-own neighbours) turns votes into probabilities. Nearest are a tenth of the examples (of few examples a quarter, 100 at
+own neighbours) turns votes into probabilities. Nearest are a thirtieth of the examples (of few examples a quarter, 32 at
 most): labels are noisy, and a share keeps the vote alike at every size of the sample.
 
 The classifier is fitted on at most ``SAMPLE`` labelled rows, drawn by a hash of the id; all else covers all rows.
@@ -37,7 +37,7 @@ FREQUENT = 1 / 24
 BATCH = 250
 #: Vocabulary terms whose counts travel in one row.
 CHUNK = 10_000
-RELEVANCE = 10.0
+RELEVANCE = 30.0
 #: Added to a distance before its inverse weighs the vote.
 NEAR = 0.1
 EVIDENCE = 5
@@ -56,7 +56,7 @@ def phi(toxic_with, clean_with, toxic: float, clean: float):
 
 
 def neighbours(examples: int) -> int:
-    return max(1, examples // 10, min(100, examples // 4))
+    return max(1, examples // 30, min(32, examples // 4))
 
 
 def fold(doc_id: Column) -> Column:
