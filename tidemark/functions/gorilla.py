@@ -11,6 +11,7 @@ import struct
 from pyspark.sql import DataFrame
 
 from tidemark.errors import CorruptFile
+from tidemark.workdir import importable
 
 #: Control bits with their length, and payload bits, for differences of differences: from low to high.
 BUCKETS = ((0b10, 2, 7), (0b110, 3, 9), (0b1110, 4, 12), (0b11110, 5, 32), (0b11111, 5, 64))
@@ -136,6 +137,7 @@ def compress(points: DataFrame, *by: str) -> DataFrame:
         one = {c: [frame[c].iat[0]] for c in by} | {"n": [len(frame)], "times": [encode_times(frame["timestamp"].tolist())], "bits": [encode_values(frame["value"].tolist())]}
         return pd.DataFrame(one)
 
+    importable(points.sparkSession)
     return points.select(*by, "timestamp", "value").groupBy(*by).applyInPandas(pack, f"{schema}, {BLOCK}")
 
 
@@ -149,4 +151,5 @@ def decompress(blocks: DataFrame, *by: str) -> DataFrame:
             for row in frame.itertuples(index=False):
                 yield pd.DataFrame({c: [getattr(row, c)] * row.n for c in by} | {"timestamp": decode_times(row.times, row.n), "value": decode_values(row.bits, row.n)})
 
+    importable(blocks.sparkSession)
     return blocks.select(*by, "n", "times", "bits").mapInPandas(unpack, f"{schema}, timestamp long, value double")

@@ -1,7 +1,8 @@
-"""A folder that driver and executors share, for queries that write."""
+"""What queries need of their surroundings: a folder that driver and executors share, and this package in Python workers."""
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 
@@ -19,3 +20,11 @@ def shared_folder(spark: SparkSession, label: str) -> str:
         app = spark.sparkContext.applicationId
         base = _own.setdefault(app, _own.get(app) or "file://" + tempfile.mkdtemp(prefix="shared-"))
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex[:12]}"
+
+
+def importable(spark: SparkSession) -> None:
+    """Let Python workers import this package from where the driver has it (a cluster ships it by --py-files)."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    paths = spark.sparkContext.environment.get("PYTHONPATH", "")
+    if root not in paths.split(os.pathsep):
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(x for x in (paths, root) if x)
