@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import threading
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -173,12 +174,15 @@ def apart(df: DataFrame) -> DataFrame:
 #: the room of the batch.
 SLICE_ROWS = 1_000
 
-#: What a worker keeps from one task to the next: the newest thing alone, by name.
+#: What a worker keeps from one task to the next: the newest thing alone, by name, and for how many seconds without a task.
 _resident: dict = {}
+REST_SECONDS = 2.0
+_turn = {"task": 0, "lock": threading.Lock()}
 
 
 def resident(name, make):
-    """``make()``, kept by this worker for its next tasks until another thing (or a task without one) takes its place."""
+    """``make()``, kept by this worker for its next tasks until another thing (or a task without one) takes its place, or no
+    task comes for a while: idle workers stay alive beside those that work."""
     if name not in _resident:
         release()
         _resident[name] = make()
@@ -201,10 +205,28 @@ def release() -> None:
 def worker_setup(keeps: bool = False) -> None:
     """At the start of every task: ``keeps`` says that the task has a resident thing of its own."""
     single_thread_env()
+    with _turn["lock"]:
+        _turn["task"] += 1
     if not keeps:
         release()
 
 
+def worker_done(keeps: bool = False) -> None:
+    """At the end of every task."""
+    if not keeps:
+        return release()
+    ended = _turn["task"]
+
+    def expire() -> None:
+        with _turn["lock"]:
+            if _turn["task"] == ended:  # no task has begun since
+                release()
+
+    timer = threading.Timer(REST_SECONDS, expire)
+    timer.daemon = True
+    timer.start()
+
+
 def map_rows(df: DataFrame, schema: str, work, keeps: bool = False) -> DataFrame:
     """``work(batches)`` over Arrow batches as lists: it gets an iterator of {column: list} and yields {column: list}.
 
@@ -222,8 +244,12 @@ def map_rows(df: DataFrame, schema: str, work, keeps: bool = False) -> DataFrame
         worker_setup(keeps)
         slices = (b.slice(i, SLICE_ROWS) for b in batches for i in range(0, b.num_rows, SLICE_ROWS))
         lists = ({n: b.column(i).to_pylist() for i, n in enumerate(b.schema.names)} for b in slices)
-        for out in work(lists):
-            yield pa.RecordBatch.from_arrays([pa.array(out[f.name], type=f.type) for f in arrow], schema=arrow)
+        try:
+            for out in work(lists):
+                yield pa.RecordBatch.from_arrays([pa.array(out[f.name], type=f.type) for f in arrow], schema=arrow)
+        finally:
+            del slices, lists
+            worker_done(keeps)
 
     return apart(df).mapInArrow(run, schema)
 
@@ -237,12 +263,15 @@ def filter_rows(df: DataFrame, column: str, work, keeps: bool = False) -> DataFr
         import pyarrow as pa
 
         worker_setup(keeps)
-        for b in batches:
-            at = b.schema.get_field_index(column)
-            mask: list[bool] = []
-            for i in range(0, b.num_rows, SLICE_ROWS):
-                mask.extend(work(b.column(at).slice(i, SLICE_ROWS).to_pylist()))
-            yield b.filter(pa.array(mask, pa.bool_()))
+        try:
+            for b in batches:
+                at = b.schema.get_field_index(column)
+                mask: list[bool] = []
+                for i in range(0, b.num_rows, SLICE_ROWS):
+                    mask.extend(work(b.column(at).slice(i, SLICE_ROWS).to_pylist()))
+                yield b.filter(pa.array(mask, pa.bool_()))
+        finally:
+            worker_done(keeps)
 
     return apart(df).mapInArrow(run, df.schema)
 

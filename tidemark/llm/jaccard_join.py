@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Scratch, checked, fits, importable, map_rows, save, stay, table, text_or_empty, worker_setup
+from tidemark.llm.common import Scratch, checked, fits, importable, map_rows, save, stay, table, text_or_empty, worker_done, worker_setup
 from tidemark.llm.components import components
 
 #: Shingles of a block of documents, and of a hash range; documents of a block.
@@ -99,7 +99,10 @@ def grouped(df: DataFrame, by: str, work, schema: str) -> DataFrame:
 
     def run(frame):
         worker_setup()
-        return work(frame)
+        try:
+            return work(frame)
+        finally:
+            worker_done()
 
     importable(df.sparkSession)
     return df.groupBy(by).applyInPandas(run, schema)

@@ -23,7 +23,7 @@ END_ID = 1
 #: Remainders in a group: 200,000 rows of a few numbers, 20 MB.
 GROUP_ROWS = 200_000
 #: Words with their ids in each of the two generations that a worker remembers (about 200 bytes each).
-CACHE_WORDS = 450_000
+CACHE_WORDS = 300_000
 #: Texts that are taken apart together.
 STEP = 1_000
 
@@ -41,6 +41,8 @@ class WordIds:
     MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
     #: The one letter whose lower case is not a letter alone.
     TWO = "\u0130"
+    #: The letter whose lower case depends on its place, and the first letter behind the scripts that have long been settled.
+    SIGMA, YOUNG = "\u03a3", "\u0530"
     ODD = ("\x1c", "\x1d", "\x1e", "\x1f")
 
     def __init__(self, path: str, most: int = CACHE_WORDS):
@@ -49,6 +51,12 @@ class WordIds:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.known = Memory(most)
+        # Letters of old scripts, composed and in lower case already, need no more than to be told apart by blanks.
+        from tokenizers import pre_tokenizers
+
+        self.plain = Tokenizer(self.tokenizer.model)
+        self.plain.encode_special_tokens = True
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         # A run of letters (or of anything else) ends with a token of this suffix, and no other token has it.
         suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
         size = self.tokenizer.get_vocab_size()
@@ -71,7 +79,7 @@ class WordIds:
 
         missing = self.known.missing(words)
         known, marks = self.known.new, self.MARKS
-        letters, rest, cut = {}, {}, []  # as ordered sets
+        letters, others, rest, cut = {}, {}, {}, []  # as ordered sets
         for word in missing:
             stem = word
             if not word.isalpha():
@@ -85,12 +93,18 @@ class WordIds:
                         continue
                 else:
                     stem = word
-            (letters if stem.isalpha() and self.TWO not in stem else rest)[stem] = None
-        letters, rest = list(letters), list(rest)
-        for i in range(0, len(letters), 10_000):
-            part = letters[i : i + 10_000]
-            if not self.learn_letters(part):
-                rest += part
+            if not stem.isalpha() or self.TWO in stem:
+                rest[stem] = None
+            elif stem.isascii() or max(stem) < self.YOUNG and self.SIGMA not in stem:
+                letters[stem] = None
+            else:
+                others[stem] = None
+        rest = list(rest)
+        for words, old in ((list(letters), True), (list(others), False)):
+            for i in range(0, len(words), 10_000):
+                part = words[i : i + 10_000]
+                if not self.learn_letters(part, old):
+                    rest += part
         for i in range(0, len(rest), 10_000):
             part = rest[i : i + 10_000]
             for word, x in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
@@ -98,10 +112,15 @@ class WordIds:
         for word, stem, tail in cut:
             known[word] = known[stem] + known[tail]
 
-    def learn_letters(self, words: list[str]) -> bool:
-        """Encode words of letters as one text, which costs half; its ids are cut behind the tokens that end a run. False if
-        these are not as many as the words, so that some word is no single run to the tokenizer."""
-        (found,) = self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)
+    def learn_letters(self, words: list[str], old: bool) -> bool:
+        """Encode words of letters (``old``: of old scripts) as one text, which costs half; its ids are cut behind the tokens
+        that end a run. False if these are not as many as the words, so that some word is no single run to the tokenizer."""
+        from unicodedata import is_normalized
+
+        text, tokenizer = " ".join(words), self.tokenizer
+        if old and is_normalized("NFC", text):
+            text, tokenizer = text.lower(), self.plain
+        (found,) = tokenizer.encode_batch_fast([text], add_special_tokens=False)
         ids = found.ids
         stops = [i for i, end in enumerate(map(self.ends.__getitem__, ids), 1) if end]
         if len(stops) != len(words):
