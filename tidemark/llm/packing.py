@@ -23,7 +23,7 @@ END_ID = 1
 #: Remainders in a group: 200,000 rows of a few numbers, 20 MB.
 GROUP_ROWS = 200_000
 #: Words with their ids in each of the two generations that a worker remembers (about 200 bytes each).
-CACHE_WORDS = 300_000
+CACHE_WORDS = 600_000
 #: Texts that are taken apart together.
 STEP = 1_000
 
@@ -155,18 +155,18 @@ class WordIds:
         return out
 
 
-def ids_of(path: str) -> WordIds:
+def ids_of(path: str, memory: int) -> WordIds:
     """A worker's ids, with what it remembers, serve its next tasks."""
-    return resident(("word-ids", path), lambda: WordIds(path))
+    return resident(("word-ids", path, memory), lambda: WordIds(path, memory))
 
 
-def cut(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
-    """Pieces of every document: full windows first, then the remainder."""
+def cut(docs: DataFrame, path: str, capacity: int = CAPACITY, memory: int = CACHE_WORDS) -> DataFrame:
+    """Pieces of every document: full windows first, then the remainder. ``memory``: words that a worker remembers, twice."""
 
     def work(batches):
         import zlib
 
-        ids, names = ids_of(path), [x.split()[0] for x in PIECES.split(", ")]
+        ids, names = ids_of(path, memory), [x.split()[0] for x in PIECES.split(", ")]
         end = WordIds.pack([END_ID])
         for batch in batches:
             for at in range(0, len(batch["text"]), STEP):
@@ -270,12 +270,12 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, group_rows: int = GROUP_RO
     return full.unionByName(dealt.groupBy("group").applyInPandas(pack_group, PACKED))
 
 
-def pack_documents(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -> DataFrame:
+def pack_documents(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, memory: int = CACHE_WORDS) -> DataFrame:
     if path is None:
         import public_tokenizers
 
         path = public_tokenizers.path("word_bpe_49k.json")
-    return pack(save(cut(docs, path, capacity), "pieces"), capacity)
+    return pack(save(cut(docs, path, capacity, memory), "pieces"), capacity)
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
