@@ -186,15 +186,21 @@ def resident(name, make):
     if name not in _resident:
         release()
         _resident[name] = make()
+        trim()
     return _resident[name]
 
 
 def release() -> None:
     """Drop what earlier tasks left in this worker, and give its memory back to the system."""
+    _resident.clear()
+    trim()
+
+
+def trim() -> None:
+    """Give memory that is free back to the system."""
     import ctypes
     import gc
 
-    _resident.clear()
     gc.collect()
     try:
         ctypes.CDLL(None).malloc_trim(0)

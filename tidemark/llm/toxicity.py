@@ -32,7 +32,7 @@ from tidemark.llm.common import Scratch, filter_rows, map_rows, read_columns, re
 SAMPLE = 5_000
 BLOCK = 128
 #: A list is frequent that holds more than this share of the examples.
-FREQUENT = 1 / 24
+FREQUENT = 1 / 20
 #: Queries that are searched together.
 BATCH = 250
 #: Vocabulary terms whose counts travel in one row.
@@ -70,7 +70,7 @@ class Words:
     TABLE = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
     ODD = bytes(range(128))
 
-    def __init__(self, most: int = 100_000):
+    def __init__(self, most: int = 20_000):
         import re
 
         self.letters, self.most = re.compile(r"[^\W\d_]+").findall, most
@@ -203,7 +203,7 @@ class BlockMaxIndex:
         one = lambda x, kind: np.concatenate(x).astype(kind) if x else np.zeros(0, kind)
         terms = one([t for t, _ in laid], np.int64)
         weights = one([self.weigh(t, n) for t, n in laid], float)
-        ids = np.repeat(np.arange(self.size), [len(t) for t, _ in laid])
+        ids = np.repeat(np.arange(self.size, dtype=np.int32), [len(t) for t, _ in laid])
         lists = np.bincount(terms, minlength=len(idf))
         often = np.flatnonzero(lists > frequent * self.size)
         self.place = np.full(len(idf), -1, np.int64)
@@ -283,7 +283,8 @@ class BlockMaxIndex:
 class Model:
     """What a worker needs to vote on texts."""
 
-    def __init__(self, examples: list[str], frequencies: list[str]):
+    def __init__(self, examples: list[str], frequencies: list[str], own: bool = False):
+        """``own``: the examples' own vectors are kept, for ``own_votes``."""
         import numpy as np
 
         self.examples, self.words = Examples(examples), Words()
@@ -297,6 +298,8 @@ class Model:
         relevance = phi(bad, good, float(toxic.sum()), float(len(toxic) - toxic.sum()))
         self.index = BlockMaxIndex(self.examples.vectors, (np.log((1 + documents) / (1 + seen)) + 1) * (1 + RELEVANCE * relevance))
         self.k = neighbours(self.index.size)
+        if not own:
+            self.examples.vectors = None
         self.prior = float(self.examples.toxic.mean()) if self.index.size else 0.0
 
     def vote(self, ids, cosines) -> float:
@@ -323,8 +326,8 @@ class Model:
             yield self.vote(ids[keep], cosines[keep]), int(self.examples.toxic[i])
 
 
-def model_of(examples: list[str], frequencies: list[str]) -> Model:
-    return resident(("tox-model", *examples, *frequencies), lambda: Model(examples, frequencies))
+def model_of(examples: list[str], frequencies: list[str], own: bool = False) -> Model:
+    return resident(("tox-model", own, *examples, *frequencies), lambda: Model(examples, frequencies, own))
 
 
 def isotonic(votes: list[float], labels: list[int]) -> tuple[list[float], list[float]]:
@@ -381,7 +384,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, sample: int = SAMPLE)
 
     def work(batches):
         for _ in batches:
-            pairs = list(model_of(examples, frequencies).own_votes())
+            pairs = list(model_of(examples, frequencies, own=True).own_votes())
             yield {"vote": [v for v, _ in pairs], "toxic": [y for _, y in pairs]}
 
     pairs = map_rows(spark.range(1, numPartitions=1), "vote double, toxic int", work, keeps=True)
