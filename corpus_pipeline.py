@@ -40,7 +40,7 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of sequences of 2,048 tokens. Behind the other stages an executor has less room for remembered words."""
-    return packing.pack_documents(docs, memory=250_000)
+    return packing.pack_documents(docs, memory=100_000)
 
 
 STAGES = [("quality rules", quality), ("toxicity", clean), ("exact dedup", exact), ("near duplicates", near), ("packing", pack)]
