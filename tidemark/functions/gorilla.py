@@ -130,15 +130,32 @@ def compress(points: DataFrame, *by: str) -> DataFrame:
     """A row for each block, with its points in order of time. ``by`` must bound a block, as a series in a partition does."""
     schema = ", ".join(f"{c} {points.schema[c].dataType.simpleString()}" for c in by)
 
-    def pack(frame):
+    names = [*by, "n", "times", "bits"]
+
+    def pack(frames):
         import pandas as pd
 
-        frame = frame.sort_values("timestamp", kind="stable")
-        one = {c: [frame[c].iat[0]] for c in by} | {"n": [len(frame)], "times": [encode_times(frame["timestamp"].tolist())], "bits": [encode_values(frame["value"].tolist())]}
-        return pd.DataFrame(one)
+        def block(key, times, values):
+            return *key, len(times), encode_times(times), encode_values(values)
+
+        key, times, values = None, [], []
+        for frame in frames:
+            out = []
+            for *own, t, v in frame.itertuples(index=False, name=None):
+                if own != key:
+                    if times:
+                        out.append(block(key, times, values))
+                    key, times, values = own, [], []
+                times.append(t)
+                values.append(v)
+            yield pd.DataFrame(out, columns=names)
+        if times:
+            yield pd.DataFrame([block(key, times, values)], columns=names)
 
     importable(points.sparkSession)
-    return points.select(*by, "timestamp", "value").groupBy(*by).applyInPandas(pack, f"{schema}, {BLOCK}")
+    # A block's points come one after another, so a task holds one block at a time.
+    laid = points.select(*by, "timestamp", "value").repartition(*by).sortWithinPartitions(*by, "timestamp")
+    return laid.mapInPandas(pack, f"{schema}, {BLOCK}")
 
 
 def decompress(blocks: DataFrame, *by: str) -> DataFrame:
@@ -148,8 +165,10 @@ def decompress(blocks: DataFrame, *by: str) -> DataFrame:
         import pandas as pd
 
         for frame in frames:
-            for row in frame.itertuples(index=False):
-                yield pd.DataFrame({c: [getattr(row, c)] * row.n for c in by} | {"timestamp": decode_times(row.times, row.n), "value": decode_values(row.bits, row.n)})
+            out = []
+            for *key, n, times, bits in frame.itertuples(index=False, name=None):
+                out += [(*key, t, v) for t, v in zip(decode_times(times, n), decode_values(bits, n))]
+            yield pd.DataFrame(out, columns=[*by, "timestamp", "value"])
 
     importable(blocks.sparkSession)
     return blocks.select(*by, "n", "times", "bits").mapInPandas(unpack, f"{schema}, timestamp long, value double")
