@@ -210,6 +210,35 @@ def test_promql(spark):
             promql.evaluate(p, bad, 0, 0, 1)
 
 
+def test_sums_do_not_depend_on_where_rows_lie(spark):
+    """0.1 + 0.2 + 0.7 is 1.0; backwards, or from partial sums, it is less."""
+    rows = [("c", {"h": h}, t, v, t) for h in "ab" for t, v in ((1, 0.1), (2, 0.2), (3, 0.7))]
+    schema = "metric string, labels map<string,string>, timestamp long, value double, lsn long"
+    floors = lambda p: values(promql.evaluate(p, "floor(sum_over_time(c[1s]))", SECOND, SECOND, SECOND), "labels_key", "value")
+    for laid_out in (rows, rows[::-1], [rows[i] for i in (1, 2, 0, 4, 5, 3)]):
+        for parts in (1, 2, 6):
+            p = spark.createDataFrame(spark.sparkContext.parallelize(laid_out, parts), schema)
+            assert floors(p) == floors(p.drop("lsn")) == [("h=a", 1.0), ("h=b", 1.0)]
+    # The order is that of the log where there is one: backwards here.
+    late = spark.createDataFrame([(*r[:4], -r[4]) for r in rows], schema)
+    assert floors(late) == [("h=a", 0.0), ("h=b", 0.0)]
+    # A point written twice at one time counts twice; samples without a number count as none.
+    twice = spark.createDataFrame([("c", {"h": "a"}, 1, v, 1) for v in (0.5, 0.5, None)] + [("c", {"h": "b"}, 1, None, 1)], schema)
+    assert floors(twice) == floors(twice.drop("lsn")) == [("h=a", 1.0)]
+    # Windows shorter and longer than a step, blocks cut off by the end: every sum is that of its own window.
+    rng = random.Random(5)
+    rows = [("c", {"h": "a"}, t, rng.randrange(10000) / 100, t) for t in rng.sample(range(-40, 140), 120)]
+    p = spark.createDataFrame(spark.sparkContext.parallelize(rows, 5), schema)
+    for start, end, step, window in ((0, 95, 10, 7), (0, 95, 10, 10), (3, 100, 7, 30), (0, 0, 10, 25), (5, 60, 11, 200)):
+        got = {r.step: r.value for r in promql.Plan(p, start, end, step).vector(promql.Call("sum_over_time", promql.Select("c", (), window))).collect()}
+        inside = {s: [r[3] for r in sorted(rows, key=lambda r: r[4]) if s - window < r[2] <= s] for s in range(start, end + 1, step)}
+        want = {}
+        for s, found in inside.items():
+            for v in found:
+                want[s] = want.get(s, 0.0) + v
+        assert got == want
+
+
 def test_tsql(spark):
     assert tsql.rewrite("SELECT 'NOW()', NOW() - INTERVAL '24h'", 5) == "SELECT 'NOW()', 5L - 86400000000000L"
     with pytest.raises(QueryError):

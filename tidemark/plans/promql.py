@@ -9,7 +9,8 @@ max, count, group, stddev, stdvar, topk, bottomk, quantile. Operators, loosest f
 filter, or give 0 and 1 with ``bool``); + -; * / %; ^; with on / ignoring and group_left / group_right between vectors.
 Numbers follow IEEE: a division by zero is an infinity or NaN.
 
-An instant selector takes the last sample of at most five minutes. rate and increase follow counter resets and do not
+sum_over_time adds in order of the points' lsn, or of time where they have none. An instant selector takes the last sample
+of at most five minutes. rate and increase follow counter resets and do not
 extrapolate to the window's edges. Where several series on the "one" side match, the query fails when it runs. ``evaluate``
 returns (metric, labels_key, step, value), a row for each series and evaluation time.
 """
@@ -375,12 +376,30 @@ class Plan:
             value = F.when(F.count(F.lit(1)) >= 2, F.max_by("value", "timestamp") - F.min_by("value", "timestamp"))
         elif kind == "quantile":
             value = F.percentile("value", F.lit(node.number))
+        elif kind == "sum":
+            return self.in_sequence(rows, window)
         elif kind in OVER_TIME:
             value = OVER_TIME[kind]("value").cast("double")
         else:
             value = (F.max_by if kind == "last" else F.min_by)("value", "timestamp")
         return self.grouped(self.at(rows, window), value).where("value is not null").withColumn("metric", F.lit(""))
 
+    def in_sequence(self, rows: DataFrame, window: int) -> DataFrame:
+        """The windows' sums, added up in order of lsn (without one, of time): partial sums differ in the last bit with how the
+        rows lie in files and tasks, which floor, a comparison or topk makes a whole step. Points are dealt out by series and
+        block, which is as many steps as a window has, before the steps are: a point is shuffled twice at most, and a long
+        series is no single task. What a window holds is sorted, which spills, and not gathered."""
+        n = max(window // self.step, 1)
+        wide, behind = n * self.step, (n - 1) * self.step
+        latest = self.start + behind + (self.end - self.start) // wide * wide
+        # A block is named by its last step; its points are those of a window that reaches back from there over all its steps.
+        rows = at_steps(rows, self.start + behind, latest, wide, window + behind).withColumnRenamed("step", "block")
+        rows = self.at(rows.repartition("metric", "labels_key", "block"), window).where((F.col("step") <= F.col("block")) & (F.col("step") > F.col("block") - wide))
+        keys = "metric", "labels_key", "block", "step"
+        w = Window.partitionBy(*keys).orderBy(*[c for c in ("lsn", "timestamp", "value") if c in rows.columns]).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        found = rows.withColumn("total", F.sum("value").over(w)).groupBy(*keys).agg(F.any_value("total").alias("value"), F.any_value("labels").alias("labels"))
+        return found.where("value is not null").drop("block").withColumn("metric", F.lit(""))
+
     @staticmethod
     def matched(node: Binary, rows: DataFrame) -> DataFrame:
         """``rows`` with the labels they are matched by."""
